@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, piece_codec, quality, sharding, simhash, token_files, url_filter
+from . import embedding_dedup, language, packing, piece_codec, quality, sharding, simhash, suffix_dedup, token_files, url_filter
 
 #: The fixed rules of op6.
 URL_RULES = [
@@ -37,6 +37,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 2048, 1)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), 200)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -70,17 +74,26 @@ FROM judged
 """
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_rows(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(_table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_simhash, op2_sharding, op3_packing, op5_quality_rules, op6_url_filter, op8_token_files, op10_piece_codec,
+        op1_simhash, op2_sharding, op3_packing, op4_suffix_dedup, op5_quality_rules, op6_url_filter, op7_language_id, op8_token_files,
+        op9_embedding_dedup, op10_piece_codec,
     )}
 
 
