@@ -9,6 +9,7 @@ no shuffle, bounded memory, and the same result if a lost task runs again."""
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -24,38 +25,42 @@ from .tokens import ByteLevel, encoder, ids_of
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """The items of each of k windows of nearly equal sums."""
-    n = made = len(sizes)
-    lefts, rights, heap = [], [], []
-    for i, size in enumerate(sizes):
-        loads, trees = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        loads[0], trees[0] = size, i
-        heap.append((-size, i, loads, trees))
+    """The items of each of k windows of nearly equal sums.
+
+    A partition is a sorted list of (load, number, items so far as nested pairs) of its windows in use; the others are
+    empty. A window's load is not reduced by the least one's: only differences count."""
+    heap = [(-size, i, [(size, i, i)]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    for turn in range(n, 2 * n - 1):
-        _, _, a, x = heapq.heappop(heap)
-        _, _, b, y = heapq.heappop(heap)
-        loads, y = a + b[::-1], y[::-1]
-        both = np.flatnonzero((x >= 0) & (y >= 0))
-        trees = np.where(x >= 0, x, y)
-        lefts += x[both].tolist()
-        rights += y[both].tolist()
-        trees[both] = np.arange(made, made + len(both))
-        made += len(both)
-        order = np.argsort(-loads, kind="stable")
-        loads, trees = loads[order], trees[order]
-        heapq.heappush(heap, (int(loads[-1] - loads[0]), turn, loads - loads[-1], trees))
-    windows = []
-    for root in heap[0][3].tolist() if heap else []:
-        stack, items = [root], []
+    serial = len(sizes)
+    while len(heap) > 1:
+        _, _, a = heapq.heappop(heap)
+        _, turn, b = heapq.heappop(heap)
+        if len(a) < len(b):
+            a, b = b, a
+        shared = max(0, len(a) + len(b) - k)  # windows used on both sides: the emptiest get the emptiest in reverse
+        low, high = a[:shared], b[:shared]
+        del a[:shared]
+        new = b[shared:]
+        for (x, _, left), (y, _, right) in zip(reversed(low), high, strict=True):
+            new.append((x + y, serial, (left, right)))
+            serial += 1
+        if len(new) < 8:
+            for entry in new:
+                bisect.insort(a, entry)
+        else:
+            a = sorted(a + new)
+        heapq.heappush(heap, ((a[0][0] if len(a) == k else 0) - a[-1][0], turn, a))
+    found = []
+    for _, _, tree in heap[0][2] if heap else []:
+        stack, items = [tree], []
         while stack:
             node = stack.pop()
-            if node >= n:
-                stack += [lefts[node - n], rights[node - n]]
-            elif node >= 0:
+            if isinstance(node, int):
                 items.append(node)
-        windows.append(sorted(items))
-    return windows
+            else:
+                stack += node
+        found.append(sorted(items))
+    return found + [[] for _ in range(k - len(found))]
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -39,11 +39,15 @@ class Pieces:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u2").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def in_a_row(self, tokenizer, pieces: list[str], glue: str) -> Iterator[np.ndarray]:
-        """The ids of many pieces, encoded together."""
+    def in_a_row(self, tokenizer, pieces: list[str], glue: str, starts: Callable[[np.ndarray], np.ndarray]) -> list[bytes]:
+        """The ids of many pieces, encoded together; ``starts`` finds where pieces begin in a row of ids."""
         rows = [glue.join(pieces[i : i + 4096]) for i in range(0, len(pieces), 4096)]
+        found = []
         for x in tokenizer.encode_batch_fast(rows, add_special_tokens=False):
-            yield np.array(x.ids, "<u2")
+            ids = np.array(x.ids, "<u2")
+            packed, cuts = ids.tobytes(), (2 * np.append(starts(ids), len(ids))).tolist()
+            found += [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return found
 
     def cut(self, text: str) -> list[str] | None:
         """The text's pieces, or None if it must be encoded whole."""
@@ -71,7 +75,7 @@ class Pieces:
                 todo.update(p for p in inner if p not in self.known)
             else:
                 todo.add(piece)
-        order = sorted(todo)
+        order = list(todo)
         self.known.update(zip(order, self.once(order), strict=True))
         for piece, inner in made.items():
             self.known[piece] = b"".join([self.known[p] for p in inner])
@@ -83,18 +87,22 @@ class Pieces:
         get, found, gaps, missing = self.known.get, [], [], set()
         for n, text in enumerate(texts):
             cut = self.cut(text)
-            ids = None if cut is None else list(map(get, cut))
-            if ids is not None and None in ids:
+            if cut is None:
+                found.append(None)
+                continue
+            ids = list(map(get, cut))
+            try:
+                found.append(b"".join(ids))
+            except TypeError:  # some piece is new or unsure
                 holes = [i for i, x in enumerate(ids) if x is None]
                 gaps.append((n, cut, ids, holes))
                 missing.update([cut[i] for i in holes])
-                ids = None
-            found.append(None if ids is None else b"".join(ids))
+                found.append(None)
         self.learn(missing - self.unsure)
         for n, cut, ids, holes in gaps:
             for i in holes:
                 ids[i] = get(cut[i])
-            if None not in ids:
+            if all([ids[i] is not None for i in holes]):
                 found[n] = b"".join(ids)
         rest = [n for n, ids in enumerate(found) if ids is None]
         for n, ids in zip(rest, self.whole([texts[n] for n in rest]), strict=True):
@@ -135,10 +143,9 @@ class ByteLevel(Pieces):
         """Pieces with a space or line feed in front are encoded in a row: a token that starts with either starts one."""
         bare = [p for p in pieces if p[0] == "\r"]
         ids = dict(zip(bare, self.whole([p[1:] for p in bare]), strict=True))
-        rest, found = [p for p in pieces if p[0] != "\r"], []
-        for row in self.in_a_row(self.library, [p if p[0] == "\n" else " " + p for p in rest], ""):
-            found += [x.tobytes() for x in np.split(row, np.flatnonzero(self.opens[row])[1:])]
-        ids.update(zip(rest, found, strict=True))
+        rest = [p for p in pieces if p[0] != "\r"]
+        spelled = [p if p[0] == "\n" else " " + p for p in rest]
+        ids.update(zip(rest, self.in_a_row(self.library, spelled, "", lambda row: np.flatnonzero(self.opens[row])), strict=True))
         return [ids[p] for p in pieces]
 
 
@@ -185,10 +192,9 @@ class WordLevel(Pieces):
         """Pieces of letters are encoded in a row: a token with the end-of-word mark ends one."""
         mixed = [p for p in pieces if not p.isalpha()]
         ids = dict(zip(mixed, self.whole(mixed), strict=True))
-        words, found = [p for p in pieces if p.isalpha()], []
-        for row in self.in_a_row(self.letters, words, " "):
-            found += [x.tobytes() for x in np.split(row, np.flatnonzero(self.closes[row])[:-1] + 1)]
-        ids.update(zip(words, found, strict=True))
+        words = [p for p in pieces if p.isalpha()]
+        after = lambda row: np.concatenate(([0], np.flatnonzero(self.closes[row])[:-1] + 1))
+        ids.update(zip(words, self.in_a_row(self.letters, words, " ", after), strict=True))
         return [ids[p] for p in pieces]
 
 
