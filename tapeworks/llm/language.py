@@ -179,3 +179,15 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Trains on ``docs`` and returns (doc_id, held_out, lang_pred, score) for each of its rows."""
     found = identify(docs, train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options), id_col, text_col)
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is determined with a score of at least ``least``."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches):
+            found = [model.predict(x) for x in part.column(place).to_pylist()]
+            yield part.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

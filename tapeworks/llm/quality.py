@@ -45,9 +45,12 @@ def _repeated(grams: Column) -> Column:
     return _let(_let(pairs, positions), union)
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), all long, for each row. A null text counts as
-    an empty one: all zero."""
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *others: Column) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), all long, and the columns ``others``, for each
+    row. A null text counts as an empty one: all zero."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.btrim(text, F.lit(BLANK))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[ \\t-\\r]+"))
@@ -69,10 +72,11 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         chars.cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         repeats.cast("bigint").alias("n_dup_lines"),
+        F.struct(F.lit(0).alias("_"), *others).alias("others"),
     )
     return base.select(
         "doc_id", F.col("w.n_words").cast("bigint").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
-        F.col("w.n_repeat_words").cast("bigint").alias("n_repeat_words"),
+        F.col("w.n_repeat_words").cast("bigint").alias("n_repeat_words"), *(["others"] if others else []),
     )
 
 
@@ -188,3 +192,12 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rules = learn(statistics, labels)
     failed = base_failed()
     return statistics.select("*", failed.alias("base_failed"), (~failed & rules.keeps()).alias("kept"), rules.rule_number().alias("rule_number"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that pass the base rules and the learned list."""
+    columns = docs.columns
+    rows = text_statistics(docs, id_col, text_col, F.struct(*[F.col(c) for c in columns]).alias("row"))
+    rows = materialize(rows, "quality-rows")
+    rules = learn(rows.select("doc_id", *STATISTICS), labels)
+    return rows.where(~base_failed() & rules.keeps()).select("others.row.*")

@@ -17,8 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
 from .shared import binaries, materialize, row_slices
@@ -211,6 +212,18 @@ def fingerprint_links(fps: DataFrame, distance: int, cap: int = 16384) -> DataFr
     return links
 
 
+def print_components(prints: DataFrame, distance: int, cap: int = 16384) -> DataFrame:
+    """(fp, least, component_id) for each distinct fingerprint of rows (doc_id, fp): its own and its component's least id."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    roots = materialize(connected_components(fingerprint_links(nodes.select("fp"), distance, cap)), "simhash-roots")
+    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
+    whole = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.struct(F.coalesce("least", F.lit(2**63 - 1)), "fp")).alias("first"))
+    linked = joined.join(whole, "root").select("fp", "component_id", (F.col("first.fp") == F.col("fp")).alias("leads"))
+    return nodes.join(linked, "fp", "left").select(
+        "fp", "least", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("leads", F.lit(True)).alias("leads")
+    )
+
+
 def simhash_components(
     docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", cap: int = 16384
 ) -> DataFrame:
@@ -220,12 +233,30 @@ def simhash_components(
     as they go in. component_id is the smallest doc_id of the component, null only where all its ids are null. Other
     columns are ignored. An empty table gives an empty result."""
     prints = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = materialize(connected_components(fingerprint_links(nodes.select("fp"), distance, cap)), "simhash-roots")
-    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    whole = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = joined.join(whole, "root").select("fp", "component_id")
-    by_print = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    by_print = print_components(prints, distance, cap).select("fp", "component_id")
     return prints.join(by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one_of_each(
+    docs: DataFrame, shingle: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row, with all its columns, of each component: that of the smallest id (of the smallest fingerprint among ids that
+    are all null); of rows repeated with that id and fingerprint, one."""
+    place, columns = docs.columns.index(text_col), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches):
+            values = np.array([fingerprint(x, shingle) for x in binaries(batch.column(place))], np.uint64)
+            row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+            yield pa.record_batch([row, pa.array(values.view(np.int64))], ["row", "fp"])
+
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("fp", T.LongType())])
+    rows = materialize(docs.mapInArrow(run, schema), "simhash-rows")
+    prints = rows.select(F.col("row").getField(id_col).cast("bigint").alias("doc_id"), "fp")
+    kept = print_components(prints, distance).where("leads").select("fp", "least")
+    same = F.col("row").getField(id_col).cast("bigint").eqNullSafe(F.col("least"))
+    one = rows.join(kept, "fp").where(same)
+    one = one.withColumn("nth", F.row_number().over(Window.partitionBy("fp").orderBy(F.col("row").getField(text_col)))).where("nth = 1")
+    return one.select(*[F.col("row").getField(c).alias(c) for c in columns])

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import binaries, materialize, row_slices
@@ -83,10 +83,15 @@ def _ranges(marks: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate(([False], marks, [False])).astype(np.int8))).tolist()
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keys(id_col: str, text_col: str) -> list[Column]:
     """Rows of equal id and text are one key; k1 and k2 stand for them."""
     id_, text = F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(id_, F.lit(0)).alias("k1"), F.xxhash64(id_.isNull(), text).alias("k2"), id_.alias("id"), text.alias("text"))
+    return [F.coalesce(id_, F.lit(0)).alias("k1"), F.xxhash64(id_.isNull(), text).alias("k2")]
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(*_keys(id_col, text_col), F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
 
 
 def _compressed(keyed: DataFrame) -> DataFrame:
@@ -256,3 +261,32 @@ def remove_repeats(
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return joined.mapInArrow(run, schema)
+
+
+def strip_repeats(
+    docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars",
+    gram: int = 32, batch: int = 1 << 20, cap: int = 64 << 20,
+) -> DataFrame:
+    """The rows with all their columns, without the repeated bytes in their texts (and without the rest of a character that
+    a cut divides); ``size_col``, if there, is the new length in characters. Rows stay even where nothing is left."""
+    columns, keyed = docs.columns, _keyed(docs, id_col, text_col)
+    ranges = repeated_windows(keyed, length, min(gram, max(1, length // 2)), batch, cap)
+    rows = docs.select(*_keys(id_col, text_col), F.struct(*[F.col(c) for c in columns]).alias("row"))
+    rows = rows.join(ranges, ["k1", "k2"], "left").select("row", "ranges")
+    place, size = columns.index(text_col), columns.index(size_col) if size_col in columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches, 256):
+            fields = part.column(0).flatten()
+            texts = []
+            for data, found in zip(binaries(fields[place]), part.column(1).to_pylist(), strict=True):
+                if runs := merged(found, length):
+                    edges = zip([0, *[b for _, b in runs]], [*[a for a, _ in runs], len(data)], strict=True)
+                    data = b"".join([data[a:b] for a, b in edges])
+                texts.append(None if data is None else data.decode(errors="ignore"))
+            fields[place] = pa.array(texts, fields[place].type)
+            if size is not None:
+                fields[size] = pa.array([None if x is None else len(x) for x in texts], fields[size].type)
+            yield pa.record_batch(fields, columns)
+
+    return rows.mapInArrow(run, docs.schema)

@@ -94,7 +94,9 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 columns = list(zip(*rows, strict=True))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return manifest.select("path", "first").repartition(F.col("path")).mapInArrow(run, schema)
+    # a task a file: adaptive execution would put many of these tiny rows into one
+    files = manifest.select("path", "first")
+    return files.repartition(max(1, files.count()), "path").mapInArrow(run, schema)
 
 
 def token_file_rows(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
