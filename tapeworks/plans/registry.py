@@ -1,11 +1,252 @@
-"""Named queries over the driver's tables and the SQL that checks them."""
+"""Named queries over the driver's tables; the SQL that checks them is in ``oracle``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import audits, bars, evaluation, features, models, targets
+from ..schemas import BARS, SECOND_BARS, TARGETS
+from . import fixture as fx
+from .oracle import SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _names(ddl: str) -> list[str]:
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
+@query
+def trade_context(spark, sf_dir):
+    names = ["seq", "ts_event", "timestamp_second", "session_date", "contract", "instrument_id", "price", "size", "native_buy_volume", "native_sell_volume", "native_unknown_volume", "native_delta"]
+    return fx.plain(fx.trades(spark, sf_dir).withColumns(fx.tape.native_side(F.col("side"))), *names)
+
+
+@query
+def tick_rule(spark, sf_dir):
+    names = ["seq", "change", "direction", "uptick", "downtick", "same_price", "inferred_buy_volume", "inferred_sell_volume", "inferred_unknown_volume", "inferred_delta"]
+    return fx.plain(fx.classified(spark, sf_dir), *names)
+
+
+@query
+def bars_1s(spark, sf_dir):
+    return fx.plain(fx.seconds(spark, sf_dir), *_names(SECOND_BARS))
+
+
+@query
+def bars_rollup(spark, sf_dir):
+    return fx.plain(fx.rolled(spark, sf_dir, fx.TEN), *_names(BARS))
+
+
+@query
+def session_manifest(spark, sf_dir):
+    seconds = fx.seconds(spark, sf_dir)
+    whole = audits.completeness(seconds, fx.COVERAGE.start, fx.COVERAGE.end, ("2024-01-05", "2024-01-20"))
+    df = bars.session_manifest(seconds).join(whole, "session_date")
+    return fx.plain(df, "session_date", "bar_rows", "trades", "volume", "first_trade", "last_trade", "instruments", "contract_changes", "complete", "degraded")
+
+
+def _features(step, s, *names: str) -> Query:
+    def run(spark, sf_dir):
+        return fx.plain(step(fx.prepared(spark, sf_dir, s), s), "decision_timestamp", *names)
+
+    return run
+
+
+FEATURE_QUERIES = {
+    "session_clock": _features(lambda df, s: features.session_clock(df), fx.TEN, "minutes_since_cme_open", "time_of_day_sin", "time_of_day_cos", "asia_flag", "europe_flag", "us_flag", "us_rth_flag"),
+    "path_returns": _features(features.paths, fx.HALF, "return_1m", "return_5m", "return_15m"),
+    "path_volatility": _features(features.paths, fx.HALF, "trend_efficiency_5m", "trend_efficiency_15m", "realized_volatility_5m", "realized_volatility_15m", "volatility_ratio_5m_15m"),
+    "elapsed_ranges": _features(features.elapsed_ranges, fx.TEN, "range_5m", "range_15m"),
+    "activity_acceleration": _features(features.acceleration, fx.TEN, "activity_acceleration_5m"),
+    "participation": _features(features.participation, fx.TEN, "log_volume_1m", "log_trade_count_1m", "log_average_trade_size_1m", "trade_size_dispersion_1m", "log_max_trade_size_1m", "active_second_fraction_1m"),
+    "activity_baseline": _features(features.activity_baseline, fx.HOUR, "relative_volume_q", "relative_trade_count_q"),
+    "session_state": _features(lambda df, s: features.session_state(features.paths(df, s), s), fx.HALF, "session_vwap_distance", "session_range_position", "session_high_distance", "session_low_distance"),
+    "prior_session_levels": _features(lambda df, s: features.prior_session(features.paths(df, s), s), fx.HALF, "prior_session_high_distance", "prior_session_low_distance", "prior_session_close_distance"),
+    "opening_range": _features(features.opening_range, fx.HALF, "us_opening_range_position"),
+    "order_flow_features": _features(
+        lambda df, s: features.order_flow(features.activity_baseline(features.acceleration(features.paths(df, s), s), s), s), fx.HOUR,
+        "delta_1m", "delta_3m", "delta_5m", "trade_count_imbalance", "tick_imbalance", "delta_acceleration", "divergence_3m", "divergence_5m",
+        "price_movement_per_volume", "price_movement_per_absolute_inferred_delta", "delta_price_alignment",
+    ),
+}
+_QUERIES |= FEATURE_QUERIES
+
+
+@query
+def asof_reference(spark, sf_dir):
+    found = targets.first_references(fx.seconds(spark, sf_dir), fx.HOUR.width, fx.TOLERANCE)
+    df = found.select("session_date", "boundary", F.col("reference.ts").alias("ts"), F.col("reference.price").alias("price"), F.col("reference.id").alias("id"))
+    return fx.plain(df, "session_date", "boundary", "ts", "price", "id")
+
+
+@query
+def forward_targets_v1(spark, sf_dir):
+    names = [c for c in _names(TARGETS) if not c.endswith("reference_instrument_id")]
+    return fx.plain(fx.labels(spark, sf_dir, False), *names)
+
+
+@query
+def forward_targets_v2(spark, sf_dir):
+    return fx.plain(fx.labels(spark, sf_dir), *_names(TARGETS))
+
+
+@query
+def target_funnel(spark, sf_dir):
+    df = targets.funnel(fx.labels(spark, sf_dir))
+    return fx.plain(df, *df.columns)
+
+
+@query
+def target_reasons(spark, sf_dir):
+    return targets.reason_counts(fx.labels(spark, sf_dir))
+
+
+@query
+def target_version_diff(spark, sf_dir):
+    df = targets.version_diff(fx.labels(spark, sf_dir, False), fx.labels(spark, sf_dir))
+    return fx.plain(df, *df.columns)
+
+
+def _development(spark, sf_dir) -> DataFrame:
+    s = fx.HOUR
+    df = fx.prepared(spark, sf_dir, s)
+    df = features.session_clock(features.participation(features.acceleration(features.paths(df, s), s), s))
+    df = df.withColumn("delta_1m", F.col("inferred_delta") / F.col("total_volume"))
+    return evaluation.folds(evaluation.development_sample(df, fx.labels(spark, sf_dir), "2024-01-29"), fx.FOLDS)
+
+
+def _baselines(spark, sf_dir) -> DataFrame:
+    return evaluation.baseline_probabilities(_development(spark, sf_dir), fx.MOMENTUM)
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    return evaluation.long_probabilities(_baselines(spark, sf_dir), {"baseline_0": "p_base", "baseline_1": "p_momentum"})
+
+
+@query
+def dev_sample(spark, sf_dir):
+    return fx.plain(_development(spark, sf_dir), "fold", "part", "decision_timestamp", "return_1m", "target_up_15m", "future_reference_timestamp")
+
+
+@query
+def dev_folds(spark, sf_dir):
+    df = evaluation.fold_report(_development(spark, sf_dir))
+    return fx.plain(df, *df.columns)
+
+
+@query
+def baseline_probabilities(spark, sf_dir):
+    return fx.plain(_baselines(spark, sf_dir), "fold", "decision_timestamp", "target_up_15m", "p_base", "p_momentum")
+
+
+@query
+def probability_metrics(spark, sf_dir):
+    df = evaluation.metrics(_scored(spark, sf_dir), ["fold", "model"])
+    return fx.plain(df, *df.columns)
+
+
+@query
+def calibration(spark, sf_dir):
+    df = evaluation.calibration(_scored(spark, sf_dir), ["fold", "model"])
+    return fx.plain(df, *df.columns)
+
+
+@query
+def stability(spark, sf_dir):
+    df = evaluation.metrics(evaluation.stability_groups(_scored(spark, sf_dir)), ["grp", "model"])
+    return fx.plain(df, *df.columns)
+
+
+@query
+def probability_quantiles(spark, sf_dir):
+    df = evaluation.quantiles(_scored(spark, sf_dir), ["fold", "model"])
+    return fx.plain(df, *df.columns)
+
+
+@query
+def training_medians(spark, sf_dir):
+    train = _development(spark, sf_dir).where("part = 'train'")
+    return fx.plain(evaluation.preprocessing(train, fx.MODEL_FEATURES, ["fold"]), "fold", "feature", "rows", "nulls", "median")
+
+
+@query
+def training_scaler(spark, sf_dir):
+    train = _development(spark, sf_dir).where("part = 'train'")
+    df = evaluation.preprocessing(train, fx.MODEL_FEATURES, ["fold"])
+    six = [F.round(c, 6).alias(c) for c in ("mean", "scale")]
+    return df.select("fold", "feature", *six)
+
+
+@query
+def feature_distribution(spark, sf_dir):
+    s = fx.TEN
+    df = features.participation(features.elapsed_ranges(fx.prepared(spark, sf_dir, s), s), s)
+    df = evaluation.distribution(df, ["range_5m", "range_15m", "log_volume_1m", "trade_size_dispersion_1m"])
+    return fx.plain(df, *df.columns)
+
+
+@query
+def direction_agreement(spark, sf_dir):
+    return audits.direction_agreement(fx.classified(spark, sf_dir))
+
+
+@query
+def first_second_coverage(spark, sf_dir):
+    second = fx.seconds(spark, sf_dir)
+    return audits.first_second_coverage(bars.roll_up(second, fx.HOUR.width), second, fx.HOUR.width, fx.HORIZON, fx.TOLERANCE)
+
+
+@query
+def layer_checks(spark, sf_dir):
+    second, s = fx.seconds(spark, sf_dir), fx.HOUR
+    hour = bars.roll_up(second, s.width)
+    full = features.all_features(hour, s)
+    parts = [
+        audits.second_bar_checks(second), audits.bar_checks(hour, second), audits.target_checks(fx.labels(spark, sf_dir), fx.TOLERANCE),
+        audits.feature_checks(full, tuple(s.efficiencies), tuple(s.volatilities)),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def _modelled(spark, sf_dir, fit, name) -> DataFrame:
+    rows = _development(spark, sf_dir).persist()  # read by every iteration of every fit; lost blocks are made again
+    out = None
+    for fold in range(1, len(fx.FOLDS) + 1):
+        own = rows.where(F.col("fold") == fold)
+        train = own.where("part = 'train'")
+        z = models.standardized(own, train, fx.MODEL_FEATURES)
+        model = fit(z.where("part = 'train'"), fx.MODEL_FEATURES)
+        scored = models.probabilities(model, z.where("part = 'validation'"), name)
+        out = scored if out is None else out.unionByName(scored)
+    return fx.plain(out, "fold", "decision_timestamp", "target_up_15m", name)
+
+
+@query
+def logistic_model(spark, sf_dir):
+    return _modelled(spark, sf_dir, models.fit_logistic, "p_logistic")
+
+
+@query
+def boosted_model(spark, sf_dir):
+    return _modelled(spark, sf_dir, lambda t, c: models.fit_boosted(t, c, rounds=10, leaf=10), "p_boosted")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in SQL.items() if k in _QUERIES}
