@@ -242,12 +242,11 @@ def opening_range(df: DataFrame, s: Settings) -> DataFrame:
     start, end = clock.session_time(_day(), first), clock.session_time(_day(), last)
     inside = (F.col("minute_start") >= start) & (F.col("minute_start") < end)
     pick = lambda x: F.when(inside, F.col(x))
-    bars = (last - first) * 60 // s.width
-    ranges = df.groupBy("session_date").agg(
-        F.max(pick("high")).alias("_or_high"), F.min(pick("low")).alias("_or_low"), F.min(pick("instrument_id")).alias("_or_id"),
-        F.max(pick("instrument_id")).alias("_or_id2"), F.count_distinct(pick("minute_start")).alias("_or_bars"),
-    )
-    df = df.join(ranges, "session_date")
+    bars, session = (last - first) * 60 // s.width, Window.partitionBy("session_date")
+    df = df.withColumns({
+        "_or_high": F.max(pick("high")).over(session), "_or_low": F.min(pick("low")).over(session), "_or_id": F.min(pick("instrument_id")).over(session),
+        "_or_id2": F.max(pick("instrument_id")).over(session), "_or_bars": F.count(pick("minute_start")).over(session),
+    })
     whole = (F.col("_or_bars") == bars) & (F.col("_or_id") == F.col("_or_id2")) & (F.col("_or_id") == F.col("instrument_id"))
     valid = (_decision() >= end) & whole & _interval_valid(s, start, end)
     span = F.col("_or_high") - F.col("_or_low")
@@ -256,6 +255,11 @@ def opening_range(df: DataFrame, s: Settings) -> DataFrame:
 
 def order_flow(df: DataFrame, s: Settings) -> DataFrame:
     """Features of inferred order flow; needs paths, acceleration and activity_baseline before it."""
+    return flow_scores(flow_windows(df, s), s)
+
+
+def flow_windows(df: DataFrame, s: Settings) -> DataFrame:
+    """Those that look back in the session."""
     d, v = F.col("inferred_delta"), F.col("total_volume")
     buys, sells = F.col("inferred_buy_trade_count"), F.col("inferred_sell_trade_count")
     ups, downs = F.col("uptick_count"), F.col("downtick_count")
@@ -272,7 +276,12 @@ def order_flow(df: DataFrame, s: Settings) -> DataFrame:
     over = _window(s, -s.recent, -1)
     recent = F.when(F.col("_recent_valid"), share(F.sum(d).over(over), F.sum(v).over(over)))
     new["delta_acceleration"] = new["delta_1m"] - recent
-    df = df.withColumns(new)
+    return df.withColumns(new)
+
+
+def flow_scores(df: DataFrame, s: Settings) -> DataFrame:
+    """Those that combine others on the same row."""
+    d, v = F.col("inferred_delta"), F.col("total_volume")
     z = F.when(F.col("_scale") > TINY, F.abs("_r") / F.col("_scale"))
     usual = F.exp("_bv")
     return df.withColumns({
@@ -284,6 +293,8 @@ def order_flow(df: DataFrame, s: Settings) -> DataFrame:
 
 
 def all_features(bars: DataFrame, s: Settings) -> DataFrame:
-    """Bars with every feature. Columns that start with an underscore are working columns."""
+    """Bars with every feature. Columns that start with an underscore are working columns. What looks back in a session comes
+    first and shares its shuffle; the baseline, which looks across sessions, comes after."""
     df = session_clock(participation(acceleration(elapsed_ranges(paths(prepare(bars, s), s), s), s), s))
-    return order_flow(activity_baseline(opening_range(prior_session(session_state(df, s), s), s), s), s)
+    df = flow_windows(opening_range(session_state(df, s), s), s)
+    return flow_scores(activity_baseline(prior_session(df, s), s), s)
