@@ -126,8 +126,9 @@ def train(
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), place.alias("place"),
         (place < rates[F.col(lang_col)] * F.lit(1 << 30)).alias("chosen"),
     )
-    schema = "lang string, place bigint, at array<int>, counts array<bigint>"
-    types = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    # as packed integers, a row is small on the driver too
+    schema = "lang string, place bigint, at binary, counts binary"
+    types = [pa.string(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows):
@@ -143,21 +144,27 @@ def train(
                     seen[at] += 1
                     seen[-1] += 1
                     if chosen:
-                        out.append((lang, place, at, n))
+                        out.append((lang, place, at.astype("<i2").tobytes(), np.minimum(n, 2**31 - 1).astype("<i4").tobytes()))
             if out:
                 yield batch(out)
-        at = np.flatnonzero(seen)
-        yield batch([(None, None, at.astype(np.int32), seen[at])])
+        yield batch([(None, None, None, seen.astype("<i8").tobytes())])
 
     found = materialize(rows.mapInArrow(run, schema), "language-training")
-    tallies = found.where("lang IS NULL").select(F.explode(F.arrays_zip("at", "counts")).alias("x"))
-    tallies = tallies.groupBy("x.at").agg(F.sum("x.counts")).collect()  # at most BUCKETS + 1 rows
-    seen = np.zeros(BUCKETS + 1)
-    for at, n in tallies:
-        seen[at] = n
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS + 1, np.int64)
+        for part in batches:
+            for x in part.column(0).to_pylist():
+                total += np.frombuffer(x, "<i8")
+        yield pa.record_batch([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["counts"])
+
+    tallies = found.where("lang IS NULL").select("counts")
+    for parts in (64, 1):  # a vector for each task before, added up in two steps
+        tallies = tallies.repartition(parts).mapInArrow(add, "counts binary")
+    seen = np.frombuffer(tallies.first().counts, "<i8").astype(np.float64)
     model = Model(languages, np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1, np.zeros((BUCKETS, len(languages))))
     chosen = found.where("lang IS NOT NULL").orderBy("place", "lang").limit(sample + 50 * len(languages)).collect()
-    rows = [(languages.index(r.lang), np.array(r.at), np.array(r.counts)) for r in chosen]
+    rows = [(languages.index(r.lang), np.frombuffer(r.at, "<i2").astype(np.int64), np.frombuffer(r.counts, "<i4")) for r in chosen]
     fit_leader(model, [x for i, x in enumerate(rows) if i % 5], alpha, beta, l1, l2, epochs)
     model.temperature = calibrate(model, rows[::5])
     return model
