@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, row_slices
+from .shared import materialize, row_slices, small_batches
 
 BUCKETS = 1 << 15
 UNDETERMINED = "und"
@@ -122,7 +122,7 @@ def train(
     each = max(50, sample // len(languages))
     rates = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, each / counts[k]))])
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
-    rows = known.select(
+    rows = small_batches(known).select(
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), place.alias("place"),
         (place < rates[F.col(lang_col)] * F.lit(1 << 30)).alias("chosen"),
     )
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             found = [model.predict(x) for x in part.column(1).to_pylist()]
             yield pa.record_batch([part.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
@@ -197,4 +197,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col:
             found = [model.predict(x) for x in part.column(place).to_pylist()]
             yield part.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

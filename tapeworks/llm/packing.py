@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import row_slices
+from .shared import row_slices, small_batches
 from .tokens import ByteLevel, encoder, ids_of
 
 
@@ -128,5 +128,5 @@ def pack_documents(
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     types = [pa.int64()] * 7 + [pa.binary()] * with_ids
     schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'bigint'}" for n in names)
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, schema)

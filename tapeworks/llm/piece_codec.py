@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import row_slices
+from .shared import row_slices, small_batches
 
 SPACE = "▁"
 LIMIT = 700_000
@@ -164,5 +164,5 @@ def encode_documents(docs: DataFrame, model: str, with_ids: bool = False, id_col
                     c.append(x)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, schema)

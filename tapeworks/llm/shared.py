@@ -33,6 +33,15 @@ def binaries(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df`` itself, after its session's Arrow batches are set to at most ``rows`` rows. With Spark's default of 10,000, a
+    few long texts make batches of gigabytes, held by the JVM and by Python at once."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def row_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that the Python objects of one batch stay few even for long texts."""
     for batch in batches:

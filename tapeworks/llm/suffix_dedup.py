@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binaries, materialize, row_slices
+from .shared import binaries, materialize, row_slices, small_batches
 from .suffix_array import repeated_starts
 
 FACTOR = 0x9E3779B97F4A7C15
@@ -91,7 +91,7 @@ def _keys(id_col: str, text_col: str) -> list[Column]:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(*_keys(id_col, text_col), F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
+    return small_batches(docs).select(*_keys(id_col, text_col), F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
 
 
 def _compressed(keyed: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def strip_repeats(
     a cut divides); ``size_col``, if there, is the new length in characters. Rows stay even where nothing is left."""
     columns, keyed = docs.columns, _keyed(docs, id_col, text_col)
     ranges = repeated_windows(keyed, length, min(gram, max(1, length // 2)), batch, cap)
-    rows = docs.select(*_keys(id_col, text_col), F.struct(*[F.col(c) for c in columns]).alias("row"))
+    rows = small_batches(docs).select(*_keys(id_col, text_col), F.struct(*[F.col(c) for c in columns]).alias("row"))
     rows = rows.join(ranges, ["k1", "k2"], "left").select("row", "ranges")
     place, size = columns.index(text_col), columns.index(size_col) if size_col in columns else None
 

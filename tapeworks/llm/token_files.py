@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .elias_fano import IdFile
-from .shared import materialize, row_slices, shared_dir
+from .shared import materialize, row_slices, shared_dir, small_batches
 from .tokens import WordLevel, encoder, ids_of
 
 MANIFEST = "part int, piece int, path string, n_docs bigint, n_ids bigint"
@@ -64,7 +64,7 @@ def write_token_files(
         if keys:
             yield flush()
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = materialize(ordered.mapInArrow(run, MANIFEST), "token-manifest")
     # two levels, so that the only global window has one row a partition

@@ -4,7 +4,7 @@ import re
 import corpus_pipeline
 from tapeworks.llm import language, quality, simhash, suffix_dedup
 
-from .test_simhash import expected as components
+from .test_simhash import union
 from .test_suffix_dedup import corpus as repeats
 from .test_suffix_dedup import expected as removed
 
@@ -29,20 +29,38 @@ def test_quality_stage_keeps_rows_whole(spark):
     assert [tuple(r) for r in got.collect()] == [("a b c d e f g h i j", 1, 3, "r", 19, "k")]
 
 
-def test_simhash_stage_keeps_one_row_of_each_component(spark):
+def wide_components(docs, distance=8, wide=40):
+    """Component of each id by brute force; docs have unique ids."""
+    prints = {i: simhash.wide_fingerprint((t or "").encode(), 5) for i, t in docs}
+    bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True))
+    linked = lambda a, b: (a[0] ^ b[0]).bit_count() <= distance and bits(a, b) <= wide
+    return union([(i, j) for i in prints for j in prints if i < j and linked(prints[i], prints[j])], list(prints))
+
+
+def near_copies():
     rng = random.Random(8)
-    words = ["".join(rng.choices("abcd", k=3)) for _ in range(50)]
-    docs = [(i, " ".join(rng.choices(words, k=rng.choice([2, 30, 300])))) for i in range(30)]
-    docs += [(100 + i, docs[i % 9][1].replace(docs[i % 9][1][:3], "zzz", 1)) for i in range(40)] + [(0, docs[0][1])] * 3
-    docs += [(None, None), (None, ""), (700, "\t")]
-    unique = {d: t for d, t in docs if d is not None}
-    want = sorted({c for _, c in components(list(unique.items()), 5).values()})
-    got = simhash.keep_one_of_each(frame(spark, docs))
-    assert got.columns == frame(spark, docs).columns
-    assert sorted(r.doc_id for r in got.collect()) == want
+    words = ["".join(rng.choices("abcdefg", k=rng.randrange(2, 7))) for _ in range(400)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.choice([2, 30, 300])))) for i in range(40)]
+    for i in range(80):
+        t = docs[i % 40][1].split()
+        for _ in range(rng.choice([0, 1, 2, 4, 9])):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        docs.append((100 + i, " ".join(t)))
+    return docs
+
+
+def test_simhash_stage_keeps_one_row_of_each_component(spark):
+    docs = near_copies()
+    want = sorted({r for r in wide_components([*docs, (700, "")]).values()})
+    assert 40 < len(want) < 100
+    rows = frame(spark, [*docs, (0, docs[0][1]), (0, docs[0][1]), (None, None), (None, ""), (700, "\t")])
+    for cap in (16384, 3):
+        got = simhash.keep_one_of_each(rows, cap=cap)
+        assert got.columns == rows.columns
+        assert sorted(r.doc_id for r in got.collect()) == want
     nulls = frame(spark, [(None, "one two"), (None, "one two"), (None, "three")])
     assert sorted(r.text for r in simhash.keep_one_of_each(nulls).collect()) == ["one two", "three"]
-    assert simhash.keep_one_of_each(frame(spark, docs).limit(0)).count() == 0
+    assert simhash.keep_one_of_each(rows.limit(0)).count() == 0
 
 
 def test_suffix_stage_removes_what_the_operator_removes(spark):
