@@ -170,7 +170,8 @@ def learn(
     levels = {0: [0.02, 0.1, 0.25, 0.5, 0.75, 0.9], 1: [0.01, 0.1, 0.5, 0.9, 0.99, 1.0]}
     wanted = [F.percentile_approx(F.when(F.col("good") == g, F.col(f)), q, 1000).alias(f"{f}_{g}") for f in FEATURES for g, q in levels.items()]
     row = rows.agg(*wanted).first()
-    cuts = [sorted({float(x) for g in levels for x in row[f"{f}_{g}"] or []}) for f in FEATURES]
+    seen = [sorted({float(x) for g in levels for x in row[f"{f}_{g}"] or []}) for f in FEATURES]
+    cuts = [[(a + b) / 2 for a, b in zip(x, x[1:], strict=False)] for x in seen]  # midway between the classes' quantiles
     bins = [sum(((F.col(f) > x).cast("int") for x in c), F.lit(0)).alias(f"bin_{f}") for f, c in zip(FEATURES, cuts, strict=True)]
     grow = F.col("fold") != 0
     tally = [F.count_if(part & (F.col("good") == g)).alias(f"{name}{g}") for name, part in (("grow", grow), ("prune", ~grow)) for g in (0, 1)]
