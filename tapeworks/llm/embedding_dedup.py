@@ -116,21 +116,22 @@ def link_vectors(
             for d in np.unique(lengths):
                 rows = batch.filter(pa.array(lengths == d))
                 values = rows.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                size = np.abs(values).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
-                units = values / size
-                units /= np.sqrt(np.einsum("ij,ij->i", units, units))[:, None]
+                # divided by a power of two (exactly), so that no square overflows or vanishes
+                values = values / np.exp2(np.floor(np.log2(np.abs(values).max(axis=1, keepdims=True))))
+                units = values / np.sqrt(np.einsum("ij,ij->i", values, values))[:, None]
                 keys = table_keys(units, functions, tables, seed)
-                packed = pa.array([r.tobytes() for r in values / size], pa.binary())
+                single = (values.astype(np.float32) == values).all(axis=1)  # half the bytes where nothing is lost
+                packed = pa.array([(r.astype(np.float32) if f else r).tobytes() for r, f in zip(values, single, strict=True)], pa.binary())
                 yield pa.record_batch(
-                    [rows.column(1), rows.column(2), pa.array([int(d)] * len(keys), pa.int32()), packed, pa.array(list(keys), pa.list_(pa.int32()))],
-                    ["class", "weight", "d", "packed", "keys"],
+                    [rows.column(1), rows.column(2), pa.array([int(d)] * len(keys), pa.int32()), packed, pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))],
+                    ["class", "weight", "d", "packed", "keys", "tables"],
                 )
 
-    files = classes.select("vector", "class", "weight").mapInArrow(keyed, "class bigint, weight bigint, d int, packed binary, keys array<int>")
+    files = classes.select("vector", "class", "weight").mapInArrow(keyed, "class bigint, weight bigint, d int, packed binary, keys binary, tables array<int>")
     files = materialize(files, "vector-keys")
-    sizes = files.select("d", F.posexplode("keys").alias("table", "key")).groupBy("d", "table", "key").count()
+    sizes = files.select("d", F.posexplode("tables").alias("table", "key")).groupBy("d", "table", "key").count()
     sizes = sizes.where("count > 1").withColumn("parts", F.when(F.col("count") > cap, F.ceil(F.col("count") * 2 / cap)).otherwise(1).cast("int"))
-    rows = files.select("class", "weight", "d", "packed", "keys", F.posexplode("keys").alias("table", "key"))
+    rows = files.select("class", "weight", "d", "packed", "keys", F.posexplode("tables").alias("table", "key"))
     rows = rows.join(sizes.drop("count"), ["d", "table", "key"])
     rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
@@ -146,8 +147,9 @@ def link_vectors(
                 return None
             group = pa.Table.from_batches(held)
             n, d, table = len(group), head[0], head[1]
-            values = np.frombuffer(b"".join(group.column("packed").to_pylist()), np.float64).reshape(n, d)
-            keys = np.array(group.column("keys").to_pylist(), np.int32)
+            packed = group.column("packed").to_pylist()
+            values = np.array([np.frombuffer(x, np.float32 if len(x) == 4 * d else np.float64) for x in packed], np.float64)
+            keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.int32).reshape(n, -1)
             own = group.column("own").to_numpy()
             weights, ids = group.column("weight").to_numpy(), group.column("class").to_numpy()
             across = group.column("across")[0].as_py()
