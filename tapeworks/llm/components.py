@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +51,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return earlier.join(known, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
 
     return reduce(back, reversed(turns[:-1]), turns[-1].select("node", F.col("label").alias("root")))
+
+
+def local_forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For rows 0 to n - 1 linked by (i, j), the smallest row of each one's component: as links from each row to that one, at
+    most n - 1, they connect what all links do."""
+    parent = np.arange(n)
+    while len(i):
+        low = np.minimum(parent[i], parent[j])
+        np.minimum.at(parent, parent[i], low)
+        np.minimum.at(parent, parent[j], low)
+        before = parent
+        parent = parent[parent]
+        open_ = parent[i] != parent[j]
+        if not open_.any() and (parent == before).all():
+            break
+    return parent

@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import connected_components
+from .components import connected_components, local_forest
 from .shared import binaries, materialize, row_slices, small_batches
 
 BYTE_ONES = np.uint64(0x0101010101010101)
+SMALL = 64
 WIDE = 4
 WORDS = ["fp", *[f"w{i}" for i in range(1, WIDE)]]
 
@@ -107,11 +108,10 @@ class Ring:
             free = [1 << b for b in range(64) if after >> b & 1 and distance > 0] or [0]
             self.files += [(chain(i, min(2, self.m)) & ~bit) for bit in free]
             self.starts += [i] * len(free)
-        # chains of more than two segments with what they may differ in
-        self.checks = [
-            [(np.uint64(chain(i, n)), n * distance // self.m) for n in range(3, self.m)] + [(np.uint64(2**64 - 1), distance)]
-            for i in range(self.m)
-        ]
+        # chains of more than two segments with what they may differ in: masks by length and start, budgets by length
+        longer = range(3, self.m)
+        self.masks = np.array([[chain(i, n) for i in range(self.m)] for n in longer] + [[2**64 - 1] * self.m], np.uint64)
+        self.budgets = [n * distance // self.m for n in longer] + [distance]
 
     def key(self, fp: Column, file: Column) -> Column:
         """What a file is sorted by: the fingerprint's bits in its mask."""
@@ -119,14 +119,18 @@ class Ring:
         masks = F.array(*[F.lit(x).cast("bigint") for x in signed])
         return fp.bitwiseAND(F.get(masks, file))
 
-    def viable(self, x: np.ndarray, start: int) -> np.ndarray:
-        """Of the differences x, those within every chain's budget."""
-        ok = np.ones(len(x), bool)
-        for mask, most in self.checks[start]:
-            ok &= np.bitwise_count(x & mask) <= most
+    def viable(self, x: np.ndarray, start: np.ndarray | int) -> np.ndarray:
+        """Which of the differences x are within every chain's budget, given where each one's chain starts: each longer chain
+        is tried on what is left, the full distance last."""
+        left = np.arange(len(x))
+        for masks, most in zip(self.masks, self.budgets, strict=True):
+            mask = masks[start] if np.ndim(start) == 0 else masks[start[left]]
+            left = left[np.bitwise_count(x[left] & mask) <= most]
+        ok = np.zeros(len(x), bool)
+        ok[left] = True
         return ok
 
-    def linked(self, a: np.ndarray, b: np.ndarray, start: int) -> np.ndarray:
+    def linked(self, a: np.ndarray, b: np.ndarray, start: np.ndarray | int) -> np.ndarray:
         """Which rows of a and b (a fingerprint, then the wide one's other words) are linked."""
         ok = self.viable(a[:, 0] ^ b[:, 0], start)
         if self.wide is not None and ok.any():
@@ -135,6 +139,23 @@ class Ring:
             ok[at] = np.bitwise_count(a ^ b[at]).sum(axis=1, dtype=np.int64) <= self.wide
         return ok
 
+    def small_groups(self, rows: np.ndarray, ends: np.ndarray, starts: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links of many groups of at most SMALL rows at once: every row is compared with the one so many places behind it,
+        for all distances within a group. ends: where each row's group ends; active: the rows of such groups."""
+        left, right = [], []
+        for step in range(1, SMALL):
+            active = active[active + step < ends[active]]
+            if not len(active):
+                break
+            hit = active[self.linked(rows[active, 1:], rows[active + step, 1:], starts[active])]
+            left.append(hit)
+            right.append(hit + step)
+        if not left:
+            return rows[:0, 0], rows[:0, 0]
+        parent = local_forest(len(rows), np.concatenate(left), np.concatenate(right))
+        moved = np.flatnonzero(parent != np.arange(len(rows)))
+        return rows[moved, 0], rows[parent[moved], 0]
+
     def forest(self, rows: np.ndarray, start: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Links that join the nodes of a file as all its links do; rows: a node, its fingerprint, the other words."""
         us, vs, rest = [], [], np.arange(len(rows))
@@ -164,7 +185,7 @@ def _scan(ring: Ring, cap: int):
             none = pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.int64())
             return pa.record_batch([pa.array(u), pa.array(v), *none], names)
 
-        head, held, size, spilled = None, [], 0, []
+        head, held, size, spilled, places = None, [], 0, [], np.array(ring.starts)
 
         def close():
             if head is not None and size > cap:
@@ -198,13 +219,11 @@ def _scan(ring: Ring, cap: int):
                     mine += more
                 lengths = np.diff(cuts)
                 inner = np.arange(1, len(lengths) - 1)
-                two = cuts[inner[lengths[inner] == 2]]
-                for start in range(ring.m) if len(two) else ():  # groups of two, all at once
-                    mine = two[np.isin(file[two], [i for i, s in enumerate(ring.starts) if s == start])]
-                    mine = mine[ring.linked(fp[mine, 1:], fp[mine + 1, 1:], start)]
-                    us.append(fp[mine, 0])
-                    vs.append(fp[mine + 1, 0])
-                for i in inner[lengths[inner] > 2].tolist():
+                few = np.repeat((lengths > 1) & (lengths <= SMALL), lengths)
+                few[: cuts[1]] = few[cuts[-2] :] = False  # the first and the last group may go on in other batches
+                u, v = ring.small_groups(fp, np.repeat(cuts[1:], lengths), places[file], np.flatnonzero(few))
+                us, vs = [*us, u], [*vs, v]
+                for i in inner[lengths[inner] > SMALL].tolist():
                     a, b = int(cuts[i]), int(cuts[i + 1])
                     if b - a > cap:
                         spilled.append((int(file[a]), int(key[a])))

@@ -94,3 +94,23 @@ def test_connected_components(spark):
         classes.setdefault(r, set()).add(want[n])
     assert all(len(c) == 1 for c in classes.values()) and len(classes) == len(set(want.values()))
     assert connected_components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
+
+
+def test_small_and_large_groups_give_the_same_components():
+    rng = np.random.default_rng(6)
+    for distance, wide in ((4, None), (8, 40)):
+        ring = simhash.Ring(distance, wide)
+        words = 1 if wide is None else simhash.WIDE
+        centres = rng.integers(0, 2**64, (3, words), np.uint64)
+        rows = centres[rng.integers(0, 3, 60)]
+        for r in rows:
+            for bit in rng.integers(0, 64, rng.integers(0, 4)):
+                r ^= np.uint64(1) << np.uint64(bit)
+        rows = np.column_stack([np.arange(60, dtype=np.uint64), rows])
+        for start in range(ring.m):
+            us, vs = ring.forest(rows, start)
+            slow = union([(int(a), int(b)) for u, v in zip(us, vs, strict=True) for a, b in zip(u, v, strict=True)], range(60))
+            u, v = ring.small_groups(rows, np.full(60, 60), np.full(60, start), np.arange(60))
+            assert len(u) < 60 and union(list(zip(u.tolist(), v.tolist(), strict=True)), range(60)) == slow
+            pairs = [(i, j) for i in range(60) for j in range(i) if ring.linked(rows[i : i + 1, 1:], rows[j : j + 1, 1:], start)[0]]
+            assert union(pairs, range(60)) == slow
