@@ -13,10 +13,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import row_slices, small_batches
 
 SPACE = "▁"
-LIMIT = 700_000
+LIMIT = 1_500_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -36,32 +36,30 @@ class Agenda:
         self.scores = {p: s for p, s, kind in pieces if kind == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
+        self.adjacent = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("pieces with inner spaces or line feeds: chunks would not be independent")
 
     def encode(self, chunk: str) -> list[int]:
-        symbols, scores, agenda = list(chunk), self.scores, []
-        if not symbols:
-            return []
+        symbols, scores = list(chunk), self.scores
         last = len(symbols)
         after, before = list(range(1, last + 1)), list(range(-1, last - 1))
-
-        def propose(a: int, b: int) -> None:
-            if a >= 0 and b < last and (score := scores.get(both := symbols[a] + symbols[b])) is not None:
-                heapq.heappush(agenda, (-score, a, b, both))
-
-        for i in range(last - 1):
-            propose(i, i + 1)
+        pairs = [symbols[i] + symbols[i + 1] for i in range(last - 1)]
+        agenda = [(-scores[both], i, i + 1, both) for i, both in enumerate(pairs) if both in scores]
+        heapq.heapify(agenda)
         while agenda:
             _, a, b, both = heapq.heappop(agenda)
-            if not symbols[a] or not symbols[b] or after[a] != b or symbols[a] + symbols[b] != both:
-                continue
+            if after[a] != b or not symbols[a] or symbols[a] + symbols[b] != both:
+                continue  # one of the two has been merged since
             symbols[a], symbols[b] = both, ""
-            after[a] = after[b]
-            if after[b] < last:
-                before[after[b]] = a
-            propose(before[a], a)
-            propose(a, after[a])
+            c, z = after[b], before[a]
+            after[a] = c
+            if c < last:
+                before[c] = a
+                if (more := both + symbols[c]) in scores:
+                    heapq.heappush(agenda, (-scores[more], a, c, more))
+            if z >= 0 and (more := symbols[z] + both) in scores:
+                heapq.heappush(agenda, (-scores[more], z, a, more))
         out = []
         for s in filter(None, symbols):
             if s in self.ids:
@@ -71,6 +69,10 @@ class Agenda:
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("H", ids).tobytes()
+
+
 class Codec:
     """Encodes and decodes whole texts; one for each worker process."""
 
@@ -88,7 +90,11 @@ class Codec:
         if not how.add_dummy_prefix or model.trainer_spec.treat_whitespace_as_suffix or len(model.pieces) > 1 << 16:
             raise ValueError("only vocabularies with a space before the text, of up to 65,536 pieces")
         self.agenda = Agenda([(p.piece, p.score, p.type) for p in model.pieces])
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}
+        self.decimals = [str(i).encode() for i in range(len(model.pieces))]
+        self.feed = len(self.agenda.encode("\n"))
+        self.lead = len(self.library.encode("\n")) - self.feed
 
     def chunks(self, text: str) -> list[str]:
         """The text's chunks, cut before runs of spaces and line feeds: without the first of its spaces, or with its line
@@ -100,39 +106,65 @@ class Codec:
             parts = [x.removeprefix(" ") for x in re.findall(" +[^ \n]*|\n[^ \n]*", " " + text)]
         return parts
 
-    def learn(self, missing: list[str]) -> None:
-        spelled = [x if x[:1] == "\n" else SPACE + x.replace(" ", SPACE) for x in missing]
+    def learn(self, missing: set[str]) -> None:
+        """Adds the ids of new chunks. A last character that no piece holds next to the one before it is cut off: merges never
+        cross that place either, and words recur more often without their punctuation."""
+        made, todo = {}, set()
+        for chunk in missing:
+            if len(chunk) > 1 and chunk[-2] != " " and chunk[-2:] not in self.agenda.adjacent:
+                made[chunk] = chunk[:-1]
+                if chunk[:-1] not in self.known:
+                    todo.add(chunk[:-1])
+            else:
+                todo.add(chunk)
+        order = list(todo)
+        spelled = [x if x[:1] == "\n" else SPACE + x.replace(" ", SPACE) for x in order]
         own = [self.agenda.encode(x) for x in spelled]
-        # the library puts a space before what it encodes: a chunk without one is encoded after a line feed's own ids
+        # the library puts a space before what it encodes; a chunk with a line feed in front has none
         theirs = self.library.encode([x[1:] if x[0] == SPACE else x for x in spelled], num_threads=1)
-        lead = len(self.library.encode("\n")) - 1
-        for chunk, shape, a, b in zip(missing, spelled, own, theirs, strict=True):
+        for chunk, shape, a, b in zip(order, spelled, own, theirs, strict=True):
             if shape[0] != SPACE:
-                b = b[lead:]
+                b = b[self.lead :]
             elif shape == SPACE and not b:
                 b = a  # the library gives nothing for an empty text; between two others it is one space
-            if a != b:
-                raise ValueError(f"agenda and library differ on {chunk!r}: {a} and {b}")
-            self.known[chunk] = np.array(a, "<u2").tobytes(), ",".join(map(str, a)).encode()
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
-        """Ids, and their decimals joined by commas, of each text."""
+            self.check(chunk, a, b)
+            self.known[chunk] = _packed(a)
+        for chunk, rest in made.items():
+            if (last := self.last.get(chunk[-1])) is None:
+                ids = self.agenda.encode(chunk[-1])
+                self.check(chunk[-1], ids, self.library.encode("\n" + chunk[-1])[self.lead + self.feed :])
+                last = self.last[chunk[-1]] = _packed(ids)
+            self.known[chunk] = self.known[rest] + last
+
+    def check(self, chunk: str, own: list[int], theirs: list[int]) -> None:
+        if own != theirs:
+            raise ValueError(f"agenda and library differ on {chunk!r}: {own} and {theirs}")
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
         if len(self.known) > LIMIT:
             self.known.clear()
+            self.last.clear()
         get, found, gaps, missing = self.known.get, [], [], set()
-        for text in texts:
+        for n, text in enumerate(texts):
             cut = self.chunks(text)
             values = list(map(get, cut))
-            if None in values:
+            try:
+                found.append(b"".join(values))
+            except TypeError:  # some chunk is new
                 holes = [i for i, x in enumerate(values) if x is None]
-                gaps.append((cut, values, holes))
+                gaps.append((n, cut, values, holes))
                 missing.update([cut[i] for i in holes])
-            found.append(values)
-        self.learn(list(missing))
-        for cut, values, holes in gaps:
+                found.append(b"")
+        self.learn(missing)
+        for n, cut, values, holes in gaps:
             for i in holes:
                 values[i] = get(cut[i])
-        return [(np.frombuffer(b"".join([x[0] for x in v]), "<u2"), b",".join([x[1] for x in v])) for v in found]
+            found[n] = b"".join(values)
+        return [memoryview(x).cast("H").tolist() for x in found]
+
+    def spelled(self, ids: list[int]) -> bytes:
+        """The ids' decimals joined by commas."""
+        return b",".join(map(self.decimals.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -156,10 +188,9 @@ def encode_documents(docs: DataFrame, model: str, with_ids: bool = False, id_col
         own = codec(model)
         for rows in row_slices(batches):
             columns = [[] for _ in names]
-            for doc, (ids, text) in zip(rows.column(0).to_pylist(), own.encode([x or "" for x in rows.column(1).to_pylist()]), strict=True):
-                ids = ids.tolist()
+            for doc, ids in zip(rows.column(0).to_pylist(), own.encode([x or "" for x in rows.column(1).to_pylist()]), strict=True):
                 decoded = own.decode(ids)
-                row = [doc, len(ids), hashlib.sha256(text).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *([ids, decoded] if with_ids else [])]
+                row = [doc, len(ids), hashlib.sha256(own.spelled(ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *([ids, decoded] if with_ids else [])]
                 for c, x in zip(columns, row, strict=True):
                     c.append(x)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
