@@ -28,6 +28,9 @@ BYTE_ONES = np.uint64(0x0101010101010101)
 SMALL = 64
 WIDE = 4
 WORDS = ["fp", *[f"w{i}" for i in range(1, WIDE)]]
+#: Least hashes: so many bands of so many each, and of the first SKETCH a low byte.
+BANDS, BAND, SKETCH = 24, 5, 64
+MARKS = ["k", *[f"s{i}" for i in range(SKETCH // 8)]]
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
@@ -249,9 +252,15 @@ def fingerprint_links(fps: DataFrame, distance: int, cap: int = 16384, wide: int
     through others. With ``wide``, they must also differ in at most so many bits of all words (columns fp, w1 to w3), and
     nodes are ``node_ids`` of these. A file of more than ``cap`` fingerprints is cut into parts by hash, and each pair of parts is
     walked on its own, so no task holds more than about 2 * cap fingerprints of a file."""
-    ring, schema = Ring(distance, wide), "u bigint, v bigint, file int, key bigint"
+    ring = Ring(distance, wide)
     carried, key = WORDS[: 1 if wide is None else WIDE], ring.key(F.col("fp"), F.col("file"))
     filed = fps.select(*carried, F.explode(F.sequence(F.lit(0), F.lit(len(ring.files) - 1))).alias("file"))
+    return _filed_links(filed, key, carried, ring, cap)
+
+
+def _filed_links(filed: DataFrame, key: Column, carried: list[str], ring: Ring, cap: int) -> DataFrame:
+    """Links of rows (file, the columns ``carried``) of equal file and key."""
+    schema = "u bigint, v bigint, file int, key bigint"
     # keys follow from fingerprint and file, so they are not shuffled but worked out on both sides
     dealt = filed.repartition("file", key).select("file", F.lit(0).alias("part"), key.alias("key"), *carried)
     dealt = dealt.sortWithinPartitions("file", "part", "key")
@@ -262,7 +271,7 @@ def fingerprint_links(fps: DataFrame, distance: int, cap: int = 16384, wide: int
         filed = filed.withColumn("key", key)
         sizes = filed.join(large, ["file", "key"]).groupBy("file", "key").agg(F.ceil(F.count("*") * 2 / cap).cast("int").alias("parts"))
         cut = filed.join(sizes, ["file", "key"])
-        cut = cut.withColumn("own", F.pmod(F.xxhash64(carried[-1], "fp", F.lit("part")), "parts").cast("int"))
+        cut = cut.withColumn("own", F.pmod(F.xxhash64(carried[-1], carried[0], F.lit("part")), "parts").cast("int"))
         other = F.explode(F.expr("sequence(0, parts - 1)"))
         cut = cut.select("file", "key", *carried, "parts", "own", other.alias("other"))
         pair = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
@@ -337,3 +346,145 @@ def keep_one_of_each(
     order = Window.partitionBy(*WORDS).orderBy(F.col("row").getField(text_col))
     one = one.withColumn("nth", F.row_number().over(order)).where("nth = 1")
     return one.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def least_hashes(h: np.ndarray) -> np.ndarray:
+    """For each of BANDS * BAND hash functions its least value over a set of shingles."""
+    out = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
+    for at in range(0, len(h), 1024):
+        x = (h[None, at : at + 1024] ^ _TURNS[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x94D049BB133111EB)
+        np.minimum(out, x.min(axis=1), out=out)
+    return out
+
+
+_TURNS = np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+_TURNS = (_TURNS ^ (_TURNS >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+_TURNS ^= _TURNS >> np.uint64(27)
+
+
+def marks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a set of shingles: its hash and its sketch as MARKS, and the keys of its bands."""
+    low = least_hashes(h)
+    keys = np.zeros(BANDS, np.uint64)
+    for i in range(BAND):
+        keys = (keys ^ (keys >> np.uint64(31)) ^ low[i::BAND]) * np.uint64(0x9E3779B97F4A7C15)
+    sketch = (low[:SKETCH] >> np.uint64(24)).astype(np.uint8).view(np.uint64)
+    return np.concatenate(([np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 42))], sketch)), keys
+
+
+class Bands(Ring):
+    """The bands as files: two sets of one band are candidates if sketches say that they may reach the similarity."""
+
+    def __init__(self, similarity: float):
+        self.starts = [0] * BANDS
+        spread = (similarity * (1 - similarity) / SKETCH) ** 0.5
+        self.least = int(SKETCH * (similarity - 5 * spread))  # five standard errors below
+
+    def linked(self, a: np.ndarray, b: np.ndarray, start: np.ndarray | int) -> np.ndarray:
+        same = (a[:, 1:] ^ b[:, 1:]).view(np.uint8) == 0
+        return same.sum(axis=1) >= self.least
+
+
+def similar_forest(nodes: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links that join sets (sorted, none empty) as all pairs do whose Jaccard similarity is at least ``similarity``."""
+    bands, sizes = Bands(similarity), np.array([len(x) for x in sets])
+    us, vs, rest = [], [], np.arange(len(sets))
+    while rest.size > 1:
+        front, rest = [int(rest[0])], rest[1:]
+        while front and rest.size:
+            p = front.pop()
+            mine = sets[p]
+            may = np.minimum(sizes[rest], len(mine)) / np.maximum(sizes[rest], len(mine)) >= similarity
+            may &= bands.linked(sketches[p : p + 1], sketches[rest], 0)
+            at = np.flatnonzero(may)
+            if not at.size:
+                continue
+            other = sizes[rest[at]]
+            all_ = np.concatenate([sets[i] for i in rest[at]])
+            found = mine[np.minimum(np.searchsorted(mine, all_), len(mine) - 1)] == all_
+            both = np.add.reduceat(found, np.cumsum(other) - other, dtype=np.int64)
+            at = at[both / (len(mine) + other - both) >= similarity]
+            if at.size:
+                hit, rest = rest[at], np.delete(rest, at)
+                us.append(np.full(len(hit), nodes[p]))
+                vs.append(nodes[hit])
+                front += hit.tolist()
+    return us, vs
+
+
+def keep_one_of_similar(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", cap: int = 16384, most: int = 1 << 21
+) -> DataFrame:
+    """One row, with all its columns, of each component of texts linked by a Jaccard similarity of at least ``similarity`` of
+    their sets of shingles: that of the smallest id (of equal or null ids, any one, always the same); of equal rows, one.
+
+    Texts are candidates that share all BAND least hashes of one of BANDS bands: at a similarity of 0.8 all but 7 in 100,000
+    pairs do, above it more. A sketch of SKETCH bytes drops candidates five standard errors below the similarity. Every
+    link that counts is an exact one: texts that candidates join are brought together and their sets compared. Where these
+    have over ``most`` shingles, they are cut into parts by hash and each pair of parts is compared on its own."""
+    columns, none = docs.columns, F.lit(2**63 - 1)
+    id_ = F.coalesce(F.col(id_col).cast("bigint"), none)
+    mark = F.xxhash64(id_, F.col(text_col))
+    fields = ["id", "mark", "node", "n", *MARKS, "bands"]
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches):
+            sets = [shingle_set(x, shingle) for x in binaries(batch.column(2))]
+            found = [marks(h) for h in sets]
+            words = np.array([x for x, _ in found], np.uint64).reshape(-1, len(MARKS))
+            keys = pa.array([x.view(np.int64) for _, x in found], pa.list_(pa.int64()))
+            longs = [words[:, i].copy().view(np.int64) for i in range(len(MARKS))]
+            yield pa.record_batch([batch.column(0), batch.column(1), *map(pa.array, (node_ids(words).view(np.int64), np.array([len(h) for h in sets], np.int64), *longs)), keys], fields)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, held = None, {}
+
+        def close():
+            nodes, got = np.array(list(held), np.int64), list(held.values())
+            us, vs = similar_forest(nodes, np.array([x for x, _ in got], np.uint64).reshape(-1, len(MARKS)), [h for _, h in got], similarity)
+            return pa.record_batch([pa.array(np.concatenate(x) if x else nodes[:0], pa.int64()) for x in (us, vs)], ["u", "v"])
+
+        for batch in row_slices(batches):
+            groups = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            words = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(4, batch.num_columns)])
+            for group, node, text, own in zip(groups, batch.column(2).to_pylist(), binaries(batch.column(3)), words, strict=True):
+                if group != head:
+                    if len(held) > 1:
+                        yield close()
+                    head, held = group, {}
+                if node not in held:  # equal rows give it again
+                    held[node] = own.copy(), shingle_set(text, shingle)
+        if len(held) > 1:
+            yield close()
+
+    source = small_batches(docs).select(id_.alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
+    schema = "id bigint, mark bigint, node bigint, n bigint, " + ", ".join(f"{w} bigint" for w in MARKS) + ", bands array<bigint>"
+    rows = source.mapInArrow(prints, schema)
+    nodes = rows.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("lead"), F.first(F.struct("n", *MARKS, "bands")).alias("own"))
+    nodes = materialize(nodes.select("node", "lead.*", "own.*"), "simhash-nodes")
+    filed = nodes.select(*MARKS, F.posexplode("bands").alias("file", "key"))
+    near = connected_components(_filed_links(filed, F.col("key"), MARKS, Bands(similarity), cap))
+    near = materialize(nodes.drop("bands").join(near, "node"), "simhash-candidates")
+    large = near.groupBy("root").agg(F.sum("n").alias("total")).where(F.col("total") > most)
+    large = large.select("root", F.ceil(F.col("total") * 2 / most).cast("int").alias("parts"))
+    near = near.join(large, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    fetched = source.join(near.select("id", "mark", "root", "node", "parts", *MARKS), ["id", "mark"])
+    fetched = fetched.withColumn("own", F.pmod(F.xxhash64("node", F.lit("part")), "parts").cast("int"))
+    fetched = fetched.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    pair = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
+    fetched = fetched.select("root", pair.alias("part"), "node", "text", *MARKS).repartition("root", "part").sortWithinPartitions("root", "part")
+    links = materialize(fetched.mapInArrow(compare, "u bigint, v bigint"), "simhash-similar")
+    roots = nodes.select("node", "id", "mark").join(connected_components(links), "node", "left")
+    leads = roots.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "mark")).alias("lead")).select("lead.*")
+    leads = materialize(leads, "simhash-leads")
+    row = F.struct(*[F.col(c) for c in columns]).alias("row")
+    one = docs.select(id_.alias("id"), mark.alias("mark"), row).join(leads, ["id", "mark"])
+    order = Window.partitionBy("id", "mark").orderBy(F.col("row").getField(text_col))
+    one = one.withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return one.select(*[F.col("row").getField(c).alias(c) for c in columns])

@@ -63,6 +63,42 @@ def test_simhash_stage_keeps_one_row_of_each_component(spark):
     assert simhash.keep_one_of_each(rows.limit(0)).count() == 0
 
 
+def similar_components(docs, least=0.8):
+    """Component of each id by brute-force Jaccard similarity of the sets of five-word shingles."""
+    words = {i: (t or "").lower().split() for i, t in docs}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    similar = lambda a, b: len(a & b) / len(a | b) >= least
+    return union([(i, j) for i in sets for j in sets if i < j and similar(sets[i], sets[j])], list(sets))
+
+
+def copies_around_the_similarity():
+    """Each text with one copy whose last words differ, at similarities from 0.7 to 0.95, and a pair at exactly 0.8."""
+    rng = random.Random(9)
+    docs = []
+    for i in range(120):
+        n = rng.choice([24, 60, 150, 400]) - 4
+        t = [f"w{rng.randrange(5000)}" for _ in range(n + 4)]
+        new = round(n * rng.uniform(0.03, 0.18)) if i % 6 else n // 10
+        docs += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(t[: n + 4 - new] + [f"x{k}" for k in range(new)]))]
+    docs += [(300, " ".join("abcdefghi")), (301, " ".join("abcdefgh"))]  # 5 and 4 shingles: exactly 0.8
+    return docs
+
+
+def test_simhash_stage_finds_every_pair_of_the_similarity(spark):
+    docs = copies_around_the_similarity() + [(1000 + i, t) for i, t in near_copies()]
+    want = sorted(set(similar_components([*docs, (9000, "")]).values()))
+    assert 60 < len(want) < len(docs) - 60
+    rows = frame(spark, [*docs, (0, docs[0][1]), (0, docs[0][1]), (None, None), (None, ""), (9000, "\t")])
+    got = corpus_pipeline.drop_near_duplicates(spark, rows, "")
+    assert got.columns == rows.columns
+    assert sorted(r.doc_id for r in got.collect()) == want
+    cut = simhash.keep_one_of_similar(rows, cap=3, most=200)  # every larger band and group goes through the parts
+    assert sorted(r.doc_id for r in cut.collect()) == want
+    nulls = frame(spark, [(None, "one two"), (None, "one two"), (None, "three")])
+    assert sorted(r.text for r in simhash.keep_one_of_similar(nulls).collect()) == ["one two", "three"]
+    assert simhash.keep_one_of_similar(rows.limit(0)).count() == 0
+
+
 def test_suffix_stage_removes_what_the_operator_removes(spark):
     docs = repeats(4) + [(900, None)]
     got = suffix_dedup.strip_repeats(frame(spark, docs), 40)
