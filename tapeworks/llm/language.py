@@ -113,7 +113,8 @@ def train(
     alpha: float = 1.0, beta: float = 1.0, l1: float = 0.05, l2: float = 0.01, epochs: int = 3,
 ) -> Model:
     """Learns from rows with a language and a letter that are not held out. At most about ``sample`` rows are fitted on,
-    chosen by a hash of the id, the same share of the bound for each language (and 50 rows of each at least)."""
+    chosen by a hash of the id, the same share of the bound for each language (and 50 rows of each at least). They are fitted,
+    and cut at the bound, in the order of another hash, which mixes the languages whatever their shares."""
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # one row a language
     languages = sorted(counts)
@@ -123,28 +124,28 @@ def train(
     rates = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, each / counts[k]))])
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
     rows = small_batches(known).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), place.alias("place"),
+        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit("turn")).alias("turn"),
         (place < rates[F.col(lang_col)] * F.lit(1 << 30)).alias("chosen"),
     )
     # as packed integers, a row is small on the driver too
-    schema = "lang string, place bigint, at binary, counts binary"
+    schema = "lang string, turn bigint, at binary, counts binary"
     types = [pa.string(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows):
             columns = list(zip(*rows, strict=True)) or [[]] * 4
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lang", "place", "at", "counts"])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lang", "turn", "at", "counts"])
 
         seen = np.zeros(BUCKETS + 1, np.int64)  # the last: documents
         for part in row_slices(batches):
             out = []
-            for text, lang, place, chosen in zip(*[part.column(i).to_pylist() for i in range(4)], strict=True):
+            for text, lang, turn, chosen in zip(*[part.column(i).to_pylist() for i in range(4)], strict=True):
                 if has_letter(text):
                     at, n = gram_counts(text)
                     seen[at] += 1
                     seen[-1] += 1
                     if chosen:
-                        out.append((lang, place, at.astype("<i2").tobytes(), np.minimum(n, 2**31 - 1).astype("<i4").tobytes()))
+                        out.append((lang, turn, at.astype("<i2").tobytes(), np.minimum(n, 2**31 - 1).astype("<i4").tobytes()))
             if out:
                 yield batch(out)
         yield batch([(None, None, None, seen.astype("<i8").tobytes())])
@@ -163,7 +164,7 @@ def train(
         tallies = tallies.repartition(parts).mapInArrow(add, "counts binary")
     seen = np.frombuffer(tallies.first().counts, "<i8").astype(np.float64)
     model = Model(languages, np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1, np.zeros((BUCKETS, len(languages))))
-    chosen = found.where("lang IS NOT NULL").orderBy("place", "lang").limit(sample + 50 * len(languages)).collect()
+    chosen = found.where("lang IS NOT NULL").orderBy("turn", "lang").limit(sample + 50 * len(languages)).collect()
     rows = [(languages.index(r.lang), np.frombuffer(r.at, "<i2").astype(np.int64), np.frombuffer(r.counts, "<i4")) for r in chosen]
     fit_leader(model, [x for i, x in enumerate(rows) if i % 5], alpha, beta, l1, l2, epochs)
     model.temperature = calibrate(model, rows[::5])

@@ -56,3 +56,13 @@ def test_penalty_leaves_weights_out():
     language.fit_leader(loose, rows, 1.0, 1.0, 0.0, 0.01, 2)
     language.fit_leader(strict, rows, 1.0, 1.0, 0.3, 0.01, 2)
     assert 0 < np.count_nonzero(strict.weights) < np.count_nonzero(loose.weights)
+
+
+def test_rows_are_fitted_in_an_order_that_mixes_the_languages(spark, monkeypatch):
+    rows = [(i, f"{'the thing' if i % 11 else 'le été'} {i}", "en" if i % 11 else "fr") for i in range(3300)]
+    fitted = []
+    monkeypatch.setattr(language, "fit_leader", lambda model, rows, *_: fitted.extend(x[0] for x in rows))
+    language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=300)
+    places = np.flatnonzero(np.array(fitted) == 0) / len(fitted)  # en, of which a smaller share is chosen
+    assert 60 < len(places) < len(fitted) - 60
+    assert 0.4 < places.mean() < 0.6 and places.max() > 0.95
