@@ -241,7 +241,7 @@ def logistic_model(spark, sf_dir):
 
 @query
 def boosted_model(spark, sf_dir):
-    return _modelled(spark, sf_dir, lambda t, c: models.fit_boosted(t, c, rounds=10, leaf=10), "p_boosted")
+    return _modelled(spark, sf_dir, lambda t, c: models.fit_boosted(t, c, leaf=10), "p_boosted")
 
 
 def queries() -> dict[str, Query]:

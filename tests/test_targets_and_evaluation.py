@@ -154,3 +154,14 @@ def test_logistic_regression_matches_newton(spark, tmp_path):
     assert sum(r.violations for r in audits.disagreements(first.select("a", "b", "p"), again.select("a", "b", "p"), ["a", "b"], ["p"]).collect()) == 0
     boosted = models.probabilities(models.fit_boosted(z, ["a", "b"], rounds=5, leaf=20), z, "p")
     assert all(0 < r.p < 1 for r in boosted.collect())
+
+
+def test_registered_boosted_model_takes_all_rounds(monkeypatch):
+    from tapeworks.plans import registry
+
+    fits, boosted = [], []
+    monkeypatch.setattr(registry, "_modelled", lambda spark, sf_dir, fit, name: fits.append(fit))
+    monkeypatch.setattr(models, "fit_boosted", lambda t, c, rounds=200, rate=0.05, leaf=500: boosted.append((rounds, rate)))
+    registry.queries()["boosted_model"](None, "")
+    fits[0](None, [])
+    assert boosted == [(200, 0.05)]
