@@ -27,8 +27,9 @@ class EliasFano:
         values = np.asarray(values, np.uint64)
         n, top = len(values), int(values[-1]) if len(values) else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
-        shifts = np.arange(low_bits, dtype=np.uint64)
-        bits = (values[:, None] >> shifts & np.uint64(1)).astype(np.uint8)
+        bits = np.empty((n, low_bits), np.uint8)  # a byte a bit at most, plane by plane
+        for b in range(low_bits):
+            bits[:, b] = values >> np.uint64(b) & np.uint64(1)
         low = np.packbits(bits.ravel(), bitorder="little").tobytes()
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         vector = np.zeros(-(-(n + (top >> low_bits) + 1) // 64) * 64, np.uint8)
@@ -73,8 +74,9 @@ class EliasFano:
         ones = np.flatnonzero(np.unpackbits(self.words.view(np.uint8), bitorder="little"))[: self.n]
         high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
         bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-        low = (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return high | low
+        for b in range(self.low_bits):
+            high |= bits[:, b].astype(np.uint64) << np.uint64(b)
+        return high
 
 
 class IdFile:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .elias_fano import IdFile
-from .shared import materialize, row_slices, shared_dir, small_batches
+from .shared import materialize, row_slices, shared_dir
 from .tokens import WordLevel, encoder, ids_of
 
 MANIFEST = "part int, piece int, path string, n_docs bigint, n_ids bigint"
@@ -31,11 +31,11 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_token_files(
-    docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, file_bytes: int = 32 << 20,
+    docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, file_bytes: int = 32 << 20, file_docs: int = 1 << 20,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Writes all documents' ids, ``end_id`` after each, into ``folder``; returns the manifest (part, piece, path, n_docs,
-    n_ids, first: ids of all files before it)."""
+    n_ids, first: ids of all files before it). A file is closed at ``file_bytes`` of ids or ``file_docs`` documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = encoder(WordLevel, vocabulary), TaskContext.get().partitionId()
@@ -59,12 +59,12 @@ def write_token_files(
                 keys.append(key)
                 held.append(np.concatenate([ids_of(packed), end]))
                 size += held[-1].nbytes
-                if size >= file_bytes:
+                if size >= file_bytes or len(keys) >= file_docs:
                     yield flush()
         if keys:
             yield flush()
 
-    source = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = materialize(ordered.mapInArrow(run, MANIFEST), "token-manifest")
     # two levels, so that the only global window has one row a partition
@@ -102,6 +102,7 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
 def token_file_rows(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files of ``docs`` into a new folder of the shared one, reads them back, and returns (doc_id, start,
     n_tokens, ids_crc32), a row for each row of ``docs``. Null and empty texts have the end id alone. Null doc_ids come
-    first; equal ones are ordered by text. Other columns are ignored; an empty table gives no file and no row."""
+    first; equal ones are ordered by text. Very long texts are taken whole, each in one file. Other columns are ignored; an
+    empty table gives no file and no row."""
     folder = f"{shared_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
     return read_token_files(write_token_files(docs, folder, vocabulary, end_id, id_col=id_col, text_col=text_col))

@@ -2,7 +2,8 @@
 
 A text is cut where the tokenizer cannot look across (the conditions stand at each class); each distinct piece is encoded
 once by the library, and a text's ids are its pieces' ids in a row. A text that meets a case the cuts are not proven for
-goes to the library whole. Pieces are kept per Python worker, up to ``LIMIT`` of them, then forgotten all at once.
+goes to the library whole. Pieces are kept per Python worker, up to about ``LIMIT`` bytes of them, then forgotten all at
+once; pieces of over ``LONG`` characters hardly recur and are forgotten after their batch.
 Ids are kept as little-endian unsigned 16-bit integers, so vocabularies of up to 65,536 ids are taken.
 """
 
@@ -16,7 +17,9 @@ from functools import cache
 
 import numpy as np
 
-LIMIT = 1_000_000
+LIMIT, LONG = 192 << 20, 256
+#: What Python needs for an entry besides its characters and ids.
+ENTRY = 160
 
 
 def ids_of(packed: bytes) -> np.ndarray:
@@ -35,6 +38,7 @@ class Pieces:
             raise ValueError("ids do not fit 16 bits")
         self.known: dict[str, bytes] = {}
         self.unsure: set[str] = set()
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u2").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,11 +83,21 @@ class Pieces:
         self.known.update(zip(order, self.once(order), strict=True))
         for piece, inner in made.items():
             self.known[piece] = b"".join([self.known[p] for p in inner])
+        self.held += sum([ENTRY + 4 * len(p) for p in missing]) + sum([ENTRY + 4 * len(p) for p in order])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > LIMIT or len(self.unsure) > LIMIT:
+    def forget(self, missing: set[str]) -> None:
+        """Drops a batch's long pieces, and everything once too much is held."""
+        if self.held > LIMIT:
             self.known.clear()
             self.unsure.clear()
+            self.held = 0
+            return
+        for piece in missing:
+            if len(piece) > LONG:
+                self.known.pop(piece, None)
+                self.unsure.discard(piece)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         get, found, gaps, missing = self.known.get, [], [], set()
         for n, text in enumerate(texts):
             cut = self.cut(text)
@@ -104,6 +118,7 @@ class Pieces:
                 ids[i] = get(cut[i])
             if all([ids[i] is not None for i in holes]):
                 found[n] = b"".join(ids)
+        self.forget(missing)
         rest = [n for n, ids in enumerate(found) if ids is None]
         for n, ids in zip(rest, self.whole([texts[n] for n in rest]), strict=True):
             found[n] = ids

@@ -50,9 +50,10 @@ def test_rows_read_back_match_the_library(spark):
         start += len(ids)
     got = token_files.token_file_rows(frame(spark, docs), VOCABULARY)
     assert sorted(map(tuple, got.collect())) == want
-    manifest = token_files.write_token_files(frame(spark, docs), f"{shared_dir(spark)}/small-files", VOCABULARY, file_bytes=2000)
-    assert manifest.count() > 1
-    assert sorted(map(tuple, token_files.read_token_files(manifest).collect())) == want
+    for name, bound in (("small", {"file_bytes": 2000}), ("few", {"file_docs": 3})):
+        manifest = token_files.write_token_files(frame(spark, docs), f"{shared_dir(spark)}/{name}-files", VOCABULARY, **bound)
+        assert manifest.count() > 1 and (name == "small" or manifest.where("n_docs > 3").count() == 0)
+        assert sorted(map(tuple, token_files.read_token_files(manifest).collect())) == want
     assert token_files.token_file_rows(frame(spark).limit(0), VOCABULARY).count() == 0
 
 
@@ -62,3 +63,14 @@ def test_pieces_equal_the_library(kind, name, monkeypatch):
     monkeypatch.setattr(tokens, "LIMIT", 300)
     for at in range(0, len(texts), 50):
         assert own.encode(texts[at : at + 50]) == own.whole(texts[at : at + 50])
+
+
+def test_coding_sparse_keys_takes_little_memory():
+    import tracemalloc
+
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**62, 200_000)).astype(np.uint64)
+    tracemalloc.start()
+    coded = EliasFano.encode(keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert coded.select(777) == int(keys[777]) and peak < 100 * len(keys)  # bytes a key
