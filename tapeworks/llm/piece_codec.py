@@ -6,7 +6,8 @@ two new neighbours' pairs are added. Symbols that end up outside the vocabulary
 
 No piece of the vocabulary holds a space after another character, nor a line feed; this is checked when it is loaded. So
 merges never cross the start of a run of spaces or a line feed, a text is encoded in such chunks, and the ids of a chunk
-are remembered. The new chunks of each Arrow batch are also encoded by the sentencepiece library, and must agree."""
+are remembered (up to LIMIT bytes a worker). The new chunks of each Arrow batch are also encoded by the sentencepiece library;
+a text with a chunk on which the two differ is encoded by the library as a whole."""
 
 from __future__ import annotations
 
@@ -21,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import row_slices, small_batches
+from .shared import row_slices
 
 SPACE = "▁"
-LIMIT = 1_500_000
+#: Bytes of chunks kept by a worker, about; characters of a chunk that may recur; bytes of an entry besides its own.
+LIMIT, LONG, ENTRY = 192 << 20, 256, 160
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -92,6 +94,8 @@ class Codec:
         self.agenda = Agenda([(p.piece, p.score, p.type) for p in model.pieces])
         self.known: dict[str, bytes] = {}
         self.last: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # chunks on which agenda and library differ
+        self.held = 0
         self.decimals = [str(i).encode() for i in range(len(model.pieces))]
         self.feed = len(self.agenda.encode("\n"))
         self.lead = len(self.library.encode("\n")) - self.feed
@@ -128,22 +132,25 @@ class Codec:
             elif shape == SPACE and not b:
                 b = a  # the library gives nothing for an empty text; between two others it is one space
             self.check(chunk, a, b)
+            self.held += ENTRY + 4 * len(chunk)
             self.known[chunk] = _packed(a)
         for chunk, rest in made.items():
             if (last := self.last.get(chunk[-1])) is None:
                 ids = self.agenda.encode(chunk[-1])
-                self.check(chunk[-1], ids, self.library.encode("\n" + chunk[-1])[self.lead + self.feed :])
-                last = self.last[chunk[-1]] = _packed(ids)
+                last = _packed(ids)
+                if self.check(chunk, ids, self.library.encode("\n" + chunk[-1])[self.lead + self.feed :]):
+                    self.last[chunk[-1]] = last
+            if rest in self.odd:
+                self.odd.add(chunk)
             self.known[chunk] = self.known[rest] + last
+            self.held += ENTRY + 4 * len(chunk)
 
-    def check(self, chunk: str, own: list[int], theirs: list[int]) -> None:
+    def check(self, chunk: str, own: list[int], theirs: list[int]) -> bool:
         if own != theirs:
-            raise ValueError(f"agenda and library differ on {chunk!r}: {own} and {theirs}")
+            self.odd.add(chunk)
+        return own == theirs
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.known) > LIMIT:
-            self.known.clear()
-            self.last.clear()
         get, found, gaps, missing = self.known.get, [], [], set()
         for n, text in enumerate(texts):
             cut = self.chunks(text)
@@ -160,7 +167,26 @@ class Codec:
             for i in holes:
                 values[i] = get(cut[i])
             found[n] = b"".join(values)
-        return [memoryview(x).cast("H").tolist() for x in found]
+        ids = [memoryview(x).cast("H").tolist() for x in found]
+        if self.odd:
+            for n, text in enumerate(texts):
+                if not self.odd.isdisjoint(self.chunks(text)):
+                    ids[n] = self.library.encode(text)
+        self.forget(missing)
+        return ids
+
+    def forget(self, missing: set[str]) -> None:
+        """Drops a batch's long chunks, and everything once too much is held."""
+        if self.held > LIMIT:
+            self.known.clear()
+            self.last.clear()
+            self.odd.clear()
+            self.held = 0
+            return
+        for chunk in missing:
+            if len(chunk) > LONG:
+                self.known.pop(chunk, None)
+                self.odd.discard(chunk)
 
     def spelled(self, ids: list[int]) -> bytes:
         """The ids' decimals joined by commas."""
@@ -195,5 +221,5 @@ def encode_documents(docs: DataFrame, model: str, with_ids: bool = False, id_col
                     c.append(x)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    source = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, schema)

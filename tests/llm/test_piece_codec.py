@@ -38,3 +38,17 @@ def test_agenda_takes_the_best_score_then_the_leftmost():
     assert agenda.encode("aab") == [5] and agenda.encode("aaa") == [3, 1] and agenda.encode("aaaz") == [3, 1, 0]
     with pytest.raises(ValueError):
         piece_codec.Agenda([("a▁b", 0, 1)])
+
+
+def test_text_with_a_chunk_on_which_the_two_differ_goes_to_the_library():
+    library, own = sentencepiece.SentencePieceProcessor(model_file=MODEL), piece_codec.Codec(MODEL)
+    real = own.agenda.encode
+    own.agenda.encode = lambda chunk: [1] if chunk.endswith("thing") else real(chunk)
+    texts = ["a thing, or two", "nothing odd", "plain words", "thing"]
+    assert own.encode(texts) == own.encode(texts) == library.encode(texts)
+
+
+def test_long_chunks_are_not_kept():
+    own = piece_codec.Codec(MODEL)
+    own.encode(["x" * 5000 + " short", "y" * 5000])
+    assert own.known and max(map(len, own.known)) <= piece_codec.LONG
