@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, row_slices, small_batches
+from .shared import materialize, row_slices
 
 BUCKETS = 1 << 15
 UNDETERMINED = "und"
@@ -87,17 +87,23 @@ def fit_leader(model: Model, rows: list, alpha: float, beta: float, l1: float, l
 
 
 def calibrate(model: Model, rows: list) -> float:
-    """The temperature of least log loss, by golden-section search on its logarithm."""
+    """The temperature of least log loss, by golden-section search on its logarithm. The label's target is (n + 1) / (n + 2) on
+    n rows, and the others share the rest: languages that are told apart without an error have a finite best temperature."""
     if not rows:
         return 1.0
+    rest = 1 / (len(rows) + 2) if len(model.languages) > 1 else 0.0
     scores, labels = np.array([model.scores(at, counts) for _, at, counts in rows]), np.array([x[0] for x in rows])
 
     def loss(log_t: float) -> float:
-        p = softmax(scores / np.exp(log_t))
-        return -np.log(np.maximum(p[np.arange(len(rows)), labels], 1e-12)).mean()
-
-    low, high, ratio = -3.0, 3.0, (np.sqrt(5) - 1) / 2
-    for _ in range(40):
+        x = scores / np.exp(log_t)
+        x = x - x.max(axis=1, keepdims=True)
+        log_p = x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+        own = log_p[np.arange(len(rows)), labels]
+        others = (log_p.sum(axis=1) - own) / max(1, log_p.shape[1] - 1)
+        return -((1 - rest) * own + rest * others).mean()
+
+    low, high, ratio = -8.0, 8.0, (np.sqrt(5) - 1) / 2
+    for _ in range(48):
         a, b = high - ratio * (high - low), low + ratio * (high - low)
         low, high = (low, b) if loss(a) <= loss(b) else (a, high)
     return float(np.exp((low + high) / 2))
@@ -110,20 +116,22 @@ def held_out(id_col: str = "doc_id"):
 
 def train(
     docs: DataFrame, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    alpha: float = 1.0, beta: float = 1.0, l1: float = 0.05, l2: float = 0.01, epochs: int = 3,
+    alpha: float = 1.0, beta: float = 1.0, l1: float = 0.05, l2: float = 0.01, epochs: int = 3, most: int = 256,
 ) -> Model:
     """Learns from rows with a language and a letter that are not held out. At most about ``sample`` rows are fitted on,
     chosen by a hash of the id, the same share of the bound for each language (and 50 rows of each at least). They are fitted,
-    and cut at the bound, in the order of another hash, which mixes the languages whatever their shares."""
+    and cut at the bound, in the order of another hash, which mixes the languages whatever their shares. Of the values of
+    ``lang_col`` the ``most`` frequent are learned (of equally frequent ones, the first by name), so the model is bounded too."""
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # one row a language
+    counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(most)
+    counts = {r.lang: r.rows for r in counts.collect()}  # at most ``most`` rows
     languages = sorted(counts)
     if not languages:
         return Model([], np.ones(BUCKETS), np.zeros((BUCKETS, 0)))
     each = max(50, sample // len(languages))
     rates = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, each / counts[k]))])
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
-    rows = small_batches(known).select(
+    rows = known.select(
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit("turn")).alias("turn"),
         (place < rates[F.col(lang_col)] * F.lit(1 << 30)).alias("chosen"),
     )
@@ -173,24 +181,29 @@ def train(
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for each row; ``und`` with score 0 where the text is null or has no letter, or nothing was
-    learned. Only the text decides. Repeated rows keep a row each; other columns are ignored."""
+    learned. Only the text decides, and all of it however long; of equal scores the first language by name wins. Repeated rows
+    keep a row each; other columns are ignored, whatever their names; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches):
             found = [model.predict(x) for x in part.column(1).to_pylist()]
             yield pa.record_batch([part.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """Trains on ``docs`` and returns (doc_id, held_out, lang_pred, score) for each of its rows."""
+    """Trains on ``docs`` and returns (doc_id, held_out, lang_pred, score) for each of its rows; odd rows as in ``identify``."""
     found = identify(docs, train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options), id_col, text_col)
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language is determined with a score of at least ``least``."""
+    """The rows, with all their columns, whose language is determined with a score of at least ``least``.
+
+    Null and letterless texts are undetermined, so they go; very long texts are taken whole; of equal scores the first language
+    by name counts. Equal rows stay or go together; other columns pass through, whatever their names; an empty table gives
+    an empty result."""
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,4 +211,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col:
             found = [model.predict(x) for x in part.column(place).to_pylist()]
             yield part.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

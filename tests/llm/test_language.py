@@ -66,3 +66,76 @@ def test_rows_are_fitted_in_an_order_that_mixes_the_languages(spark, monkeypatch
     places = np.flatnonzero(np.array(fitted) == 0) / len(fitted)  # en, of which a smaller share is chosen
     assert 60 < len(places) < len(fitted) - 60
     assert 0.4 < places.mean() < 0.6 and places.max() > 0.95
+
+
+def test_weights_match_a_row_by_row_version():
+    """TF-IDF, follow-the-regularised-leader and the penalties, written out one coordinate at a time."""
+    rng = random.Random(3)
+    texts = [("".join(rng.choices("abcde " if i % 2 else "cdefg ", k=30)), i % 2) for i in range(24)]
+    idf = np.random.default_rng(1).uniform(1, 3, language.BUCKETS)
+    alpha, beta, l1, l2 = 0.8, 1.2, 0.02, 0.05
+    model = language.Model(["a", "b"], idf, np.zeros((language.BUCKETS, 2)))
+    language.fit_leader(model, [(y, *language.gram_counts(t)) for t, y in texts], alpha, beta, l1, l2, 2)
+
+    def grams(text):  # 1- to 3-grams by their own bucket function
+        codes, counts = [ord(c) for c in text], {}
+        for start in range(len(codes)):
+            value = 0
+            for order, factor in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                if start + order >= len(codes):
+                    break
+                value = (value ^ codes[start + order]) * factor % 2**32
+                value ^= value >> 15
+                counts[value % language.BUCKETS] = counts.get(value % language.BUCKETS, 0) + 1
+        return counts
+
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= l1:
+            return 0.0
+        return (np.sign(z[k]) * l1 - z[k]) / ((beta + np.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(2):
+        for text, y in texts:
+            x = {g: (1 + np.log(c)) * idf[g] for g, c in grams(text).items()}
+            norm = np.sqrt(sum(v * v for v in x.values()))
+            x = {g: v / norm for g, v in x.items()}
+            w = {(g, c): weight((g, c)) for g in x for c in (0, 1)}
+            e = [np.exp(sum(x[g] * w[g, c] for g in x)) for c in (0, 1)]
+            for g in x:
+                for c in (0, 1):
+                    slope = x[g] * (e[c] / sum(e) - (c == y))
+                    before = n.get((g, c), 0.0)
+                    z[g, c] = z.get((g, c), 0.0) + slope - (np.sqrt(before + slope**2) - np.sqrt(before)) / alpha * w[g, c]
+                    n[g, c] = before + slope**2
+    slow = np.zeros((language.BUCKETS, 2))
+    for k in z:
+        slow[k] = weight(k)
+    assert np.count_nonzero(slow) and np.allclose(model.weights, slow, atol=1e-9)
+
+
+def test_temperature_is_the_best_and_inside_the_range():
+    rng = np.random.default_rng(2)
+    model = language.Model(["a", "b"], np.ones(language.BUCKETS), rng.standard_normal((language.BUCKETS, 2)))
+    rows = [(int(rng.integers(2)), np.unique(rng.integers(0, language.BUCKETS, 9)), np.ones(9, np.int64)) for _ in range(80)]
+    rows = [(y, at, c[: len(at)]) for y, at, c in rows]
+    apart = [(int(np.argmax(model.scores(at, c))), at, c) for _, at, c in rows]  # no error at all
+    for data in (rows, apart):
+        best, target = language.calibrate(model, data), (len(data) + 1) / (len(data) + 2)
+
+        def loss(t, data=data, target=target):
+            out = 0.0
+            for y, at, c in data:
+                p = language.softmax(model.scores(at, c) / t)
+                out -= target * np.log(p[y]) + (1 - target) * np.log(p[1 - y])
+            return out
+
+        assert np.exp(-7.9) < best < np.exp(7.9)
+        assert all(loss(best) <= loss(best * k) + 1e-9 for k in (0.9, 0.99, 1.01, 1.1))
+
+
+def test_only_the_most_frequent_values_are_learned(spark):
+    rows = [(i, f"the thing {i}", "en" if i % 2 else f"junk{i}") for i in range(400)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=2)
+    assert len(model.languages) == 2 and "en" in model.languages
