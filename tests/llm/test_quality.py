@@ -61,3 +61,57 @@ def test_no_labels_edges_and_order(spark):
     rules = quality.DecisionList([[("n_words", True, 5.0)], [("n_words", True, 2.0), ("dup_lines", False, 0.0)]])
     rows = spark.createDataFrame([(9, 0, 0, 0, 0), (4, 0, 0, 0, 0), (4, 0, 0, 1, 0)], "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
     assert [r[0] for r in rows.select(rules.rule_number()).collect()] == [1, 2, None]
+
+
+def covered(cells, counts, precision=0.9, support=8, most=8):
+    cuts = [[float(k) for k in range(int(cells[:, f].max()))] for f in range(cells.shape[1])]
+    return quality.cover(cells, counts.astype(float), cuts, precision, support, most).rules
+
+
+def holds(rule, cell):
+    names = list(quality.FEATURES)
+    return all((cell[names.index(f)] > at) == above for f, above, at in rule)
+
+
+def test_cover_learns_ordered_conjunctions():
+    """Low rows lie in one corner of two features, and beyond a threshold of a third: two rules, one of them a conjunction."""
+    rng = np.random.default_rng(4)
+    cells = rng.integers(0, 4, (4000, 5))
+    low = ((cells[:, 0] > 1) & (cells[:, 2] > 2)) | ((cells[:, 4] > 2) & (cells[:, 3] <= 1))
+    prune = rng.random(4000) < 1 / 3
+    counts = np.column_stack([low & ~prune, ~low & ~prune, low & prune, ~low & prune])
+    rules = covered(cells, counts)
+    assert len(rules) >= 2 and sum(len(r) > 1 for r in rules) >= 2
+    got = np.array([any(holds(r, c) for r in rules) for c in cells])
+    assert (got == low).all()
+
+
+def test_first_literal_has_the_most_information():
+    rng = np.random.default_rng(5)
+    cells = rng.integers(0, 3, (600, 5))
+    low = rng.random(600) < np.where(cells[:, 1] > 1, 0.97, 0.05)
+    counts = np.column_stack([low, ~low, low, ~low])
+
+    def gain(mask):
+        p, q, p0, q0 = (low & mask).sum(), (~low & mask).sum(), low.sum(), (~low).sum()
+        return p * (np.log2(p / (p + q)) - np.log2(p0 / (p0 + q0))) if p else -1
+
+    best = max((gain((cells[:, f] > k) == above), f, above, k) for f in range(5) for k in range(2) for above in (True, False))
+    name, above, at = covered(cells, counts)[0][0]
+    assert (quality.FEATURES.index(name), above, at) == best[1:]
+
+
+def test_imprecise_and_rare_rules_are_left_out():
+    cells = np.array([[0] * 5, [1] * 5, [2] * 5])
+    assert covered(cells, np.array([[50, 50, 25, 25], [0, 100, 0, 50], [40, 8, 20, 4]])) == []  # 0.83 at best
+    assert covered(cells, np.array([[4, 0, 2, 0], [0, 100, 0, 50], [0, 100, 0, 50]])) == []  # six rows
+    assert len(covered(cells, np.array([[6, 0, 2, 0], [0, 100, 0, 50], [0, 100, 0, 50]]))) == 1
+
+
+def test_few_labels_are_enough(spark):
+    """As few bad rows as a small labelled table has: a perfect rule is taken."""
+    docs, labels = labelled(300, 7)
+    got = {r.doc_id: r for r in quality.judge(frame(spark, docs), spark.createDataFrame(labels[:150], "doc_id long, quality int")).collect()}
+    assert np.mean([got[i].kept for i, good in labels if good]) > 0.97
+    assert np.mean([not got[i].kept for i, good in labels if not good]) > 0.8
+    assert {r.rule_number for r in got.values()} - {None}
