@@ -57,7 +57,7 @@ def judge_urls(
     parsed = [(n, verdict, text, *parse_rule(text)) for n, (verdict, text) in enumerate(rules)]
     book = spark.createDataFrame(
         [
-            (n, verdict, text, f"^(?:[^/]*\\.)?{_quoted(host)}{_quoted(path)}" if path else f"^(?:[^/]*\\.)?{_quoted(host)}(?:/|$)", (len(text) << 32) - n, _literals(host, path) or [""])
+            (n, verdict, text, f"^(?:[^/]*\\.)?{_quoted(host)}{_quoted(path)}" if path else f"^(?:[^/]*\\.)?{_quoted(host)}(?:/|\\z)", (len(text) << 32) - n, _literals(host, path) or [""])
             for n, verdict, text, host, path in parsed
         ],
         "n int, rule_verdict string, rule string, pattern string, rank long, tokens array<string>",
