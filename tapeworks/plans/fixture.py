@@ -17,31 +17,40 @@ TEN = Settings(COVERAGE, 600, (1, 5, 15), (5, 15), (5, 15), (5, 15), 5, 20, (510
 HALF = Settings(COVERAGE, 1800, (1, 5, 15), (5, 15), (5, 15), (5, 15), 5, 10, (510, 570), 15)
 HOUR = Settings(COVERAGE, 3600, (1, 3, 5), (3, 5), (3, 5), (3, 5), 3, 10, (510, 630), 5)
 HORIZON, TOLERANCE = 3, 900
+#: Bars of a minute with the defaults of the operators, over the dense tape.
+MINUTE = Settings(COVERAGE)
 FOLDS = [("2024-01-13", "2024-01-17"), ("2024-01-18", "2024-01-22"), ("2024-01-23", "2024-01-27")]
 MOMENTUM = "return_1m"
 MODEL_FEATURES = ["return_1m", "return_3m", "log_volume_1m", "log_trade_count_1m", "trade_size_dispersion_1m", "delta_1m", "activity_acceleration_3m"]
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tape.with_context(tape.trades_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")))
+def trades(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    make = tape.dense_trades_from_events if dense else tape.trades_from_events
+    return tape.with_context(make(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
-def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks.with_flow(ticks.tick_rule(trades(spark, sf_dir)))
+def classified(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    return ticks.with_flow(ticks.tick_rule(trades(spark, sf_dir, dense)))
 
 
-def seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars.second_bars(classified(spark, sf_dir))
+def seconds(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    return bars.second_bars(classified(spark, sf_dir, dense))
 
 
 def rolled(spark: SparkSession, sf_dir: str, s: Settings) -> DataFrame:
-    return bars.roll_up(seconds(spark, sf_dir), s.width)
+    return bars.roll_up(seconds(spark, sf_dir, s is MINUTE), s.width)
 
 
 def prepared(spark: SparkSession, sf_dir: str, s: Settings) -> DataFrame:
     return features.prepare(rolled(spark, sf_dir, s), s)
 
 
+def minute_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the operators' defaults: a quarter of an hour ahead, references within ten seconds."""
+    second = seconds(spark, sf_dir, True)
+    return targets.forward_targets(bars.roll_up(second, MINUTE.width), second)
+
+
 def labels(spark: SparkSession, sf_dir: str, contract_safe: bool = True) -> DataFrame:
     second = seconds(spark, sf_dir)
     return targets.forward_targets(bars.roll_up(second, HOUR.width), second, HOUR.width, HORIZON, TOLERANCE, contract_safe)

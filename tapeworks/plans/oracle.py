@@ -20,6 +20,17 @@ trades AS (
     CASE WHEN side IN ('A', 'B') THEN 0 ELSE size END AS native_unknown_volume, CASE side WHEN 'B' THEN size WHEN 'A' THEN -size ELSE 0 END AS native_delta
   FROM trades
 )"""
+_SOURCE = TRADES[: TRADES.index("), ctx AS")]
+DENSE = TRADES.replace(_SOURCE, """
+placed AS (
+  SELECT *, event_id % 25 AS day, ((event_id // 25) * 18) % 7200 AS second FROM events
+), trades AS (
+  SELECT make_timestamp(1704204000000000 + day * 86400000000 + second * 1000000 + (event_id % 10) * 100000) AS ts_event, event_id AS seq,
+    CAST(CASE WHEN ts_event < TIMESTAMP '2024-01-11 15:00:00' THEN 1 WHEN ts_event < TIMESTAMP '2024-01-19 14:40:00' THEN 2 ELSE 3 END AS BIGINT) AS instrument_id,
+    greatest(round(value * 4) / 4, 0.25) AS price, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) + 1 AS size,
+    CASE event_type WHEN 'purchase' THEN 'B' WHEN 'error' THEN 'A' ELSE 'N' END AS side
+  FROM placed WHERE NOT (day % 6 = 5 AND second BETWEEN 3600 AND 3719)
+""")
 TICKS = TRADES + """, k0 AS (
   SELECT *, lag(price) OVER w AS p, lag(instrument_id) OVER w AS i FROM ctx WINDOW w AS (ORDER BY ts_event, seq)
 ), k1 AS (
@@ -193,8 +204,7 @@ def _flow(s) -> str:
     return _select(steps, [_r9(e, n) for n, e in columns.items()], "flow")
 
 
-def _targets(safe: bool) -> str:
-    s, h = fx.HOUR, fx.HORIZON
+def _targets(safe: bool, s=fx.HOUR, h: int = fx.HORIZON, tolerance: int = fx.TOLERANCE) -> str:
     w = s.width * 1_000_000
     ahead = f"(PARTITION BY session_date ORDER BY t RANGE BETWEEN CURRENT ROW AND {h * s.width} FOLLOWING)"
     mismatch = lambda x, i: f"WHEN {x}_id <> instrument_id THEN '{REASONS[i]}'" if safe else ""
@@ -202,7 +212,7 @@ def _targets(safe: bool) -> str:
   SELECT session_date, sec_us // {w} * {w} AS boundary_us, arg_min((first_trade_timestamp_us, open, instrument_id), (first_trade_timestamp_us, instrument_id)) AS ref,
     arg_min(first_trade_timestamp_us, (first_trade_timestamp_us, instrument_id)) AS ref_ts, arg_min(open, (first_trade_timestamp_us, instrument_id)) AS ref_price,
     arg_min(instrument_id, (first_trade_timestamp_us, instrument_id)) AS ref_id
-  FROM seconds WHERE sec_us % {w} < {fx.TOLERANCE * 1000000} GROUP BY 1, 2
+  FROM seconds WHERE sec_us % {w} < {tolerance * 1000000} GROUP BY 1, 2
 ), b0 AS (SELECT *, decision_us // 1000000 AS t, decision_us + {h * w} AS future_us FROM bars
 ), b1 AS (
   SELECT *, CASE WHEN max(t) OVER {ahead} <> t + {h * s.width} THEN '{REASONS[0]}' WHEN min(instrument_id) OVER {ahead} <> instrument_id OR max(instrument_id) OVER {ahead} <> instrument_id THEN '{REASONS[2]}'
@@ -222,9 +232,9 @@ def _targets(safe: bool) -> str:
 )"""
 
 
-def _target_rows(safe: bool) -> str:
+def _target_rows(safe: bool, *settings) -> str:
     ids = ", start_id AS start_reference_instrument_id, future_id AS future_reference_instrument_id" if safe else ""
-    return f"""WITH {_targets(safe)}
+    return f"""WITH {_targets(safe, *settings)}
 SELECT decision_us AS decision_timestamp_us, CAST(session_date AS VARCHAR) AS session_date, instrument_id, contract, start_ts AS start_reference_timestamp_us,
   round(start_delay, 9) AS start_reference_delay_seconds, start_price AS start_reference_price, future_us AS future_boundary_timestamp_us, future_ts AS future_reference_timestamp_us,
   round(future_delay, 9) AS future_reference_delay_seconds, future_price AS future_reference_price, CASE WHEN priced THEN future_price - start_price END AS forward_price_change,
@@ -296,55 +306,113 @@ def _preprocessing(tail: str) -> str:
 {tail}"""
 
 
-def _build() -> dict[str, str]:
-    ten, half, hour = fx.TEN, fx.HALF, fx.HOUR
-    date = "CAST(session_date AS VARCHAR) AS session_date"
-    sql = {
-        "trade_context": f"WITH {TRADES} SELECT seq, ts_us AS ts_event_us, sec_us AS timestamp_second_us, {date}, contract, instrument_id, price, size, native_buy_volume, native_sell_volume, native_unknown_volume, native_delta FROM ctx",
-        "tick_rule": f"WITH {TICKS} SELECT seq, change, direction, CAST(uptick AS BIGINT) AS uptick, CAST(downtick AS BIGINT) AS downtick, CAST(same_price AS BIGINT) AS same_price, inferred_buy_volume, inferred_sell_volume, inferred_unknown_volume, CAST(inferred_delta AS BIGINT) AS inferred_delta FROM ticks",
-        "bars_1s": f"WITH {SECONDS} SELECT * EXCLUDE (sec_us, session_date), sec_us AS timestamp_second_us, {date} FROM seconds",
-        "bars_rollup": f"WITH {bars(ten.width)} SELECT * EXCLUDE (decision_us, start_us, session_date), decision_us AS decision_timestamp_us, start_us AS minute_start_us, {date} FROM bars",
-        "session_manifest": f"""WITH {SECONDS} SELECT {date}, count(*) AS bar_rows, CAST(sum(trade_count) AS BIGINT) AS trades, CAST(sum(total_volume) AS BIGINT) AS volume, min(first_trade_timestamp_us) AS first_trade_us,
-  max(last_trade_timestamp_us) AS last_trade_us, count(DISTINCT instrument_id) AS instruments, count(*) FILTER (WHERE contract_change) AS contract_changes,
-  {_us(fx.COVERAGE.start)} <= {_local("seconds.session_date", -420)} AND {_local("seconds.session_date", 960)} <= {_us(fx.COVERAGE.end)} AS complete,
-  seconds.session_date IN (DATE '2024-01-05', DATE '2024-01-20') OR seconds.session_date - 1 IN (DATE '2024-01-05', DATE '2024-01-20') AS degraded FROM seconds GROUP BY seconds.session_date""",
-        "session_clock": _select(prep(ten), ["slot AS minutes_since_cme_open", _r9("sin(2 * pi() * slot / 1380)", "time_of_day_sin"), _r9("cos(2 * pi() * slot / 1380)", "time_of_day_cos"), _regimes()]),
-        "path_returns": _select(prep(half), [_r9(f"CASE WHEN nth >= {h} THEN ln(close / lag(close, {h}) OVER (PARTITION BY session_date, run ORDER BY t)) END", f"return_{h}m") for h in half.returns]),
-        "path_volatility": _select(prep(half), [
-            *[_r9(_efficiency(h), f"trend_efficiency_{h}m") for h in (5, 15)], *[_r9(_volatility(h), f"realized_volatility_{h}m") for h in (5, 15)],
-            _r9(f"CASE WHEN {_volatility(15)} > 1e-12 THEN {_volatility(5)} / {_volatility(15)} END", "volatility_ratio_5m_15m"),
-        ]),
-        "elapsed_ranges": _select(prep(ten), [_r9(f"CASE WHEN {_elapsed(ten, h)} THEN ln(max(high) OVER {_frame(ten, -(h - 1))} / min(low) OVER {_frame(ten, -(h - 1))}) END", f"range_{h}m") for h in (5, 15)]),
-        "activity_acceleration": _select(prep(ten), [_r9(f"CASE WHEN {_recent(ten)} THEN ln(1 + total_volume) - ln(1 + coalesce(sum(total_volume) OVER {_frame(ten, -5, -1)}, 0) / 5.0) END", "activity_acceleration_5m")]),
-        "participation": _select(prep(ten), [
-            _r9("ln(1 + total_volume)", "log_volume_1m"), _r9("ln(1 + trade_count)", "log_trade_count_1m"), _r9("ln(total_volume / CAST(trade_count AS DOUBLE))", "log_average_trade_size_1m"),
-            _r9("sqrt(greatest(size_squared_sum / CAST(trade_count AS DOUBLE) - (total_volume / CAST(trade_count AS DOUBLE)) ** 2, 0)) / (total_volume / CAST(trade_count AS DOUBLE))", "trade_size_dispersion_1m"),
-            _r9("ln(1 + max_trade_size)", "log_max_trade_size_1m"), _r9(f"active_second_count / {float(ten.width)}", "active_second_fraction_1m"),
-        ]),
-        "activity_baseline": _select(_baseline(hour, prep(hour)), [_r9("ln(1 + total_volume) - bv", "relative_volume_q"), _r9("ln(1 + trade_count) - bn", "relative_trade_count_q")], "based"),
-        "session_state": _select(prep(half) + f""", so_far AS (
+def _session_state(s) -> str:
+    return _select(prep(s) + f""", so_far AS (
   SELECT *, sum(price_volume_sum) OVER w / sum(total_volume) OVER w AS vwap, max(high) OVER w AS hi, min(low) OVER w AS lo, ({_us(fx.COVERAGE.start)} <= open_us AND coalesce(decision_us <= {_first_gap()}, TRUE)) AS ok
   FROM prep WINDOW w AS (PARTITION BY session_date, segment ORDER BY t ROWS UNBOUNDED PRECEDING)
 )""", [
-            _r9(f"CASE WHEN ok THEN {_distance('vwap')} END", "session_vwap_distance"), _r9("CASE WHEN ok THEN CASE WHEN hi = lo THEN 0.5 ELSE (close - lo) / (hi - lo) END END", "session_range_position"),
-            _r9(f"CASE WHEN ok THEN {_distance('hi')} END", "session_high_distance"), _r9(f"CASE WHEN ok THEN {_distance('lo')} END", "session_low_distance"),
-        ], "so_far"),
-        "prior_session_levels": _select(prep(half) + f""", lv AS (
+        _r9(f"CASE WHEN ok THEN {_distance('vwap')} END", "session_vwap_distance"), _r9("CASE WHEN ok THEN CASE WHEN hi = lo THEN 0.5 ELSE (close - lo) / (hi - lo) END END", "session_range_position"),
+        _r9(f"CASE WHEN ok THEN {_distance('hi')} END", "session_high_distance"), _r9(f"CASE WHEN ok THEN {_distance('lo')} END", "session_low_distance"),
+    ], "so_far")
+
+
+def _prior_session(s) -> str:
+    return _select(prep(s) + f""", lv AS (
   SELECT session_date, max(high) AS h, min(low) AS l, arg_max(close, decision_us) AS c, max(decision_us) AS d, min(instrument_id) AS id,
     min(instrument_id) = max(instrument_id) AND {_us(fx.COVERAGE.start)} <= min(open_us) AND min(close_us) <= {_us(fx.COVERAGE.end)} AND session_date NOT IN ({", ".join(f"DATE '{g[0]}'" for g in fx.COVERAGE.gaps)}) AS ok
   FROM prep GROUP BY session_date
 ), pv AS (
   SELECT session_date, lag(h) OVER w AS h, lag(l) OVER w AS l, lag(c) OVER w AS c, lag(d) OVER w AS d, lag(id) OVER w AS id, lag(ok) OVER w AS ok FROM lv WINDOW w AS (ORDER BY session_date)
 ), against AS (SELECT prep.*, h, l, c, ok AND d < decision_us AND id = instrument_id AS usable FROM prep JOIN pv USING (session_date))""", [
-            _r9(f"CASE WHEN usable THEN {_distance(x)} END", f"prior_session_{n}_distance") for x, n in (("h", "high"), ("l", "low"), ("c", "close"))
-        ], "against"),
-        "opening_range": _select(prep(half) + f""", o0 AS (
-  SELECT *, {_local("session_date", half.opening[0])} AS a, {_local("session_date", half.opening[1])} AS b FROM prep
+        _r9(f"CASE WHEN usable THEN {_distance(x)} END", f"prior_session_{n}_distance") for x, n in (("h", "high"), ("l", "low"), ("c", "close"))
+    ], "against")
+
+
+def _opening_range(s) -> str:
+    return _select(prep(s) + f""", o0 AS (
+  SELECT *, {_local("session_date", s.opening[0])} AS a, {_local("session_date", s.opening[1])} AS b FROM prep
 ), o1 AS (
   SELECT session_date, max(high) AS hi, min(low) AS lo, min(instrument_id) AS i1, max(instrument_id) AS i2, count(DISTINCT start_us) AS n FROM o0 WHERE start_us >= a AND start_us < b GROUP BY session_date
 ), opened AS (
-  SELECT o0.*, hi, lo, decision_us >= b AND n = {(half.opening[1] - half.opening[0]) * 60 // half.width} AND i1 = i2 AND i1 = instrument_id AND {_valid("a", "b")} AS ok FROM o0 LEFT JOIN o1 USING (session_date)
-)""", [_r9("CASE WHEN ok THEN CASE WHEN hi = lo THEN 0.5 ELSE (close - lo) / (hi - lo) END END", "us_opening_range_position")], "opened"),
+  SELECT o0.*, hi, lo, decision_us >= b AND n = {(s.opening[1] - s.opening[0]) * 60 // s.width} AND i1 = i2 AND i1 = instrument_id AND {_valid("a", "b")} AS ok FROM o0 LEFT JOIN o1 USING (session_date)
+)""", [_r9("CASE WHEN ok THEN CASE WHEN hi = lo THEN 0.5 ELSE (close - lo) / (hi - lo) END END", "us_opening_range_position")], "opened")
+
+
+def _clock_columns() -> list[str]:
+    return ["slot AS minutes_since_cme_open", _r9("sin(2 * pi() * slot / 1380)", "time_of_day_sin"), _r9("cos(2 * pi() * slot / 1380)", "time_of_day_cos"), _regimes()]
+
+
+def _returns(s) -> list[str]:
+    return [_r9(f"CASE WHEN nth >= {h} THEN ln(close / lag(close, {h}) OVER (PARTITION BY session_date, run ORDER BY t)) END", f"return_{h}m") for h in s.returns]
+
+
+def _path_columns(s) -> list[str]:
+    a, b = s.volatilities
+    return [
+        *[_r9(_efficiency(h), f"trend_efficiency_{h}m") for h in s.efficiencies], *[_r9(_volatility(h), f"realized_volatility_{h}m") for h in s.volatilities],
+        _r9(f"CASE WHEN {_volatility(b)} > 1e-12 THEN {_volatility(a)} / {_volatility(b)} END", f"volatility_ratio_{a}m_{b}m"),
+    ]
+
+
+def _range_columns(s) -> list[str]:
+    return [_r9(f"CASE WHEN {_elapsed(s, h)} THEN ln(max(high) OVER {_frame(s, -(h - 1))} / min(low) OVER {_frame(s, -(h - 1))}) END", f"range_{h}m") for h in s.ranges]
+
+
+def _acceleration_column(s) -> str:
+    k = s.recent
+    return _r9(f"CASE WHEN {_recent(s)} THEN ln(1 + total_volume) - ln(1 + coalesce(sum(total_volume) OVER {_frame(s, -k, -1)}, 0) / {float(k)}) END", f"activity_acceleration_{k}m")
+
+
+def _participation_columns(s) -> list[str]:
+    return [
+        _r9("ln(1 + total_volume)", "log_volume_1m"), _r9("ln(1 + trade_count)", "log_trade_count_1m"), _r9("ln(total_volume / CAST(trade_count AS DOUBLE))", "log_average_trade_size_1m"),
+        _r9("sqrt(greatest(size_squared_sum / CAST(trade_count AS DOUBLE) - (total_volume / CAST(trade_count AS DOUBLE)) ** 2, 0)) / (total_volume / CAST(trade_count AS DOUBLE))", "trade_size_dispersion_1m"),
+        _r9("ln(1 + max_trade_size)", "log_max_trade_size_1m"), _r9(f"active_second_count / {float(s.width)}", "active_second_fraction_1m"),
+    ]
+
+
+def _relative(s) -> str:
+    return _select(_baseline(s, prep(s)), [_r9("ln(1 + total_volume) - bv", "relative_volume_q"), _r9("ln(1 + trade_count) - bn", "relative_trade_count_q")], "based")
+
+
+def _bar_rows(s) -> str:
+    return f"WITH {bars(s.width)} SELECT * EXCLUDE (decision_us, start_us, session_date), decision_us AS decision_timestamp_us, start_us AS minute_start_us, CAST(session_date AS VARCHAR) AS session_date FROM bars"
+
+
+def _minutes() -> dict[str, str]:
+    """The same steps with the settings of one-minute bars, over the dense tape."""
+    s = fx.MINUTE
+    sql = {
+        "minute_bars": _bar_rows(s), "minute_paths": _select(prep(s), [*_returns(s), *_path_columns(s)]),
+        "minute_activity": _select(prep(s), [*_range_columns(s), _acceleration_column(s), *_participation_columns(s), *_clock_columns()]),
+        "minute_session": _session_state(s), "minute_prior": _prior_session(s), "minute_opening": _opening_range(s), "minute_baseline": _relative(s), "minute_flow": _flow(s),
+        "minute_targets": _target_rows(True, s, 15, 10), "minute_reasons": f"WITH {_targets(True, s, 15, 10)} SELECT eligibility_reason, count(*) AS rows FROM targets GROUP BY 1",
+    }
+    return {name: text.replace(TRADES, DENSE) for name, text in sql.items()}
+
+
+def _build() -> dict[str, str]:
+    ten, half, hour = fx.TEN, fx.HALF, fx.HOUR
+    date = "CAST(session_date AS VARCHAR) AS session_date"
+    sql = {
+        "trade_context": f"WITH {TRADES} SELECT seq, ts_us AS ts_event_us, sec_us AS timestamp_second_us, {date}, contract, instrument_id, price, size, native_buy_volume, native_sell_volume, native_unknown_volume, native_delta FROM ctx",
+        "tick_rule": f"WITH {TICKS} SELECT seq, change, direction, CAST(uptick AS BIGINT) AS uptick, CAST(downtick AS BIGINT) AS downtick, CAST(same_price AS BIGINT) AS same_price, inferred_buy_volume, inferred_sell_volume, inferred_unknown_volume, CAST(inferred_delta AS BIGINT) AS inferred_delta FROM ticks",
+        "bars_1s": f"WITH {SECONDS} SELECT * EXCLUDE (sec_us, session_date), sec_us AS timestamp_second_us, {date} FROM seconds",
+        "bars_rollup": _bar_rows(ten),
+        "session_manifest": f"""WITH {SECONDS} SELECT {date}, count(*) AS bar_rows, CAST(sum(trade_count) AS BIGINT) AS trades, CAST(sum(total_volume) AS BIGINT) AS volume, min(first_trade_timestamp_us) AS first_trade_us,
+  max(last_trade_timestamp_us) AS last_trade_us, count(DISTINCT instrument_id) AS instruments, count(*) FILTER (WHERE contract_change) AS contract_changes,
+  {_us(fx.COVERAGE.start)} <= {_local("seconds.session_date", -420)} AND {_local("seconds.session_date", 960)} <= {_us(fx.COVERAGE.end)} AS complete,
+  seconds.session_date IN (DATE '2024-01-05', DATE '2024-01-20') OR seconds.session_date - 1 IN (DATE '2024-01-05', DATE '2024-01-20') AS degraded FROM seconds GROUP BY seconds.session_date""",
+        "session_clock": _select(prep(ten), _clock_columns()),
+        "path_returns": _select(prep(half), _returns(half)),
+        "path_volatility": _select(prep(half), _path_columns(half)),
+        "elapsed_ranges": _select(prep(ten), _range_columns(ten)),
+        "activity_acceleration": _select(prep(ten), [_acceleration_column(ten)]),
+        "participation": _select(prep(ten), _participation_columns(ten)),
+        "activity_baseline": _relative(hour),
+        "session_state": _session_state(half),
+        "prior_session_levels": _prior_session(half),
+        "opening_range": _opening_range(half),
         "order_flow_features": _flow(hour),
         "asof_reference": f"WITH {_targets(True)} SELECT {date}, boundary_us, ref_ts AS ts_us, ref_price AS price, ref_id AS id FROM refs",
         "forward_targets_v1": _target_rows(False),
@@ -382,7 +450,7 @@ SELECT count(*) AS bars, count(*) FILTER (WHERE x.exact) AS exact_start, count(*
 FROM b0 LEFT JOIN seen x ON x.boundary_us = decision_us LEFT JOIN seen y ON y.boundary_us = future_us""",
         "layer_checks": _layer_checks(),
     }
-    return sql
+    return sql | _minutes()
 
 
 def _layer_checks() -> str:

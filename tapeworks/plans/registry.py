@@ -79,7 +79,27 @@ FEATURE_QUERIES = {
         "price_movement_per_volume", "price_movement_per_absolute_inferred_delta", "delta_price_alignment",
     ),
 }
-_QUERIES |= FEATURE_QUERIES
+MINUTE_QUERIES = {
+    "minute_bars": lambda spark, sf_dir: fx.plain(fx.rolled(spark, sf_dir, fx.MINUTE), *_names(BARS)),
+    "minute_paths": _features(features.paths, fx.MINUTE, "return_1m", "return_5m", "return_15m", "return_30m", "return_60m", "trend_efficiency_5m", "trend_efficiency_15m", "realized_volatility_15m", "realized_volatility_60m", "volatility_ratio_15m_60m"),
+    "minute_activity": _features(
+        lambda df, s: features.session_clock(features.participation(features.acceleration(features.elapsed_ranges(df, s), s), s)), fx.MINUTE,
+        "range_5m", "range_15m", "activity_acceleration_5m", "log_volume_1m", "log_trade_count_1m", "log_average_trade_size_1m", "trade_size_dispersion_1m",
+        "log_max_trade_size_1m", "active_second_fraction_1m", "minutes_since_cme_open", "time_of_day_sin", "time_of_day_cos", "asia_flag", "europe_flag", "us_flag", "us_rth_flag",
+    ),
+    "minute_session": _features(lambda df, s: features.session_state(features.paths(df, s), s), fx.MINUTE, "session_vwap_distance", "session_range_position", "session_high_distance", "session_low_distance"),
+    "minute_prior": _features(lambda df, s: features.prior_session(features.paths(df, s), s), fx.MINUTE, "prior_session_high_distance", "prior_session_low_distance", "prior_session_close_distance"),
+    "minute_opening": _features(features.opening_range, fx.MINUTE, "us_opening_range_position"),
+    "minute_baseline": _features(features.activity_baseline, fx.MINUTE, "relative_volume_q", "relative_trade_count_q"),
+    "minute_flow": _features(
+        lambda df, s: features.order_flow(features.activity_baseline(features.acceleration(features.paths(df, s), s), s), s), fx.MINUTE,
+        "delta_1m", "delta_5m", "delta_15m", "trade_count_imbalance", "tick_imbalance", "delta_acceleration", "divergence_5m", "divergence_15m",
+        "price_movement_per_volume", "price_movement_per_absolute_inferred_delta", "delta_price_alignment",
+    ),
+    "minute_targets": lambda spark, sf_dir: fx.plain(fx.minute_labels(spark, sf_dir), *_names(TARGETS)),
+    "minute_reasons": lambda spark, sf_dir: targets.reason_counts(fx.minute_labels(spark, sf_dir)),
+}
+_QUERIES |= FEATURE_QUERIES | MINUTE_QUERIES
 
 
 @query

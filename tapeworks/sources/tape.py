@@ -9,6 +9,8 @@ from ..functions.clock import session_date
 
 #: What the fixture tape's instruments are called.
 CONTRACTS = {1: "TAPE1", 2: "TAPE2", 3: "TAPE3"}
+#: 2024-01-02 14:00 UTC in microseconds.
+DENSE_START = 1_704_204_000_000_000
 RAW_SCHEMA = "ts_event TIMESTAMP, seq BIGINT, instrument_id BIGINT, price DOUBLE, size BIGINT, side STRING"
 
 
@@ -26,6 +28,23 @@ def trades_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def dense_trades_from_events(events: DataFrame) -> DataFrame:
+    """The events dealt over two hours a day on 25 days, a trade every 18 seconds or oftener, so that bars of a minute follow one
+    another as they do on a busy tape. Two minutes are missing on every sixth day; the contract changes twice, in mid-session."""
+    n, day = F.col("event_id").cast("bigint"), F.col("event_id").cast("bigint") % 25
+    second = (F.floor(n / 25) * 18) % 7200
+    micros = F.lit(DENSE_START) + day * 86_400_000_000 + second * 1_000_000 + n % 10 * 100_000
+    ts = F.timestamp_micros(micros)
+    roll = lambda at: ts < F.lit(at).cast("timestamp")
+    return events.where(~((day % 6 == 5) & second.between(3600, 3719))).select(
+        ts.alias("ts_event"), n.alias("seq"),
+        F.when(roll("2024-01-11 15:00:00"), 1).when(roll("2024-01-19 14:40:00"), 2).otherwise(3).cast("bigint").alias("instrument_id"),
+        F.greatest(F.round(F.col("value") * 4) / 4, F.lit(0.25)).alias("price"),
+        (F.get_json_object("props", "$.k").cast("bigint") + 1).alias("size"),
+        F.when(F.col("event_type") == "purchase", "B").when(F.col("event_type") == "error", "A").otherwise("N").alias("side"),
+    )
+
+
 def read_trades(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
     """Raw trades in Parquet, ORC, CSV (with header) or JSON lines. Unsigned and nanosecond columns are widened or cut to
     the tape's types; ``ts_recv`` and other columns are never used for order."""
