@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
@@ -12,14 +12,19 @@ from .targets import REASONS
 
 
 def checks(df: DataFrame, broken: dict[str, Column]) -> DataFrame:
-    """(check, violations): how many rows break each rule; one pass over the table."""
-    counts = df.agg(*[F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in broken.items()])
-    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("violations")) for n in broken])
-    return counts.select(F.explode(rows).alias("_c")).select("_c.check", "_c.violations")
+    """(check, rows, violations): how many rows there are, and how many break each rule; one pass over the table."""
+    counts = df.agg(F.count("*").alias("_rows"), *[F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in broken.items()])
+    return _long(counts, {n: ("_rows", n) for n in broken})
+
+
+def _long(counts: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row of counts as (check, rows, violations); names: which columns a check has."""
+    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.col(a).alias("rows"), F.col(b).alias("violations")) for n, (a, b) in names.items()])
+    return counts.select(F.explode(rows).alias("_c")).select("_c.*")
 
 
 def duplicate_keys(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).count().where("count > 1").agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
+    return checks(df.groupBy(*keys).count(), {name: F.col("count") > 1})
 
 
 def second_bar_checks(seconds: DataFrame) -> DataFrame:
@@ -38,6 +43,11 @@ def second_bar_checks(seconds: DataFrame) -> DataFrame:
         "seconds_times": ~((c("first_trade_timestamp") <= c("last_trade_timestamp")) & second("first_trade_timestamp") & second("last_trade_timestamp")),
         "seconds_session": clock.session_date(c("timestamp_second")) != c("session_date"),
     })
+    before = F.lag("last_trade_timestamp").over(Window.partitionBy("session_date").orderBy("timestamp_second", "instrument_id"))
+    ordered = checks(seconds.select("first_trade_timestamp", before.alias("_before")), {"seconds_order": F.coalesce(c("first_trade_timestamp") < c("_before"), F.lit(False))})
+    names = seconds.groupBy("instrument_id").agg(F.count_distinct("contract").alias("contracts"))
+    single = seconds.groupBy("timestamp_second").agg(F.count_distinct("session_date").alias("sessions"))
+    rules = rules.union(ordered).union(checks(names, {"seconds_contract": c("contracts") != 1})).union(checks(single, {"seconds_single_session": c("sessions") != 1}))
     return rules.union(duplicate_keys(seconds, "seconds_key", ["timestamp_second", "instrument_id"]))
 
 
@@ -49,9 +59,9 @@ def bar_checks(bars: DataFrame, seconds: DataFrame) -> DataFrame:
         "bars_positive": ~((c("total_volume") > 0) & (c("trade_count") > 0) & (c("low") > 0)),
         "bars_prices": ~((c("low") <= c("open")) & (c("open") <= c("high")) & (c("low") <= c("close")) & (c("close") <= c("high"))),
     })
-    totals = lambda df: df.groupBy("session_date").agg(F.sum("total_volume").alias("v"), F.sum("trade_count").alias("n"), F.sum("price_volume_sum").alias("pv"))
-    apart = totals(bars).exceptAll(totals(seconds)).union(totals(seconds).exceptAll(totals(bars)))
-    rules = rules.union(apart.agg(F.count("*").alias("violations")).select(F.lit("bars_totals").alias("check"), "violations"))
+    totals = lambda df, p: df.groupBy("session_date").agg(F.sum("total_volume").alias(f"{p}v"), F.sum("trade_count").alias(f"{p}n"), F.sum("price_volume_sum").alias(f"{p}p"))
+    both = totals(bars, "a").join(totals(seconds, "b"), "session_date", "full")
+    rules = rules.union(checks(both, {"bars_totals": (c("av") != c("bv")) | (c("an") != c("bn")) | (F.abs(c("ap") - c("bp")) > 1e-9 * F.abs(c("bp")))}))
     return rules.union(duplicate_keys(bars, "bars_key", ["decision_timestamp"]))
 
 
@@ -83,22 +93,26 @@ def feature_checks(df: DataFrame, h: tuple[int, ...], vols: tuple[int, ...]) ->
         "features_position": out("session_range_position", 0, 1),
         "features_efficiency": bad([out(f"trend_efficiency_{x}m", -1, 1) for x in h]),
         "features_volatility": bad([F.coalesce(c(f"realized_volatility_{x}m") < -eps, F.lit(False)) for x in vols]),
-        "features_not_a_number": bad([F.coalesce(F.isnan(c(x)), F.lit(False)) for x, t in df.dtypes if t == "double"]),
+        "features_not_finite": bad([F.coalesce(F.isnan(c(x)) | (F.abs(c(x)) == float("inf")), F.lit(False)) for x, t in df.dtypes if t == "double"]),
     })
 
 
 def disagreements(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-10) -> DataFrame:
-    """(column, rows) where two computations differ by more than the tolerance, relative or absolute, or in nullness."""
+    """(check, rows, violations) for each column: how many values the first has, and how many rows differ by more than the
+    tolerance, relative or absolute, or in nullness, or are there on one side only."""
+    kinds = dict(a.dtypes)
     b = b.select(*keys, *[F.col(c).alias(f"_b_{c}") for c in columns])
     both = a.select(*keys, *columns, F.lit(1).alias("_left")).join(b.withColumn("_right", F.lit(1)), keys, "full")
     one_sided = F.col("_left").isNull() | F.col("_right").isNull()
 
     def differs(c: str) -> Column:
         x, y = F.col(c), F.col(f"_b_{c}")
-        far = F.abs(x - y) > F.greatest(F.lit(1.0), F.abs(x), F.abs(y)) * tolerance
+        number = kinds[c] in ("double", "float", "bigint", "int", "smallint", "tinyint")
+        far = F.abs(x - y) > F.greatest(F.lit(1.0), F.abs(x), F.abs(y)) * tolerance if number else x != y
         return one_sided | (x.isNull() != y.isNull()) | F.coalesce(far, F.lit(False))
 
-    return checks(both, {c: differs(c) for c in columns})
+    counts = both.agg(*[F.count(c).alias(f"_n_{c}") for c in columns], *[F.count_if(differs(c)).alias(f"_v_{c}") for c in columns])
+    return _long(counts, {c: (f"_n_{c}", f"_v_{c}") for c in columns})
 
 
 def completeness(seconds: DataFrame, start: str, end: str, degraded: tuple[str, ...] = ()) -> DataFrame:
@@ -124,6 +138,30 @@ def direction_agreement(rows: DataFrame) -> DataFrame:
     )
 
 
+def flow_correlation(seconds: DataFrame) -> DataFrame:
+    """One row a session: the correlation of inferred and native net volume over the seconds, and how often their signs agree where
+    neither is zero."""
+    a, b = F.col("inferred_delta"), F.col("native_delta")
+    both = (a != 0) & (b != 0)
+    return seconds.groupBy("session_date").agg(
+        F.count("*").alias("seconds"), F.count_if(both).alias("both_known"), F.count_if(both & (F.signum(a) == F.signum(b))).alias("same_sign"),
+        F.corr(a.cast("double"), b.cast("double")).alias("correlation"),
+    )
+
+
+def first_second_by_regime(bars: DataFrame, seconds: DataFrame, width: int, tolerance: int) -> DataFrame:
+    """By regime of the decision: how many bars have a trade in the first second after it, and within the tolerance."""
+    from .targets import first_references
+
+    found = first_references(seconds, width, tolerance).select("session_date", F.col("boundary").alias("decision_timestamp"), F.col("reference.ts").alias("_at"))
+    rows = bars.select("session_date", "decision_timestamp").join(found, ["session_date", "decision_timestamp"], "left")
+    flags = clock.regimes(F.col("decision_timestamp"))
+    names = F.array(*[F.when(flag == 1, F.lit(name.removesuffix("_flag"))) for name, flag in flags.items()])
+    rows = rows.withColumn("regime", F.explode(F.filter(names, lambda x: x.isNotNull())))
+    early = F.unix_micros("_at") < F.unix_micros("decision_timestamp") + 1_000_000
+    return rows.groupBy("regime").agg(F.count("*").alias("bars"), F.count_if(early).alias("exact"), F.count("_at").alias("within"))
+
+
 def first_second_coverage(bars: DataFrame, seconds: DataFrame, width: int, horizon: int, tolerance: int) -> DataFrame:
     """How many bars have a trade in the first second after their decision, or within the tolerance, at the decision alone and
     at both ends of the horizon."""

@@ -84,6 +84,15 @@ def metrics(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def metric_deltas(rows: DataFrame, reference: str, by: list[str]) -> DataFrame:
+    """By how much each other model improves on the reference model: losses less, area and accuracy more."""
+    less, more = ("log_loss", "brier_score"), ("roc_auc", "accuracy")
+    base = rows.where(F.col("model") == reference).select(*by, *[F.col(c).alias(f"_{c}") for c in less + more])
+    out = rows.where(F.col("model") != reference).join(base, by)
+    gains = [(F.col(f"_{c}") - F.col(c)).alias(f"{c}_improvement") for c in less] + [(F.col(c) - F.col(f"_{c}")).alias(f"{c}_improvement") for c in more]
+    return out.select(*by, "model", *gains)
+
+
 def calibration(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     """Equal-width bins of probability, empty ones too."""
     bin_ = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")

@@ -448,19 +448,8 @@ SELECT coalesce(change <> 0, FALSE) AS moved, count(*) AS trades, count(*) FILTE
         "first_second_coverage": f"""WITH {_targets(True)}, seen AS (SELECT boundary_us, bool_or(ref_ts < boundary_us + 1000000) AS exact FROM refs GROUP BY 1)
 SELECT count(*) AS bars, count(*) FILTER (WHERE x.exact) AS exact_start, count(*) FILTER (WHERE x.exact AND y.exact) AS exact_pair, count(x.exact) AS within_start, count(*) FILTER (WHERE x.exact IS NOT NULL AND y.exact IS NOT NULL) AS within_pair
 FROM b0 LEFT JOIN seen x ON x.boundary_us = decision_us LEFT JOIN seen y ON y.boundary_us = future_us""",
-        "layer_checks": _layer_checks(),
     }
     return sql | _minutes()
 
 
-def _layer_checks() -> str:
-    names = [
-        "seconds_prices", "seconds_positive", "seconds_inferred_volume", "seconds_native_volume", "seconds_inferred_delta", "seconds_native_delta", "seconds_counts", "seconds_moves",
-        "seconds_level_volume", "seconds_times", "seconds_session", "seconds_key", "bars_time", "bars_start", "bars_positive", "bars_prices", "bars_totals", "bars_key", "targets_reason",
-        "targets_eligible", "targets_label", "targets_sign", "targets_delay", "targets_contract", "targets_equal", "targets_key", "features_flags", "features_fraction", "features_position",
-        "features_efficiency", "features_volatility", "features_not_a_number",
-    ]
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST(0 AS BIGINT))" for n in names) + ") AS c(\"check\", violations)"
-
-
 SQL = _build()

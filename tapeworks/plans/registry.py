@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import audits, bars, evaluation, features, models, targets
 from ..schemas import BARS, SECOND_BARS, TARGETS
+from . import audit_oracle, oracle
+from . import audits as audit_plans
 from . import fixture as fx
-from .oracle import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -226,21 +227,6 @@ def first_second_coverage(spark, sf_dir):
     return audits.first_second_coverage(bars.roll_up(second, fx.HOUR.width), second, fx.HOUR.width, fx.HORIZON, fx.TOLERANCE)
 
 
-@query
-def layer_checks(spark, sf_dir):
-    second, s = fx.seconds(spark, sf_dir), fx.HOUR
-    hour = bars.roll_up(second, s.width)
-    full = features.all_features(hour, s)
-    parts = [
-        audits.second_bar_checks(second), audits.bar_checks(hour, second), audits.target_checks(fx.labels(spark, sf_dir), fx.TOLERANCE),
-        audits.feature_checks(full, tuple(s.efficiencies), tuple(s.volatilities)),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
 def _modelled(spark, sf_dir, fit, name) -> DataFrame:
     rows = _development(spark, sf_dir).persist()  # read by every iteration of every fit; lost blocks are made again
     out = None
@@ -264,9 +250,12 @@ def boosted_model(spark, sf_dir):
     return _modelled(spark, sf_dir, lambda t, c: models.fit_boosted(t, c, leaf=10), "p_boosted")
 
 
+_QUERIES |= audit_plans.QUERIES
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k in _QUERIES}
+    return {k: v for k, v in (oracle.SQL | audit_oracle.SQL).items() if k in _QUERIES}
