@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def _mix(node: Column, turn: int) -> Column:
@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     links, turns = materialize(links, "links"), []
     while links.count():
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        was, both = links, links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         to = _mix(F.col("v"), len(turns))
         chosen = both.groupBy(F.col("u").alias("node")).agg(F.min(to).alias("near"))
         chosen = chosen.select("node", F.least("near", _mix(F.col("node"), len(turns))).alias("label"))
@@ -41,8 +41,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         left = turns[-1].select(F.col("node").alias("u"), F.col("label").alias("a"))
         right = turns[-1].select(F.col("node").alias("v"), F.col("label").alias("b"))
         links = links.join(left, "u").join(right, "v").where("a <> b")
-        links = links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        links, done = links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), was
         links = materialize(links, "links")
+        discard(done)
     if not turns:
         return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 

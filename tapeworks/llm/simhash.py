@@ -17,17 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .components import connected_components, local_forest
-from .shared import binaries, materialize, row_slices, small_batches
+from .shared import binaries, materialize, row_slices
 
 BYTE_ONES = np.uint64(0x0101010101010101)
 SMALL = 64
-WIDE = 4
-WORDS = ["fp", *[f"w{i}" for i in range(1, WIDE)]]
 #: Least hashes: so many bands of so many each, and of the first SKETCH a low byte.
 BANDS, BAND, SKETCH = 24, 5, 64
 MARKS = ["k", *[f"s{i}" for i in range(SKETCH // 8)]]
@@ -39,18 +36,6 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     return _simhash(shingle_hashes(text, shingle))
 
 
-def wide_fingerprint(text: bytes | None, shingle: int) -> list[int]:
-    """The fingerprint, and three more of it over other hashes of the same shingles: 256 bits in all."""
-    h = shingle_hashes(text, shingle)
-    out = [_simhash(h)]
-    for turn in range(1, WIDE):
-        x = h + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(_simhash(x ^ (x >> np.uint64(31))))
-    return out
-
-
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
@@ -84,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
             values = np.array([fingerprint(x, shingle) for x in binaries(batch.column(1))], np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
-    source = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id bigint, fp bigint")
 
 
@@ -99,9 +84,8 @@ def node_ids(words: np.ndarray) -> np.ndarray:
 class Ring:
     """The segments for one distance: masks of the chains by start and length, and the files' masks."""
 
-    def __init__(self, distance: int, wide: int | None = None):
-        """wide: how many bits of the wide fingerprint may differ, if those are compared too."""
-        self.m, self.wide = distance + 1, wide
+    def __init__(self, distance: int):
+        self.m = distance + 1
         cuts = [64 * i // self.m for i in range(self.m + 1)]
         segments = [((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:], strict=False)]
         chain = lambda i, n: sum(segments[(i + j) % self.m] for j in range(n))
@@ -134,13 +118,8 @@ class Ring:
         return ok
 
     def linked(self, a: np.ndarray, b: np.ndarray, start: np.ndarray | int) -> np.ndarray:
-        """Which rows of a and b (a fingerprint, then the wide one's other words) are linked."""
-        ok = self.viable(a[:, 0] ^ b[:, 0], start)
-        if self.wide is not None and ok.any():
-            at = np.flatnonzero(ok)
-            a = a if len(a) == 1 else a[at]
-            ok[at] = np.bitwise_count(a ^ b[at]).sum(axis=1, dtype=np.int64) <= self.wide
-        return ok
+        """Which rows of a and b (one column, the fingerprint) are linked."""
+        return self.viable(a[:, 0] ^ b[:, 0], start)
 
     def small_groups(self, rows: np.ndarray, ends: np.ndarray, starts: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Links of many groups of at most SMALL rows at once: every row is compared with the one so many places behind it,
@@ -175,24 +154,24 @@ class Ring:
         return us, vs
 
 
-def _scan(ring: Ring, cap: int):
-    """Walks rows (file, part, key, fp[, other words]) sorted by the first three; gives links (u, v), or (file, key) of a group
-    of over ``cap`` fingerprints, of which no more than that are held. Without other words, the fingerprint is the node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["u", "v", "file", "key"]
+def _scan(ring: Ring, cap: int, again: bool = True):
+    """Walks rows (file, part, key, fp[, other words]) sorted by the first three; gives links (u, v), or (file, key, n) of a group
+    of n > ``cap`` fingerprints, of which no more than that are held; without ``again`` such a group is an error. Without other
+    words, the fingerprint is the node."""
+    names = ["u", "v", "file", "key", "n"]
 
-        def links(us, vs):
-            u = np.concatenate(us).view(np.int64) if us else np.zeros(0, np.int64)
-            v = np.concatenate(vs).view(np.int64) if vs else np.zeros(0, np.int64)
-            none = pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.int64())
-            return pa.record_batch([pa.array(u), pa.array(v), *none], names)
+    def links(us, vs):
+        u = np.concatenate(us).view(np.int64) if us else np.zeros(0, np.int64)
+        v = np.concatenate(vs).view(np.int64) if vs else np.zeros(0, np.int64)
+        none = pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64())
+        return pa.record_batch([pa.array(u), pa.array(v), *none], names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, held, size, spilled, places = None, [], 0, [], np.array(ring.starts)
 
         def close():
             if head is not None and size > cap:
-                spilled.append((head[0], head[2]))
+                spilled.append((head[0], head[2], size))
             elif size > 1:
                 return ring.forest(np.concatenate(held), ring.starts[head[0]])
             return [], []
@@ -229,7 +208,7 @@ def _scan(ring: Ring, cap: int):
                 for i in inner[lengths[inner] > SMALL].tolist():
                     a, b = int(cuts[i]), int(cuts[i + 1])
                     if b - a > cap:
-                        spilled.append((int(file[a]), int(key[a])))
+                        spilled.append((int(file[a]), int(key[a]), b - a))
                         continue
                     u, v = ring.forest(fp[a:b], ring.starts[int(file[a])])
                     us, vs = us + u, vs + v
@@ -239,57 +218,62 @@ def _scan(ring: Ring, cap: int):
                     held = []
             if us:
                 yield links(us, vs)
+            if spilled and not again:
+                raise ValueError(f"a part of a file holds over {cap} fingerprints: {spilled[0]}")
         yield links(*close())
+        if spilled and not again:
+            raise ValueError(f"a part of a file holds over {cap} fingerprints: {spilled[0]}")
         if spilled:
             none = pa.nulls(len(spilled), pa.int64())
-            yield pa.record_batch([none, none, pa.array([x[0] for x in spilled], pa.int32()), pa.array([x[1] for x in spilled], pa.int64())], names)
+            files, keys, sizes = zip(*spilled, strict=True)
+            yield pa.record_batch([none, none, pa.array(files, pa.int32()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], names)
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, distance: int, cap: int = 16384, wide: int | None = None) -> DataFrame:
+def fingerprint_links(fps: DataFrame, distance: int, cap: int = 16384) -> DataFrame:
     """Links (u, v) among distinct fingerprints (column fp) that join exactly those within ``distance`` bits, directly or
-    through others. With ``wide``, they must also differ in at most so many bits of all words (columns fp, w1 to w3), and
-    nodes are ``node_ids`` of these. A file of more than ``cap`` fingerprints is cut into parts by hash, and each pair of parts is
-    walked on its own, so no task holds more than about 2 * cap fingerprints of a file."""
-    ring = Ring(distance, wide)
-    carried, key = WORDS[: 1 if wide is None else WIDE], ring.key(F.col("fp"), F.col("file"))
-    filed = fps.select(*carried, F.explode(F.sequence(F.lit(0), F.lit(len(ring.files) - 1))).alias("file"))
-    return _filed_links(filed, key, carried, ring, cap)
+    through others. A file of more than ``cap`` fingerprints is cut into parts of about cap / 2 by hash, and each pair of parts
+    is walked on its own: a task holds about ``cap`` fingerprints of a file, and a pair of over 16 times that fails the job."""
+    ring = Ring(distance)
+    filed = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(ring.files) - 1))).alias("file"))
+    return _filed_links(filed, ring.key(F.col("fp"), F.col("file")), ["fp"], ring, cap)
 
 
 def _filed_links(filed: DataFrame, key: Column, carried: list[str], ring: Ring, cap: int) -> DataFrame:
     """Links of rows (file, the columns ``carried``) of equal file and key."""
-    schema = "u bigint, v bigint, file int, key bigint"
+    schema = "u bigint, v bigint, file int, key bigint, n bigint"
     # keys follow from fingerprint and file, so they are not shuffled but worked out on both sides
     dealt = filed.repartition("file", key).select("file", F.lit(0).alias("part"), key.alias("key"), *carried)
     dealt = dealt.sortWithinPartitions("file", "part", "key")
     found = materialize(dealt.mapInArrow(_scan(ring, cap), schema), "simhash-links")
     links = found.where("u IS NOT NULL").select("u", "v")
-    large = found.where("file IS NOT NULL").select("file", "key").distinct()
+    large = found.where("file IS NOT NULL").select("file", "key", F.ceil(F.col("n") * 2 / cap).cast("int").alias("parts"))
     if large.limit(1).count():
-        filed = filed.withColumn("key", key)
-        sizes = filed.join(large, ["file", "key"]).groupBy("file", "key").agg(F.ceil(F.count("*") * 2 / cap).cast("int").alias("parts"))
-        cut = filed.join(sizes, ["file", "key"])
+        cut = filed.withColumn("key", key).join(large, ["file", "key"])
         cut = cut.withColumn("own", F.pmod(F.xxhash64(carried[-1], carried[0], F.lit("part")), "parts").cast("int"))
         other = F.explode(F.expr("sequence(0, parts - 1)"))
         cut = cut.select("file", "key", *carried, "parts", "own", other.alias("other"))
-        pair = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
+        pair = F.least("own", "other").cast("bigint") * F.col("parts") + F.greatest("own", "other")
         cut = cut.select("file", pair.alias("part"), "key", *carried)
         dealt = cut.repartition("file", "part", "key").sortWithinPartitions("file", "part", "key")
-        more = dealt.mapInArrow(_scan(ring, 16 * cap), schema)
-        links = links.union(more.where("u IS NOT NULL").select("u", "v"))
+        more = dealt.mapInArrow(_scan(ring, 16 * cap, again=False), schema)
+        links = links.union(more.select("u", "v"))
     return links
 
 
 def print_components(prints: DataFrame, distance: int, cap: int = 16384) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of rows (doc_id, fp): its component's least id."""
+    """(fp, component_id) for each distinct fingerprint of rows (doc_id, fp): its component's least id.
+
+    What is grouped by a key is written before it is joined on that key: a join of two plain shuffles is one that adaptive
+    execution can split where a fingerprint or a component is hot."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = materialize(connected_components(fingerprint_links(nodes.select("fp"), distance, cap)), "simhash-roots")
-    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    whole = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    roots = connected_components(fingerprint_links(nodes.select("fp"), distance, cap))
+    joined = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp"), "simhash-roots")
+    whole = materialize(joined.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     linked = joined.join(whole, "root").select("fp", "component_id")
-    return nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    known = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return materialize(known, "simhash-components")
 
 
 def simhash_components(
@@ -297,57 +281,16 @@ def simhash_components(
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``.
 
-    Null, empty and word-less texts have fingerprint zero and are linked like any other. Repeated rows come out as often
-    as they go in. component_id is the smallest doc_id of the component, null only where all its ids are null. Other
-    columns are ignored. An empty table gives an empty result."""
+    Null, empty and word-less texts have fingerprint zero and are linked like any other; very long texts are taken whole, one
+    at a time. Repeated rows come out as often as they go in. component_id is the smallest doc_id of the component, so no
+    tie is left to chance; it is null only where all its ids are null. Other columns are ignored, whatever their names. An
+    empty table gives an empty result."""
     prints = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash")
     return prints.join(print_components(prints, distance, cap), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one_of_each(
-    docs: DataFrame, shingle: int = 5, distance: int = 8, wide: int = 40, id_col: str = "doc_id", text_col: str = "text", cap: int = 16384
-) -> DataFrame:
-    """One row, with all its columns, of each component: that of the smallest id (of equal or null ids, the one of smallest
-    wide fingerprint); of rows repeated with that id and fingerprint, one.
-
-    Two texts are linked if their fingerprints differ in at most ``distance`` of 64 bits (found by pigeonring) and their wide
-    fingerprints in at most ``wide`` of 256. About 39 bits differ where two texts share 0.8 of their shingles, with a
-    standard error of 6; the wide distance tells texts of 0.8 from unlike ones far better than 64 bits do."""
-    place, columns = docs.columns.index(text_col), docs.columns
-
-    def words_of(column: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
-        values = np.array([wide_fingerprint(x, shingle) for x in binaries(column)], np.uint64).reshape(-1, WIDE)
-        return values, [pa.array(values[:, i].copy().view(np.int64)) for i in range(WIDE)]
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_slices(batches):
-            values, words = words_of(batch.column(1))
-            yield pa.record_batch([batch.column(0), pa.array(node_ids(values).view(np.int64)), *words], ["doc_id", "node", *WORDS])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_slices(batches):
-            row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
-            yield pa.record_batch([row, *words_of(batch.column(place))[1]], ["row", *WORDS])
-
-    source = small_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    nodes = source.mapInArrow(prints, "doc_id bigint, node bigint, " + ", ".join(f"{w} bigint" for w in WORDS))
-    nodes = materialize(nodes.groupBy("node", *WORDS).agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = connected_components(fingerprint_links(nodes, distance, cap, wide))
-    roots = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = F.min(F.struct(F.coalesce("least", F.lit(2**63 - 1)).alias("id"), *WORDS))
-    leads = roots.groupBy("root").agg(first.alias("first"), F.min("least").alias("least")).select("first.*", "least")
-    leads = materialize(leads.drop("id"), "simhash-leads")
-    # texts are shuffled once; their fingerprints are taken a second time rather than stored beside them
-    schema = T.StructType([T.StructField("row", docs.schema), *[T.StructField(w, T.LongType()) for w in WORDS]])
-    same = F.col("row").getField(id_col).cast("bigint").eqNullSafe(F.col("least"))
-    one = small_batches(docs).mapInArrow(whole, schema).join(leads, WORDS).where(same)
-    order = Window.partitionBy(*WORDS).orderBy(F.col("row").getField(text_col))
-    one = one.withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    return one.select(*[F.col("row").getField(c).alias(c) for c in columns])
-
-
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
@@ -463,7 +406,7 @@ def keep_one_of_similar(
         if len(held) > 1:
             yield close()
 
-    source = small_batches(docs).select(id_.alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
+    source = docs.select(id_.alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
     schema = "id bigint, mark bigint, node bigint, n bigint, " + ", ".join(f"{w} bigint" for w in MARKS) + ", bands array<bigint>"
     rows = source.mapInArrow(prints, schema)
     nodes = rows.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("lead"), F.first(F.struct("n", *MARKS, "bands")).alias("own"))
@@ -482,9 +425,11 @@ def keep_one_of_similar(
     links = materialize(fetched.mapInArrow(compare, "u bigint, v bigint"), "simhash-similar")
     roots = nodes.select("node", "id", "mark").join(connected_components(links), "node", "left")
     leads = roots.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "mark")).alias("lead")).select("lead.*")
-    leads = materialize(leads, "simhash-leads")
+    copies = materialize(source.groupBy("id", "mark").agg(F.count("*").alias("copies")).where("copies > 1"), "simhash-copies")
+    leads = materialize(leads.join(copies, ["id", "mark"], "left"), "simhash-leads")
     row = F.struct(*[F.col(c) for c in columns]).alias("row")
     one = docs.select(id_.alias("id"), mark.alias("mark"), row).join(leads, ["id", "mark"])
-    order = Window.partitionBy("id", "mark").orderBy(F.col("row").getField(text_col))
-    one = one.withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    # only rows of equal id and text are left to choose from; they are written first, then reduced in each task
+    equal = materialize(one.where("copies IS NOT NULL"), "simhash-equal").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    one = one.where("copies IS NULL").select("row").union(equal.select("row"))
     return one.select(*[F.col("row").getField(c).alias(c) for c in columns])

@@ -2,6 +2,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from tapeworks.llm import simhash
@@ -98,10 +100,9 @@ def test_connected_components(spark):
 
 def test_small_and_large_groups_give_the_same_components():
     rng = np.random.default_rng(6)
-    for distance, wide in ((4, None), (8, 40)):
-        ring = simhash.Ring(distance, wide)
-        words = 1 if wide is None else simhash.WIDE
-        centres = rng.integers(0, 2**64, (3, words), np.uint64)
+    for distance in (4, 8):
+        ring = simhash.Ring(distance)
+        centres = rng.integers(0, 2**64, (3, 1), np.uint64)
         rows = centres[rng.integers(0, 3, 60)]
         for r in rows:
             for bit in rng.integers(0, 64, rng.integers(0, 4)):
@@ -114,3 +115,35 @@ def test_small_and_large_groups_give_the_same_components():
             assert len(u) < 60 and union(list(zip(u.tolist(), v.tolist(), strict=True)), range(60)) == slow
             pairs = [(i, j) for i in range(60) for j in range(i) if ring.linked(rows[i : i + 1, 1:], rows[j : j + 1, 1:], start)[0]]
             assert union(pairs, range(60)) == slow
+
+
+def test_too_large_part_is_an_error_not_a_loss():
+    rows = [pa.array([0] * 9, pa.int32()), pa.array([0] * 9, pa.int32()), pa.array([5] * 9), pa.array(range(9))]
+    batches = [pa.record_batch(rows, ["file", "part", "key", "fp"])]
+    out = list(simhash._scan(simhash.Ring(4), 8)(iter(batches)))
+    assert out[-1].to_pylist() == [{"u": None, "v": None, "file": 0, "key": 5, "n": 9}]
+    with pytest.raises(ValueError):
+        list(simhash._scan(simhash.Ring(4), 8, again=False)(iter(batches)))
+
+
+def skew_splits(df):
+    """How many joins adaptive execution has split in the plan that has run."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("skew=true")
+
+
+def test_joins_on_a_hot_fingerprint_are_split(spark):
+    names = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.range(30_000, numPartitions=12).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'the same words' ELSE concat('word ', id) END AS text")
+        assert skew_splits(simhash.simhash_components(docs)) >= 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
