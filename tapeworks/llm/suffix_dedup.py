@@ -5,15 +5,16 @@ every window of ``length`` bytes is filed under its *anchor*, the window's gram
 windows have equal anchors at equal places, so windows of different anchors are never compared. Neighbouring windows of
 a text share an anchor; they are one *context*: the bytes that these windows span.
 
-1. Every text gives one row for each context: the anchor's hash, a hash of the context, where it stands.
-2. An anchor seen once holds no repeat. Where all contexts of an anchor are equal, all their windows repeat.
-3. Of the other anchors' contexts one representative of each distinct one is fetched from its text. The contexts of an
-   anchor meet in one task, where the difference-cover algorithm sorts their suffixes and neighbours' prefixes are
-   compared. A context seen twice repeats as a whole without that.
+1. Every text gives one row for each context: the anchor's hash, a 128-bit hash of the context, where it stands.
+2. An anchor seen once holds no repeat. Equal contexts are one from here on: all their windows repeat. Where all
+   contexts of an anchor are equal, nothing else is open.
+3. Of the other anchors' contexts one representative of each distinct one is fetched from its text, and their suffixes are
+   sorted by the difference cover and neighbours' prefixes compared: the contexts of an anchor in one task
+   (``suffix_array``), or, where an anchor has over ``cap`` bytes of distinct contexts, over all tasks (``suffix_sort``).
 4. Each text gets its repeated windows back, and loses the bytes that they cover.
 
-Counting is pre-aggregated; texts travel compressed; a task holds the distinct contexts of one anchor at most. Anchors
-with more than ``cap`` bytes of distinct contexts are resolved by counting 128-bit hashes of their single windows."""
+Counting is pre-aggregated; what is grouped by a key is written before it is joined on that key, so that adaptive
+execution can split a join with a hot anchor; texts travel compressed."""
 
 from __future__ import annotations
 
@@ -28,12 +29,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binaries, materialize, row_slices, small_batches
+from .shared import binaries, discard, materialize, row_slices
 from .suffix_array import repeated_starts
+from .suffix_sort import adjacent, suffix_ranks
 
 FACTOR = 0x9E3779B97F4A7C15
 CHUNK = 1 << 22
 PLACE = np.uint64((1 << 24) - 1)
+CONTEXT = ["name", "c1", "c2"]
 
 
 @cache
@@ -91,7 +94,7 @@ def _keys(id_col: str, text_col: str) -> list[Column]:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return small_batches(docs).select(*_keys(id_col, text_col), F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
+    return docs.select(*_keys(id_col, text_col), F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
 
 
 def _compressed(keyed: DataFrame) -> DataFrame:
@@ -108,114 +111,133 @@ def repeated_windows(keyed: DataFrame, length: int, gram: int, batch: int, cap:
     """(k1, k2, ranges): for each text with repeats, starts and ends of runs of window starts, alternating, unordered."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         for rows in row_slices(batches):
-            columns = [[] for _ in range(6)]
+            columns = [[] for _ in range(7)]
             for k1, k2, data in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), binaries(rows.column(2)), strict=True):
                 names, firsts, counts = contexts(data, length, gram)
                 ends = (firsts + counts + (length - 1)).tolist()
-                hashes = np.fromiter((digest(data[a:b]) for a, b in zip(firsts.tolist(), ends, strict=True)), np.uint64, len(names))
+                hashes = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(firsts.tolist(), ends, strict=True)]), np.int64).reshape(-1, 2)
                 both = np.full(len(names), k1), np.full(len(names), k2)
-                for c, x in zip(columns, (names.view(np.int64), hashes.view(np.int64), *both, firsts, counts), strict=True):
+                for c, x in zip(columns, (names.view(np.int64), hashes[:, 0], hashes[:, 1], *both, firsts, counts), strict=True):
                     c.append(x)
-            types = [np.int64] * 4 + [np.int32] * 2
+            types = [np.int64] * 5 + [np.int32] * 2
             arrays = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(columns, types, strict=True)]
-            yield pa.record_batch(arrays, ["name", "context", "k1", "k2", "first", "n"])
+            yield pa.record_batch(arrays, [*CONTEXT, "k1", "k2", "first", "n"])
 
-    filed = keyed.select("k1", "k2", "text").mapInArrow(file, "name bigint, context bigint, k1 bigint, k2 bigint, first int, n int")
+    filed = keyed.select("k1", "k2", "text").mapInArrow(file, "name bigint, c1 bigint, c2 bigint, k1 bigint, k2 bigint, first int, n int")
     filed = materialize(filed, "suffix-contexts")
-    names = filed.groupBy("name").agg(F.count("*").alias("seen"), F.min("context").alias("low"), F.max("context").alias("high"))
-    names = names.where("seen > 1").select("name", (F.col("low") != F.col("high")).alias("mixed"))
+    edges = [f(c).alias(f"{f.__name__}_{c}") for c in ("c1", "c2") for f in (F.min, F.max)]
+    names = filed.groupBy("name").agg(F.count("*").alias("seen"), *edges).where("seen > 1")
+    names = materialize(names.select("name", F.expr("min_c1 <> max_c1 OR min_c2 <> max_c2").alias("mixed")), "suffix-names")
     found = materialize(filed.join(names, "name"), "suffix-found")
+    discard(filed)
 
-    mixed = found.where("mixed").groupBy("name", "context").agg(
+    mixed = found.where("mixed").groupBy(*CONTEXT).agg(
         F.count("*").alias("seen"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("first").alias("first"), F.first("n").alias("n")
     )
     mixed = materialize(mixed, "suffix-mixed")
     # nothing is open where every distinct context was seen twice
     sizes = mixed.groupBy("name").agg(F.min("seen").alias("least"), F.sum(F.col("n") + (length - 1)).alias("bytes"))
-    sizes = sizes.where("least = 1").select("name", (F.col("bytes") > cap).alias("large"))
-    wanted = mixed.join(sizes, "name").select("k1", "k2", F.struct("name", "context", "first", "n", "large").alias("x"))
+    sizes = materialize(sizes.where("least = 1").select("name", (F.col("bytes") > cap).alias("large")), "suffix-sizes")
+    wanted = mixed.join(sizes, "name").select("k1", "k2", F.struct(*CONTEXT, "first", "n", "large").alias("x"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("x").alias("wanted"))  # bounded by one text's contexts
-    meeting = _compressed(keyed).join(wanted, ["k1", "k2"]).select("packed", "wanted")
+    wanted = materialize(wanted, "suffix-wanted")
+    meeting = _compressed(keyed).join(wanted, ["k1", "k2"]).select("k1", "k2", "packed", "wanted")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
+        expand, last = zstandard.ZstdDecompressor(), None
         for rows in row_slices(batches, 64):
-            out = [[] for _ in range(4)]
-            for packed, wanted in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                data = expand.decompress(packed)
+            out = [[] for _ in range(5)]
+            keys = zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)
+            for key, packed, wanted in zip(keys, rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
+                if key == last:
+                    continue  # a row that is there again
+                data, last = expand.decompress(packed), key
                 for x in wanted:
-                    row = x["name"], x["context"], data[x["first"] : x["first"] + x["n"] + length - 1], x["large"]
+                    row = x["name"], x["c1"], x["c2"], data[x["first"] : x["first"] + x["n"] + length - 1], x["large"]
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
-            types = pa.int64(), pa.int64(), pa.binary(), pa.bool_()
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["name", "context", "data", "large"])
-
-    met = meeting.mapInArrow(fetch, "name bigint, context bigint, data binary, large boolean")
+            types = pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], [*CONTEXT, "data", "large"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by name; whole names are gathered up to about ``batch`` bytes."""
-        held, size = [], 0
+        held, size, last = {}, 0, None
 
         def close():
-            nonlocal held, size
-            unique = list({(n, c): d for n, c, d in held}.items())  # a text that is there twice gives its contexts twice
-            held, size = [], 0
-            text = np.frombuffer(b"".join([d for _, d in unique]), np.uint8)
-            lengths = np.array([len(d) for _, d in unique])
+            text = np.frombuffer(b"".join(held.values()), np.uint8)
+            lengths = np.array([len(d) for d in held.values()])
             offsets = np.concatenate(([0], np.cumsum(lengths)))
             counts = lengths - (length - 1)
             starts = np.repeat(offsets[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
             again = np.split(repeated_starts(text, starts, length), np.cumsum(counts)[:-1])
-            rows = [(n, c, r) for ((n, c), _), m in zip(unique, again, strict=True) if (r := _ranges(m))]
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            types = pa.int64(), pa.int64(), pa.list_(pa.int32())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["name", "context", "ranges"])
+            rows = [(*key, r) for key, m in zip(held, again, strict=True) if (r := _ranges(m))]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            types = pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*CONTEXT, "ranges"])
 
         for rows in batches:
-            for name, context, data in zip(*[rows.column(i).to_pylist() for i in range(3)], strict=True):
-                if size > batch and name != held[-1][0]:
+            for *key, data in zip(*[rows.column(i).to_pylist() for i in range(4)], strict=True):
+                if size > batch and key[0] != last:
                     yield close()
-                held.append((name, context, data))
-                size += len(data)
+                    held, size = {}, 0
+                last = key[0]
+                if tuple(key) not in held:  # a text that is there twice may give its contexts twice
+                    held[tuple(key)] = data
+                    size += len(data)
         if held:
             yield close()
 
-    met = materialize(met, "suffix-met")
-    dealt = met.where("NOT large").select("name", "context", "data").repartition("name").sortWithinPartitions("name")
-    sorted_ = dealt.mapInArrow(sort, "name bigint, context bigint, ranges array<int>")
+    met = materialize(meeting.mapInArrow(fetch, "name bigint, c1 bigint, c2 bigint, data binary, large boolean"), "suffix-met")
+    dealt = met.where("NOT large").select(*CONTEXT, "data").repartition("name").sortWithinPartitions("name")
+    partly = dealt.mapInArrow(sort, "name bigint, c1 bigint, c2 bigint, ranges array<int>")
     if met.where("large").limit(1).count():
-        sorted_ = sorted_.union(_counted(met.where("large").dropDuplicates(["name", "context"]), length))
+        partly = partly.union(_sorted_over_tasks(met.where("large").drop("large"), length))
 
     whole = F.array(F.lit(0), F.col("n"))
-    known = mixed.where("seen > 1").select("name", "context", whole.alias("ranges"))
-    partly = sorted_.join(mixed.where("seen = 1").select("name", "context"), ["name", "context"])
-    hits = found.where("mixed").drop("mixed").join(known.unionByName(partly), ["name", "context"])
+    known = mixed.where("seen > 1").select(*CONTEXT, whole.alias("ranges"))
+    partly = partly.join(mixed.where("seen = 1").select(*CONTEXT), CONTEXT)
+    known = materialize(known.unionByName(partly), "suffix-known")
+    hits = found.where("mixed").drop("mixed").join(known, CONTEXT)
     hits = hits.unionByName(found.where("NOT mixed").drop("mixed").withColumn("ranges", whole))
     hits = hits.select("k1", "k2", F.transform("ranges", lambda x: x + F.col("first")).alias("ranges")).distinct()
-    return hits.groupBy("k1", "k2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))  # bounded by one text
+    hits = hits.groupBy("k1", "k2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))  # bounded by one text
+    return materialize(hits, "suffix-ranges")
 
 
-def _counted(met: DataFrame, length: int) -> DataFrame:
-    """The exact way for anchors with too many distinct contexts for one task: single windows' hashes, counted."""
+def _sorted_over_tasks(met: DataFrame, length: int) -> DataFrame:
+    """(name, c1, c2, ranges) of the contexts (name, c1, c2, data) with repeated windows, by a suffix sort of them all over all
+    tasks. Neighbours are compared by a 64-bit hash of their windows first, and those of equal hash byte by byte."""
+    met = met.groupBy(*CONTEXT).agg(F.first("data").alias("data"))
+    met = materialize(met.withColumn("id", F.monotonically_increasing_id()), "suffix-large")
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in row_slices(batches, 64):
-            out = [[] for _ in range(5)]
-            for name, context, data in zip(*[rows.column(i).to_pylist() for i in range(3)], strict=True):
-                for at in range(len(data) - length + 1):
-                    h = xxhash.xxh3_128_intdigest(data[at : at + length])
-                    for c, v in zip(out, (name, context, at, (h >> 64) - (1 << 63), h % (1 << 64) - (1 << 63)), strict=True):
-                        c.append(v)
-            types = pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["name", "context", "at", "h1", "h2"])
-
-    single = met.select("name", "context", "data").mapInArrow(hashes, "name bigint, context bigint, at int, h1 bigint, h2 bigint")
-    single = materialize(single, "suffix-windows")
-    twice = single.groupBy("h1", "h2").agg(F.count("*").alias("seen")).where("seen > 1").drop("seen")
-    ranges = F.array(F.col("at"), F.col("at") + 1)
-    return single.join(twice, ["h1", "h2"]).groupBy("name", "context").agg(F.flatten(F.collect_list(ranges)).alias("ranges"))
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in row_slices(batches, 256):
+            texts = rows.column(1).to_pylist()
+            lengths = np.array([len(x) for x in texts])
+            ids = np.repeat(rows.column(0).to_numpy(), lengths)
+            at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            s = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+            yield pa.record_batch([pa.array(ids), pa.array(at.astype(np.int32)), pa.array(s)], ["id", "at", "s"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for rows in row_slices(batches, 256):
+            found = [(i, at, digest(x[at : at + length])) for i, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True) for at in range(len(x) - length + 1)]
+            ids, at, h = zip(*found, strict=True) if found else ([],) * 3
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64))], ["id", "at", "h"])
+
+    source = met.select("id", "data")
+    ranks = suffix_ranks(source.mapInArrow(symbols, "id bigint, at int, s bigint"), length)
+    pairs = adjacent(ranks.join(source.mapInArrow(windows, "id bigint, at int, h bigint"), ["id", "at"]))
+    one, other = source, source.select(F.col("id").alias("next_id"), F.col("data").alias("next_data"))
+    pairs = materialize(pairs, "suffix-pairs").join(one, "id").join(other, "next_id")
+    same = F.expr(f"substring(data, at + 1, {length}) = substring(next_data, next_at + 1, {length})")
+    pairs = materialize(pairs.where(same).select("id", "at", "next_id", "next_at"), "suffix-same")
+    starts = pairs.select("id", "at").union(pairs.select("next_id", "next_at")).distinct()
+    ranges = starts.groupBy("id").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("ranges"))  # bounded by one context
+    return met.join(ranges, "id").select(*CONTEXT, "ranges")
 
 
 def merged(ranges: list[int] | None, length: int) -> list[tuple[int, int]]:
@@ -232,16 +254,17 @@ def merged(ranges: list[int] | None, length: int) -> list[tuple[int, int]]:
 
 def remove_repeats(
     docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False,
-    gram: int = 32, batch: int = 1 << 20, cap: int = 64 << 20,
+    gram: int = 32, batch: int = 1 << 20, cap: int = 8 << 20,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]) for each row of ``docs``.
 
     Texts are UTF-8 bytes (null: empty); texts shorter than ``length`` keep all. All occurrences of a repeated string go,
     the first one too; rows repeated with the same id are occurrences of their own. spans holds starts and ends of the
-    removed runs, kept the remaining bytes. Other columns are ignored; an empty table gives an empty result."""
+    removed runs, kept the remaining bytes. Very long texts are taken whole, in chunks of a few megabytes. Other columns are
+    ignored, whatever their names; an empty table gives an empty result."""
     gram = min(gram, max(1, length // 2))
     keyed = _keyed(docs, id_col, text_col)
-    ranges = materialize(repeated_windows(keyed, length, gram, batch, cap), "suffix-ranges")
+    ranges = repeated_windows(keyed, length, gram, batch, cap)
     joined = _compressed(keyed).join(ranges, ["k1", "k2"], "left").select("id", "packed", "ranges")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["spans", "kept"] * with_kept
     types = [pa.int64()] * 4 + [pa.string()] + [pa.list_(pa.int64()), pa.binary()] * with_kept
@@ -265,13 +288,17 @@ def remove_repeats(
 
 def strip_repeats(
     docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars",
-    gram: int = 32, batch: int = 1 << 20, cap: int = 64 << 20,
+    gram: int = 32, batch: int = 1 << 20, cap: int = 8 << 20,
 ) -> DataFrame:
     """The rows with all their columns, without the repeated bytes in their texts (and without the rest of a character that
-    a cut divides); ``size_col``, if there, is the new length in characters. Rows stay even where nothing is left."""
+    a cut divides); ``size_col``, if there, is the new length in characters. Rows stay even where nothing is left.
+
+    Null texts stay null, empty ones empty; rows repeated with the same id are occurrences of their own, so both lose the
+    text; very long texts are taken whole; other columns pass through, whatever their names; an empty table gives an
+    empty result."""
     columns, keyed = docs.columns, _keyed(docs, id_col, text_col)
     ranges = repeated_windows(keyed, length, min(gram, max(1, length // 2)), batch, cap)
-    rows = small_batches(docs).select(*_keys(id_col, text_col), F.struct(*[F.col(c) for c in columns]).alias("row"))
+    rows = docs.select(*_keys(id_col, text_col), F.struct(*[F.col(c) for c in columns]).alias("row"))
     rows = rows.join(ranges, ["k1", "k2"], "left").select("row", "ranges")
     place, size = columns.index(text_col), columns.index(size_col) if size_col in columns else None
 
