@@ -1,11 +1,15 @@
 """Near-duplicate vectors by p-stable (Gaussian) hashing and exact cosines.
 
 A unit vector x falls into bucket floor((a.x + b) / w) of each random projection; ``functions`` of them make one table's
-key. The number of functions follows from the number of vectors, so that unrelated vectors share a bucket rarely, and
-the number of tables from the wanted recall at the threshold. Equal vectors are one class with a weight. In each bucket
-cosines are taken block by block; a pair met in several tables counts in the first only (all keys travel with a vector).
-Per vector and bucket one row comes out: how much it is linked to, and a parent that keeps the bucket's links connected;
-never the pairs. Buckets of over ``cap`` vectors are cut into parts, and every pair of parts is one unit of work."""
+key. The number of functions follows from the number of vectors, so that unrelated vectors fill a bucket with about FILL
+whatever that number, and the number of tables from the wanted recall at the threshold. Equal vectors are one class with a
+weight.
+
+A row of a table is its key and a sketch: the signs of SKETCH further projections. Only rows that have another one in
+their bucket whose sketch is near enough fetch their vectors; their cosines are taken block by block. A pair met in several
+tables counts in the first only (the keys of earlier tables travel with a vector). Per vector and bucket one row comes
+out: how much it is linked to, and a parent that keeps the bucket's links connected; never the pairs. Buckets of over
+``cap`` vectors are cut into parts, and every pair of parts is one unit of work."""
 
 from __future__ import annotations
 
@@ -22,6 +26,8 @@ from .shared import materialize
 
 WIDTH = 2.0
 BLOCK = 1024
+FILL = 512
+SKETCH = 128
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -31,13 +37,26 @@ def collision(distance: float, width: float = WIDTH) -> float:
 
 
 def plan(n: int, threshold: float, recall: float) -> tuple[int, int]:
-    """Functions a table, and tables: unrelated (orthogonal) vectors fill a bucket with about 64 of n, and a pair at the
+    """Functions a table, and tables: unrelated (orthogonal) vectors fill a bucket with about FILL of n, and a pair at the
     threshold shares some bucket with probability ``recall``."""
-    functions = max(8, math.ceil(math.log(max(n, 1) / 64) / -math.log(collision(math.sqrt(2)))) if n > 64 else 8)
+    functions = max(4, math.ceil(math.log(max(n, 1) / FILL) / -math.log(collision(math.sqrt(2)))))
     hit = collision(math.sqrt(2 - 2 * threshold)) ** functions
     return functions, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
 
+def sketches(units: np.ndarray, seed: int) -> np.ndarray:
+    """Two 64-bit words of signs for each row."""
+    a = np.random.default_rng([seed, units.shape[1], SKETCH]).standard_normal((units.shape[1], SKETCH))
+    return np.packbits(units @ a > 0, axis=1).view(np.uint64)
+
+
+def sketch_distance(threshold: float) -> int:
+    """So many bits differ between the sketches of two vectors at the threshold, plus five and a half standard errors: one
+    pair in 50 million is further apart."""
+    share = math.acos(threshold) / math.pi
+    return math.floor(SKETCH * share + 5.5 * math.sqrt(SKETCH * share * (1 - share)))
+
+
 def table_keys(units: np.ndarray, functions: int, tables: int, seed: int) -> np.ndarray:
     """One 32-bit key a table for each row."""
     d = units.shape[1]
@@ -62,6 +81,22 @@ def _links(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray,
     return i[keep], j[keep]
 
 
+def _near(words: np.ndarray, own: np.ndarray | None, distance: int) -> np.ndarray:
+    """Which rows of a bucket have another one within so many bits; with ``own``, rows in it and rows out of it."""
+    n, near = len(words), np.zeros(len(words), bool)
+    left, right = (np.arange(n),) * 2 if own is None else (np.flatnonzero(own), np.flatnonzero(~own))
+    for x in range(0, len(left), BLOCK):
+        for y in range(x if own is None else 0, len(right), BLOCK):
+            rows, columns = left[x : x + BLOCK], right[y : y + BLOCK]
+            apart = np.bitwise_count(words[rows, None, 0] ^ words[None, columns, 0]) + np.bitwise_count(words[rows, None, 1] ^ words[None, columns, 1])
+            hit = apart <= distance
+            if own is None and x == y:
+                np.fill_diagonal(hit, False)
+            near[rows] |= hit.any(axis=1)
+            near[columns] |= hit.any(axis=0)
+    return near
+
+
 def _bucket(vectors, keys, weights, own, table, threshold):
     """Linked weight and parent of each row of one bucket; with ``own``, of the pairs of rows in it and rows out of it."""
     n, across = len(vectors), own is not None
@@ -75,7 +110,7 @@ def _bucket(vectors, keys, weights, own, table, threshold):
             if not across:
                 i, j = i[i < j], j[i < j]
             if table:
-                new = ~(keys[i, :table] == keys[j, :table]).any(axis=1)
+                new = ~(keys[i] == keys[j]).any(axis=1)
                 i, j = i[new], j[new]
             if not len(i):
                 continue
@@ -91,6 +126,26 @@ def _bucket(vectors, keys, weights, own, table, threshold):
     return linked, parent
 
 
+def _groups(batches: Iterator[pa.RecordBatch], tags: int, cap: int) -> Iterator[tuple[tuple[int, ...], int, pa.Table | None]]:
+    """Runs of rows that are equal in the first columns, as (tag, rows, table); of a run of over ``cap`` rows, only how many."""
+    head, held, size = None, [], 0
+    for batch in batches:
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(tags)]
+        cuts = [0, *(np.flatnonzero(np.any([t[1:] != t[:-1] for t in columns], axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            tag = tuple(int(t[a]) for t in columns)
+            if tag != head:
+                if size > 1:
+                    yield head, size, pa.Table.from_batches(held) if held else None
+                head, held, size = tag, [], 0
+            size += b - a
+            held = [*held, batch.slice(a, b - a)] if size <= cap else []
+    if size > 1:
+        yield head, size, pa.Table.from_batches(held) if held else None
+
+
 def link_vectors(
     vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding",
     cap: int = 8192, seed: int = 11,
@@ -122,68 +177,83 @@ def link_vectors(
                 keys = table_keys(units, functions, tables, seed)
                 single = (values.astype(np.float32) == values).all(axis=1)  # half the bytes where nothing is lost
                 packed = pa.array([(r.astype(np.float32) if f else r).tobytes() for r, f in zip(values, single, strict=True)], pa.binary())
+                words = sketches(units, seed).view(np.int64)
                 yield pa.record_batch(
-                    [rows.column(1), rows.column(2), pa.array([int(d)] * len(keys), pa.int32()), packed, pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))],
-                    ["class", "weight", "d", "packed", "keys", "tables"],
+                    [rows.column(1), rows.column(2), pa.array([int(d)] * len(keys), pa.int32()), packed, pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(list(keys), pa.list_(pa.int32()))],
+                    ["class", "weight", "d", "packed", "s1", "s2", "keys", "tables"],
                 )
 
-    files = classes.select("vector", "class", "weight").mapInArrow(keyed, "class bigint, weight bigint, d int, packed binary, keys binary, tables array<int>")
-    files = materialize(files, "vector-keys")
-    sizes = files.select("d", F.posexplode("tables").alias("table", "key")).groupBy("d", "table", "key").count()
-    sizes = sizes.where("count > 1").withColumn("parts", F.when(F.col("count") > cap, F.ceil(F.col("count") * 2 / cap)).otherwise(1).cast("int"))
-    rows = files.select("class", "weight", "d", "packed", "keys", F.posexplode("tables").alias("table", "key"))
-    rows = rows.join(sizes.drop("count"), ["d", "table", "key"])
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), "parts").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    rows = rows.withColumn("part", F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))
-    rows = rows.withColumn("across", F.col("own") != F.col("other"))
-    rows = rows.select("d", "table", "key", "part", "own", "across", "class", "weight", "packed", "keys")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, head = [], None
-
-        def close():
-            if not held or sum(map(len, held)) < 2:
-                return None
-            group = pa.Table.from_batches(held)
-            n, d, table = len(group), head[0], head[1]
+    schema = "class bigint, weight bigint, d int, packed binary, s1 bigint, s2 bigint, keys binary, tables array<int>"
+    files = materialize(classes.select("vector", "class", "weight").mapInArrow(keyed, schema), "vector-keys")
+    filed = files.select("d", F.posexplode("tables").alias("table", "key"), "class", "s1", "s2")
+    found_schema = "d int, table int, key int, part bigint, across boolean, own int, class bigint, n bigint"
+    near_bits = sketch_distance(threshold)
+
+    def compare(most: int, again: bool):
+        """Rows (d, table, key, part, across, own, class, s1, s2) sorted by the first four to those with a near one in their group,
+        or to the size of a group of over ``most``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for tag, size, group in _groups(batches, 4, most):
+                if group is None:
+                    if not again:
+                        raise ValueError(f"a part of a bucket holds over {most} vectors: {tag}")
+                    values = [[x] for x in (*tag, None, None, None, size)]
+                else:
+                    words = np.column_stack([group.column(x).to_numpy() for x in ("s1", "s2")]).view(np.uint64)
+                    own = group.column("own").to_numpy()
+                    across = group.column("across")[0].as_py()
+                    near = group.filter(pa.array(_near(words, own == own[0] if across else None, near_bits)))
+                    values = [*[near.column(i).combine_chunks() for i in range(7)], pa.nulls(len(near), pa.int64())]
+                types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
+                arrays = [pa.array(v, t) if isinstance(v, list) else v for v, t in zip(values, types, strict=True)]
+                yield pa.record_batch(arrays, ["d", "table", "key", "part", "across", "own", "class", "n"])
+
+        return run
+
+    place, rest = ["d", "table", "key", "part"], ["across", "own", "class"]
+    whole = filed.select("d", "table", "key", F.lit(0).cast("bigint").alias("part"), F.lit(False).alias("across"), F.lit(0).alias("own"), "class", "s1", "s2")
+    dealt = whole.repartition("d", "table", "key").sortWithinPartitions("d", "table", "key")
+    found = materialize(dealt.mapInArrow(compare(cap, True), found_schema), "vector-near")
+    near = found.where("n IS NULL").select(*place, *rest)
+    large = found.where("n IS NOT NULL").select("d", "table", "key", F.ceil(F.col("n") * 2 / cap).cast("int").alias("parts"))
+    if large.limit(1).count():
+        rows = filed.join(large, ["d", "table", "key"])
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+        rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+        rows = rows.withColumn("part", F.least("own", "other").cast("bigint") * F.col("parts") + F.greatest("own", "other"))
+        rows = rows.select(*place, (F.col("own") != F.col("other")).alias("across"), "own", "class", "s1", "s2")
+        dealt = rows.repartition(*place).sortWithinPartitions(*place)
+        near = near.union(dealt.mapInArrow(compare(16 * cap, False), found_schema).select(*place, *rest))
+    # keys of earlier tables: four bytes each
+    rows = near.join(files.select("class", "weight", "packed", "keys"), "class")
+    rows = rows.select(*place, *rest, "weight", "packed", F.expr("substring(keys, 1, 4 * table)").alias("earlier"))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tag, n, group in _groups(batches, 4, 1 << 62):
+            d, table = tag[:2]
             packed = group.column("packed").to_pylist()
             values = np.array([np.frombuffer(x, np.float32 if len(x) == 4 * d else np.float64) for x in packed], np.float64)
-            keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.int32).reshape(n, -1)
+            keys = np.frombuffer(b"".join(group.column("earlier").to_pylist()), np.int32).reshape(n, -1) if table else None
             own = group.column("own").to_numpy()
             weights, ids = group.column("weight").to_numpy(), group.column("class").to_numpy()
             across = group.column("across")[0].as_py()
             linked, parent = _bucket(values, keys, weights.astype(np.float64), own == own[0] if across else None, table, threshold)
             some = np.flatnonzero(linked)
             if len(some):
-                return pa.record_batch([pa.array(ids[some]), pa.array(linked[some]), pa.array(ids[parent[some]])], ["class", "linked", "parent"])
-            return None
+                yield pa.record_batch([pa.array(ids[some]), pa.array(linked[some]), pa.array(ids[parent[some]])], ["class", "linked", "parent"])
 
-        for batch in batches:
-            tags = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            cuts = [0, *(np.flatnonzero(np.any([t[1:] != t[:-1] for t in tags], axis=0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                tag = tuple(int(t[a]) for t in tags)
-                if tag != head:
-                    if out := close():
-                        yield out
-                    held, head = [], tag
-                held.append(batch.slice(a, b - a))
-        if out := close():
-            yield out
-
-    dealt = rows.repartition("d", "table", "key", "part").sortWithinPartitions("d", "table", "key", "part")
-    links = materialize(dealt.mapInArrow(scan, "class bigint, linked bigint, parent bigint"), "vector-links")
+    dealt = rows.repartition(*place).sortWithinPartitions(*place)
+    links = materialize(dealt.mapInArrow(link, "class bigint, linked bigint, parent bigint"), "vector-links")
     counts = links.groupBy("class").agg(F.sum("linked").alias("linked"))
     roots = connected_components(links.select(F.col("class").alias("u"), F.col("parent").alias("v")))
     roots = materialize(roots, "vector-roots")
-    joined = classes.select("class", "least").join(roots.withColumnRenamed("node", "class"), "class")
-    whole = joined.groupBy("root").agg(F.min("least").alias("component"))
-    linked = joined.join(whole, "root").select("class", "component")
+    joined = materialize(classes.select("class", "least").join(roots.withColumnRenamed("node", "class"), "class"), "vector-rooted")
+    # written before it is joined on its own key, so that a join with a giant component can be split
+    least = materialize(joined.groupBy("root").agg(F.min("least").alias("component")), "vector-least")
+    linked = joined.join(least, "root").select("class", "component")
     known = classes.join(counts, "class", "left").join(linked, "class", "left")
-    known = known.select("vector", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "least").alias("component"))
+    known = materialize(known.select("vector", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "least").alias("component")), "vector-known")
     out = given.where("fine").select("vec_id", "vector").join(known, "vector").select("vec_id", "n", "component")
     out = out.union(given.where("NOT fine").select("vec_id", F.lit(0).cast("bigint"), "vec_id"))
     return out.select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
