@@ -66,16 +66,17 @@ def long_probabilities(predictions: DataFrame, models: dict[str, str]) -> DataFr
 def metrics(rows: DataFrame, by: list[str]) -> DataFrame:
     """Log loss, Brier score, accuracy at one half and the exact area under the ROC curve, ties counted half.
 
-    Rows are first added up by probability, so the ranking window runs over distinct values of a group only."""
+    Rows are first added up by probability. The ranks are prefix sums in two steps, over slots of probability and within a
+    slot, so no window spans a group. The columns ``by`` must not be null."""
     p, y = F.col("p"), F.col("y")
     loss = -(y * F.ln(p) + (1 - y) * F.ln(1 - p))
     tied = rows.groupBy(*by, "p").agg(
         F.count("*").alias("n"), F.sum("y").alias("ups"), F.sum(loss).alias("loss"), F.sum((p - y) * (p - y)).alias("square"),
         F.count_if((p >= 0.5) == (y == 1)).alias("right"),
     )
-    below = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     downs = F.col("n") - F.col("ups")
-    tied = tied.withColumn("won", F.col("ups") * (F.coalesce(F.sum(downs).over(below), F.lit(0)) + downs / 2.0))
+    tied = _before(tied.withColumn("_downs", downs), by, p, "_downs", F.floor(p * 4096).cast("int"))
+    tied = tied.withColumn("won", F.col("ups") * (F.col("before") + downs / 2.0))
     n, ups = F.sum("n"), F.sum("ups")
     pairs = ups * (n - ups)
     return tied.groupBy(*by).agg(
@@ -84,6 +85,36 @@ def metrics(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _before(rows: DataFrame, by: list[str], value: Column, count: str, slot: Column) -> DataFrame:
+    """Adds before, the sum of ``count`` over the rows of the group with a smaller value, and total, that over all of it. Values are
+    distinct in a group; slot must not descend with the value, and takes a few thousand values, over which one window runs."""
+    rows = rows.withColumn("_slot", slot)
+    slots = rows.groupBy(*by, "_slot").agg(F.sum(count).alias("_n"))
+    group = Window.partitionBy(*by)
+    below = F.coalesce(F.sum("_n").over(group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slots = slots.select(*by, "_slot", below.alias("_below"), F.sum("_n").over(group).alias("total"))
+    inside = Window.partitionBy(*by, "_slot").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(slots, [*by, "_slot"]).withColumn("before", F.col("_below") + F.coalesce(F.sum(count).over(inside), F.lit(0)))
+    return rows.drop("_slot", "_below")
+
+
+def exact_quantiles(rows: DataFrame, by: list[str], x: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles, interpolated linearly, of the values that are not null: a column for each of ``shares``.
+
+    Values are first counted; ranks are prefix sums over slots of the value's sign and magnitude, then within a slot."""
+    value = F.col(x)
+    counted = rows.where(value.isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_count"))
+    magnitude = F.when(value == 0, 0).otherwise(F.signum(value) * (F.floor(F.log2(F.abs(value)) * 8) + 10_000)).cast("int")
+    placed = _before(counted, by, value, "_count", magnitude)
+    out = []
+    for name, q in shares.items():
+        at = F.lit(q) * (F.col("total") - 1)
+        low, high = (F.max(F.when(F.col("before") <= f(at), value)) for f in (F.floor, F.ceil))
+        part = F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(name))
+    return placed.groupBy(*by).agg(*out)
+
+
 def metric_deltas(rows: DataFrame, reference: str, by: list[str]) -> DataFrame:
     """By how much each other model improves on the reference model: losses less, area and accuracy more."""
     less, more = ("log_loss", "brier_score"), ("roc_auc", "accuracy")
@@ -111,33 +142,35 @@ def stability_groups(rows: DataFrame) -> DataFrame:
 
 def quantiles(rows: DataFrame, by: list[str], shares: tuple[float, ...] = (0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1)) -> DataFrame:
     """Exact quantiles of probability, interpolated linearly."""
-    return rows.groupBy(*by).agg(*[F.percentile("p", F.lit(float(q))).alias(f"q{round(q * 100)}") for q in shares])
+    return exact_quantiles(rows, by, "p", {f"q{round(q * 100)}": float(q) for q in shares})
 
 
 def preprocessing(train: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """For each column, in long form: nulls, the exact training median, and the mean and population scale after the median has
-    filled the nulls (a scale of 0 becomes 1)."""
+    filled the nulls (a scale of 0 becomes 1). The columns ``by`` must not be null."""
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])
     long = train.withColumn("_x", F.explode(pairs)).select(*by, "_x.feature", "_x.x")
-    known = long.groupBy(*by, "feature").agg(
-        F.count("*").alias("rows"), F.count_if(F.col("x").isNull()).alias("nulls"), F.percentile("x", F.lit(0.5)).alias("median"),
-        F.sum("x").alias("_s"), F.sum(F.col("x") * F.col("x")).alias("_q"),
-    )
-    n, m = F.col("rows"), F.coalesce("median", F.lit(0.0))
-    mean = (F.coalesce("_s", F.lit(0.0)) + F.col("nulls") * m) / n
-    known = known.withColumn("mean", mean)
-    second = (F.coalesce("_q", F.lit(0.0)) + F.col("nulls") * m * m) / n - F.col("mean") * F.col("mean")
-    return known.withColumn("scale", F.when(second > 1e-18, F.sqrt(second)).otherwise(1.0)).drop("_s", "_q")
+    keys = [*by, "feature"]
+    known = long.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_if(F.col("x").isNull()).alias("nulls"), F.sum("x").alias("_s"), F.min("x").alias("_a"), F.max("x").alias("_b"))
+    known = known.join(exact_quantiles(long, keys, "x", {"median": 0.5}), keys, "left")
+    m = F.coalesce("median", F.lit(0.0))
+    known = known.withColumn("mean", (F.coalesce("_s", F.lit(0.0)) + F.col("nulls") * m) / F.col("rows"))
+    away = F.coalesce(F.col("x"), m) - F.col("mean")  # centred first: no difference of large squares
+    spread = long.join(F.broadcast(known.select(*keys, "median", "mean")), keys).groupBy(*keys).agg(F.avg(away * away).alias("_v"))  # a row a feature and group
+    scale = F.when(F.coalesce(F.col("_a") == F.col("_b"), F.lit(True)), 1.0).otherwise(F.sqrt("_v"))
+    return known.join(spread, keys).withColumn("scale", scale).drop("_s", "_a", "_b", "_v")
 
 
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column: how many values are there, least, median and greatest."""
+    """One row a column: how many values are there, finite ones and the share of nulls, least, median and greatest."""
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])
     long = df.select(F.explode(pairs).alias("_x")).select("_x.feature", "_x.x")
-    return long.groupBy("feature").agg(
-        F.count("x").alias("present"), F.count_if(F.col("x").isNull()).alias("absent"), F.min("x").alias("least"),
-        F.percentile("x", F.lit(0.5)).alias("median"), F.max("x").alias("greatest"),
+    finite = F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))
+    found = long.groupBy("feature").agg(
+        F.count("x").alias("present"), F.count_if(F.col("x").isNull()).alias("absent"), F.count_if(finite).alias("finite"),
+        (F.count_if(F.col("x").isNull()) / F.count("*")).alias("null_share"), F.min("x").alias("least"), F.max("x").alias("greatest"),
     )
+    return found.join(exact_quantiles(long, ["feature"], "x", {"median": 0.5}), "feature", "left")
 
 
 def share(where: Column) -> Column:

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..operators import audits, bars, evaluation, features, recount
 from . import fixture as fx
 
-HOLDOUT = "2024-01-29"
-
 
 def layer_checks(spark, sf_dir) -> DataFrame:
     second, s = fx.seconds(spark, sf_dir), fx.HOUR
@@ -70,20 +68,11 @@ def minute_features_recount(spark, sf_dir) -> DataFrame:
 
 
 def dev_firewall(spark, sf_dir) -> DataFrame:
-    return recount.firewall(_sample(spark, sf_dir), HOLDOUT)
-
-
-def _sample(spark, sf_dir) -> DataFrame:
-    s = fx.HOUR
-    df = fx.prepared(spark, sf_dir, s)
-    df = features.session_clock(features.participation(features.acceleration(features.paths(df, s), s), s))
-    df = df.withColumn("delta_1m", F.col("inferred_delta") / F.col("total_volume"))
-    return evaluation.development_sample(df, fx.labels(spark, sf_dir), HOLDOUT)
+    return recount.firewall(fx.sample(spark, sf_dir), fx.HOLDOUT)
 
 
 def dev_recount(spark, sf_dir) -> DataFrame:
-    sample = _sample(spark, sf_dir).persist()  # read by each of the parts; lost blocks are made again
-    folded = evaluation.folds(sample, fx.FOLDS)
+    sample, folded = fx.sample(spark, sf_dir), fx.folded(spark, sf_dir)
     baselines = evaluation.baseline_probabilities(folded, fx.MOMENTUM)
     scored = evaluation.long_probabilities(baselines, {"baseline_0": "p_base", "baseline_1": "p_momentum"})
     medians = evaluation.preprocessing(folded.where("part = 'train'"), fx.MODEL_FEATURES, ["fold"])
@@ -91,8 +80,7 @@ def dev_recount(spark, sf_dir) -> DataFrame:
 
 
 def metric_deltas(spark, sf_dir) -> DataFrame:
-    folded = evaluation.folds(_sample(spark, sf_dir), fx.FOLDS)
-    scored = evaluation.long_probabilities(evaluation.baseline_probabilities(folded, fx.MOMENTUM), {"baseline_0": "p_base", "baseline_1": "p_momentum"})
+    scored = evaluation.long_probabilities(evaluation.baseline_probabilities(fx.folded(spark, sf_dir), fx.MOMENTUM), {"baseline_0": "p_base", "baseline_1": "p_momentum"})
     df = evaluation.metric_deltas(evaluation.metrics(scored, ["fold", "model"]), "baseline_0", ["fold"])
     return fx.plain(df, *df.columns)
 

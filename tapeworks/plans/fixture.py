@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bars, features, targets, ticks
+from ..operators import bars, evaluation, features, targets, ticks
 from ..operators.features import Coverage, Settings
+from ..schemas import IDENTITY, PREDICTORS
 from ..sources import tape
 
 COVERAGE = Coverage(
@@ -20,6 +23,8 @@ HORIZON, TOLERANCE = 3, 900
 #: Bars of a minute with the defaults of the operators, over the dense tape.
 MINUTE = Settings(COVERAGE)
 FOLDS = [("2024-01-13", "2024-01-17"), ("2024-01-18", "2024-01-22"), ("2024-01-23", "2024-01-27")]
+HOLDOUT, MINUTE_HOLDOUT = "2024-01-29", "2024-01-26"
+MINUTE_FOLDS = [("2024-01-14", "2024-01-17"), ("2024-01-18", "2024-01-21"), ("2024-01-22", "2024-01-25")]
 MOMENTUM = "return_1m"
 MODEL_FEATURES = ["return_1m", "return_3m", "log_volume_1m", "log_trade_count_1m", "trade_size_dispersion_1m", "delta_1m", "activity_acceleration_3m"]
 
@@ -33,8 +38,47 @@ def classified(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFra
     return ticks.with_flow(ticks.tick_rule(trades(spark, sf_dir, dense)))
 
 
+_KEPT: dict[tuple, DataFrame] = {}
+
+
 def seconds(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    return bars.second_bars(classified(spark, sf_dir, dense))
+    """The layer that bars, labels and features start from."""
+    return kept(spark, sf_dir, f"seconds-{dense}", lambda: bars.second_bars(classified(spark, sf_dir, dense)))
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A layer that several queries start from: kept for the application, in memory and on disk, and made again where an executor
+    with a part of it is lost."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _KEPT:
+        _KEPT[key] = make().persist()
+    return _KEPT[key]
+
+
+def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and labels of the hour bars before the holdout."""
+
+    def make() -> DataFrame:
+        df = prepared(spark, sf_dir, HOUR)
+        df = features.session_clock(features.participation(features.acceleration(features.paths(df, HOUR), HOUR), HOUR))
+        df = df.withColumn("delta_1m", F.col("inferred_delta") / F.col("total_volume"))
+        return evaluation.development_sample(df, labels(spark, sf_dir), HOLDOUT)
+
+    return kept(spark, sf_dir, "sample", make)
+
+
+def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.folds(sample(spark, sf_dir), FOLDS)
+
+
+def minute_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All predictors and labels of the minute bars before the holdout of the dense tape."""
+
+    def make() -> DataFrame:
+        df = features.all_features(rolled(spark, sf_dir, MINUTE), MINUTE)
+        return evaluation.development_sample(df, minute_labels(spark, sf_dir), MINUTE_HOLDOUT).select(*IDENTITY, *PREDICTORS, "target_up_15m", "future_reference_timestamp")
+
+    return kept(spark, sf_dir, "minute-sample", make)
 
 
 def rolled(spark: SparkSession, sf_dir: str, s: Settings) -> DataFrame:

@@ -439,10 +439,10 @@ FROM (SELECT DISTINCT fold, model FROM scored) k CROSS JOIN (SELECT unnest(range
   UNION ALL SELECT *, 'regime:U.S.' FROM scored WHERE us_flag = 1 UNION ALL SELECT *, 'regime:U.S. RTH' FROM scored WHERE us_rth_flag = 1), {_metrics('grp, model', 'grouped')}""",
         "probability_quantiles": f"WITH {_baselines()} SELECT fold, model, " + ", ".join(f"round(quantile_cont(p, {q}), 9) AS q{round(q * 100)}" for q in (0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1)) + " FROM scored GROUP BY fold, model",
         "training_medians": _preprocessing("SELECT fold, feature, rows, nulls, round(median, 9) + 0.0 AS median FROM med"),
-        "training_scaler": _preprocessing("SELECT fold, feature, round(avg(x), 6) AS mean, round(CASE WHEN var_pop(x) > 1e-18 THEN stddev_pop(x) ELSE 1.0 END, 6) AS scale FROM filled GROUP BY fold, feature"),
+        "training_scaler": _preprocessing("SELECT fold, feature, round(avg(x), 9) + 0.0 AS mean, round(CASE WHEN min(x) < max(x) THEN stddev_pop(x) ELSE 1.0 END, 9) AS scale FROM filled GROUP BY fold, feature"),
         "feature_distribution": f"""WITH {prep(ten)}, fd AS (SELECT {", ".join(f"CASE WHEN {_elapsed(ten, h)} THEN ln(max(high) OVER {_frame(ten, -(h - 1))} / min(low) OVER {_frame(ten, -(h - 1))}) END AS range_{h}m" for h in (5, 15))},
   ln(1 + total_volume) AS log_volume_1m, sqrt(greatest(size_squared_sum / CAST(trade_count AS DOUBLE) - (total_volume / CAST(trade_count AS DOUBLE)) ** 2, 0)) / (total_volume / CAST(trade_count AS DOUBLE)) AS trade_size_dispersion_1m FROM prep)
-""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS present, count(*) - count({c}) AS absent, round(min({c}), 9) + 0.0 AS least, round(median({c}), 9) + 0.0 AS median, round(max({c}), 9) + 0.0 AS greatest FROM fd" for c in ("range_5m", "range_15m", "log_volume_1m", "trade_size_dispersion_1m")),
+""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS present, count(*) - count({c}) AS absent, count(*) FILTER (WHERE isfinite({c})) AS finite, round((count(*) - count({c})) / count(*), 9) AS null_share, round(min({c}), 9) + 0.0 AS least, round(median({c}), 9) + 0.0 AS median, round(max({c}), 9) + 0.0 AS greatest FROM fd" for c in ("range_5m", "range_15m", "log_volume_1m", "trade_size_dispersion_1m")),
         "direction_agreement": f"""WITH {TICKS}, known AS (SELECT *, CASE side WHEN 'B' THEN 1 WHEN 'A' THEN -1 END AS native FROM ticks WHERE side IN ('A', 'B') AND direction <> 0)
 SELECT coalesce(change <> 0, FALSE) AS moved, count(*) AS trades, count(*) FILTER (WHERE native = direction) AS agreeing_trades, CAST(sum(size) AS BIGINT) AS volume, CAST(coalesce(sum(size) FILTER (WHERE native = direction), 0) AS BIGINT) AS agreeing_volume FROM known GROUP BY 1""",
         "first_second_coverage": f"""WITH {_targets(True)}, seen AS (SELECT boundary_us, bool_or(ref_ts < boundary_us + 1000000) AS exact FROM refs GROUP BY 1)

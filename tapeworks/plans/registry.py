@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audits, bars, evaluation, features, models, targets
-from ..schemas import BARS, SECOND_BARS, TARGETS
+from ..schemas import BARS, PREDICTORS, SECOND_BARS, TARGETS
 from . import audit_oracle, oracle
 from . import audits as audit_plans
 from . import fixture as fx
@@ -139,11 +139,7 @@ def target_version_diff(spark, sf_dir):
 
 
 def _development(spark, sf_dir) -> DataFrame:
-    s = fx.HOUR
-    df = fx.prepared(spark, sf_dir, s)
-    df = features.session_clock(features.participation(features.acceleration(features.paths(df, s), s), s))
-    df = df.withColumn("delta_1m", F.col("inferred_delta") / F.col("total_volume"))
-    return evaluation.folds(evaluation.development_sample(df, fx.labels(spark, sf_dir), "2024-01-29"), fx.FOLDS)
+    return fx.folded(spark, sf_dir)
 
 
 def _baselines(spark, sf_dir) -> DataFrame:
@@ -204,8 +200,7 @@ def training_medians(spark, sf_dir):
 def training_scaler(spark, sf_dir):
     train = _development(spark, sf_dir).where("part = 'train'")
     df = evaluation.preprocessing(train, fx.MODEL_FEATURES, ["fold"])
-    six = [F.round(c, 6).alias(c) for c in ("mean", "scale")]
-    return df.select("fold", "feature", *six)
+    return fx.plain(df, "fold", "feature", "mean", "scale")
 
 
 @query
@@ -228,13 +223,13 @@ def first_second_coverage(spark, sf_dir):
 
 
 def _modelled(spark, sf_dir, fit, name) -> DataFrame:
-    rows = _development(spark, sf_dir).persist()  # read by every iteration of every fit; lost blocks are made again
+    rows = evaluation.folds(fx.minute_sample(spark, sf_dir), fx.MINUTE_FOLDS)
     out = None
-    for fold in range(1, len(fx.FOLDS) + 1):
+    for fold in range(1, len(fx.MINUTE_FOLDS) + 1):
         own = rows.where(F.col("fold") == fold)
         train = own.where("part = 'train'")
-        z = models.standardized(own, train, fx.MODEL_FEATURES)
-        model = fit(z.where("part = 'train'"), fx.MODEL_FEATURES)
+        z = models.standardized(own, train, PREDICTORS).persist()  # read by every iteration of the fit; lost blocks are made again
+        model = fit(z.where("part = 'train'"), PREDICTORS)
         scored = models.probabilities(model, z.where("part = 'validation'"), name)
         out = scored if out is None else out.unionByName(scored)
     return fx.plain(out, "fold", "decision_timestamp", "target_up_15m", name)
@@ -250,6 +245,14 @@ def boosted_model(spark, sf_dir):
     return _modelled(spark, sf_dir, lambda t, c: models.fit_boosted(t, c, leaf=10), "p_boosted")
 
 
+@query
+def logistic_coefficients(spark, sf_dir):
+    rows = evaluation.folds(fx.minute_sample(spark, sf_dir), fx.MINUTE_FOLDS).where("fold = 1 AND part = 'train'")
+    z = models.standardized(rows, rows, PREDICTORS)
+    found = models.coefficients(models.fit_logistic(z.persist(), PREDICTORS), PREDICTORS)
+    return fx.plain(spark.createDataFrame(found, "feature string, coefficient double"), "feature", "coefficient")
+
+
 _QUERIES |= audit_plans.QUERIES
 
 

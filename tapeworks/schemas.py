@@ -29,6 +29,16 @@ TARGETS = (
     "forward_price_change DOUBLE, forward_log_return DOUBLE, target_up_15m TINYINT, target_eligible BOOLEAN, "
     "eligibility_reason STRING"
 )
+# fixed values: the predictors, in the order of their contract
+PREDICTORS = [
+    "return_1m", "return_5m", "return_15m", "return_30m", "return_60m", "range_5m", "range_15m", "trend_efficiency_5m", "trend_efficiency_15m",
+    "realized_volatility_15m", "realized_volatility_60m", "volatility_ratio_15m_60m", "log_volume_1m", "log_trade_count_1m",
+    "log_average_trade_size_1m", "trade_size_dispersion_1m", "log_max_trade_size_1m", "active_second_fraction_1m", "relative_volume_q",
+    "relative_trade_count_q", "activity_acceleration_5m", "session_vwap_distance", "session_range_position", "session_high_distance",
+    "session_low_distance", "prior_session_high_distance", "prior_session_low_distance", "prior_session_close_distance",
+    "us_opening_range_position", "time_of_day_sin", "time_of_day_cos", "minutes_since_cme_open", "asia_flag", "europe_flag", "us_flag",
+    "us_rth_flag",
+]
 IDENTITY = ["decision_timestamp", "session_date", "instrument_id", "contract"]
 SUMS = [
     "price_volume_sum", "price_squared_volume_sum", "total_volume", "trade_count", "size_squared_sum", "uptick_count",
