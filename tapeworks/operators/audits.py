@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from ..functions.carry import lag_across
 from .targets import REASONS
 
 
@@ -27,6 +28,14 @@ def duplicate_keys(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return checks(df.groupBy(*keys).count(), {name: F.col("count") > 1})
 
 
+def tape_order(trades: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """Whether event times never go back in the order of ``seq``. The tape is cut into chunks of ``rows`` sequence numbers; the
+    last time of a chunk is carried to the next over one row a chunk."""
+    df = trades.select("seq", "ts_event", F.floor(F.col("seq") / rows).alias("chunk"))
+    df = lag_across(df, "chunk", ["seq"], {"_before": "ts_event"})
+    return checks(df, {"tape_order": F.coalesce(F.col("ts_event") < F.col("_before"), F.lit(False))})
+
+
 def second_bar_checks(seconds: DataFrame) -> DataFrame:
     c = F.col
     inside = (c("open") <= c("high")) & (c("open") >= c("low")) & (c("close") <= c("high")) & (c("close") >= c("low")) & (c("low") <= c("high"))

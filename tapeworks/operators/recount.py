@@ -217,6 +217,27 @@ def features_recount(features: DataFrame, bars: DataFrame, s: Settings) -> DataF
 # --- folds, baselines, medians and metrics
 
 
+def sample_reconciliation(sample: DataFrame, features: DataFrame, targets: DataFrame, holdout: str) -> DataFrame:
+    """(check, rows, violations): that a development sample is the one-to-one join of features and eligible labels before the
+    holdout: keys once on each side, each label met by one row of the same session, instrument and contract, values taken over
+    unchanged, and nothing from the holdout on."""
+    day, key = F.col("session_date"), ["decision_timestamp"]
+    first = F.lit(holdout).cast("date")
+    labels = targets.where(F.col("target_eligible") & (day < first))
+    once = lambda df, name: checks(df.groupBy(*key).count(), {name: F.col("count") > 1})
+    taken = ["session_date", "instrument_id", "contract", "target_up_15m", "future_boundary_timestamp", "future_reference_timestamp"]
+    own = sample.select(*key, *[F.col(c).alias(f"s_{c}") for c in taken], F.lit(1).alias("s"))
+    both = labels.select(*key, *taken, F.lit(1).alias("l")).join(own, key, "full")
+    same = {f"label_{c}": ~F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in taken}
+    met = features.where(day < first).select(*key, F.lit(1).alias("f")).join(own.select(*key, "s"), key, "right")
+    parts = [
+        once(features, "feature_keys"), once(targets, "label_keys"), once(sample, "sample_keys"),
+        checks(both, {"labels_met": F.col("s").isNull(), "rows_with_label": F.col("l").isNull()} | same),
+        checks(met, {"rows_with_features": F.col("f").isNull()}), firewall(sample, holdout),
+    ]
+    return _union(parts)
+
+
 def firewall(sample: DataFrame, holdout: str, label: str = "target_up_15m") -> DataFrame:
     """What must not be in a development sample: sessions of the holdout, repeated or missing decisions, labels other than 0 and 1."""
     day = F.col("session_date")

@@ -285,7 +285,28 @@ def _by_regime() -> str:
 SELECT regime, count(*) AS bars, count(*) FILTER (WHERE delay < 1000000) AS exact, count(delay) AS within FROM rows GROUP BY 1"""
 
 
+def _reconciliation() -> str:
+    sample = o._development()
+    sample = sample[: sample.index(", spans(fold")].replace("label AS y, future_ts FROM d0", "label AS y, future_ts, future_us FROM d0")
+    taken = {"session_date": "session_date", "instrument_id": "instrument_id", "contract": "contract", "target_up_15m": "label", "future_boundary_timestamp": "future_us", "future_reference_timestamp": "future_ts"}
+    mine = {"label": "y"}
+    both = "(SELECT l.decision_us AS l, s.decision_us AS s, " + ", ".join(f"l.{c} AS l_{c}, s.{mine.get(c, c)} AS s_{c}" for c in taken.values())
+    both += f" FROM (SELECT * FROM targets WHERE target_eligible AND session_date < DATE '{HOLDOUT}') l FULL JOIN sample s ON l.decision_us = s.decision_us)"
+    parts = _once("feature_keys", "bars", "decision_us") + _once("label_keys", "targets", "decision_us") + _once("sample_keys", "sample", "decision_us")
+    parts += _rules(both, {"labels_met": "s IS NOT NULL", "rows_with_label": "l IS NOT NULL"} | {f"label_{n}": f"l_{c} IS NOT DISTINCT FROM s_{c}" for n, c in taken.items()})
+    parts += _rules(f"(SELECT f.decision_us AS f FROM sample s LEFT JOIN (SELECT decision_us FROM bars WHERE session_date < DATE '{HOLDOUT}') f ON f.decision_us = s.decision_us)", {"rows_with_features": "f IS NOT NULL"})
+    parts += _rules("sample", {"sample_holdout": f"session_date < DATE '{HOLDOUT}'", "sample_label": "y IN (0, 1)", "sample_decision": "decision_us IS NOT NULL"})
+    return f"WITH {sample}\n" + _all(parts + _once("sample_unique", "sample", "decision_us"))
+
+
+def _order() -> str:
+    rule = lambda key: f"(SELECT ts_event, lag(ts_event) OVER (ORDER BY {key}) AS before FROM trades)"
+    parts = _rules(rule("seq"), {"tape_order": "before IS NULL OR ts_event >= before"}) + _rules(rule("-seq"), {"reversed_order": "before IS NULL OR ts_event >= before"})
+    return f"WITH {o.TRADES}\n" + _all(parts)
+
+
 SQL = {
+    "tape_order": _order(), "sample_reconciliation": _reconciliation(),
     "layer_checks": _layer_checks(), "dataset_audit": _dataset_audit(), "session_breakdown": _breakdown(), "run_totals": _totals(), "layer_sessions": _sessions(), "bars_recount": _bars(),
     "targets_recount": _targets(fx.HOUR, fx.HORIZON, fx.TOLERANCE), "minute_targets_recount": _targets(fx.MINUTE, 15, 10).replace(o.TRADES, o.DENSE), "minute_features_recount": _features(),
     "dev_firewall": _firewall(), "dev_recount": _development(), "metric_deltas": _deltas(), "flow_correlation": _correlation(), "first_second_by_regime": _by_regime(),

@@ -21,6 +21,17 @@ def layer_checks(spark, sf_dir) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def tape_order(spark, sf_dir) -> DataFrame:
+    """Of the tape, and of a copy whose sequence numbers run backwards: every row of that breaks the order."""
+    trades = fx.trades(spark, sf_dir)
+    back = audits.tape_order(trades.withColumn("seq", -F.col("seq"))).withColumn("check", F.lit("reversed_order"))
+    return audits.tape_order(trades).union(back)
+
+
+def sample_reconciliation(spark, sf_dir) -> DataFrame:
+    return recount.sample_reconciliation(fx.sample(spark, sf_dir), fx.rolled(spark, sf_dir, fx.HOUR), fx.labels(spark, sf_dir), fx.HOLDOUT)
+
+
 def dataset_audit(spark, sf_dir) -> DataFrame:
     df = recount.dataset_audit(fx.trades(spark, sf_dir), fx.seconds(spark, sf_dir))
     return fx.plain(df, *df.columns)
@@ -96,6 +107,6 @@ def first_second_by_regime(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    layer_checks, dataset_audit, session_breakdown, run_totals, layer_sessions, bars_recount, targets_recount, minute_targets_recount,
+    layer_checks, tape_order, sample_reconciliation, dataset_audit, session_breakdown, run_totals, layer_sessions, bars_recount, targets_recount, minute_targets_recount,
     minute_features_recount, dev_firewall, dev_recount, metric_deltas, flow_correlation, first_second_by_regime,
 )}

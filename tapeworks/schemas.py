@@ -39,6 +39,11 @@ PREDICTORS = [
     "us_opening_range_position", "time_of_day_sin", "time_of_day_cos", "minutes_since_cme_open", "asia_flag", "europe_flag", "us_flag",
     "us_rth_flag",
 ]
+_SHORT = {"minutes_since_cme_open": "INT", **dict.fromkeys(["asia_flag", "europe_flag", "us_flag", "us_rth_flag"], "SMALLINT")}
+_KEYS = "decision_timestamp TIMESTAMP, session_date DATE, instrument_id BIGINT, contract STRING, "
+FEATURES = _KEYS + ", ".join(f"{p} {_SHORT.get(p, 'DOUBLE')}" for p in PREDICTORS)
+SAMPLE = FEATURES + ", target_up_15m TINYINT, future_boundary_timestamp TIMESTAMP, future_reference_timestamp TIMESTAMP"
+PREDICTIONS = _KEYS + "fold INT, model STRING, p DOUBLE, target_up_15m TINYINT"
 IDENTITY = ["decision_timestamp", "session_date", "instrument_id", "contract"]
 SUMS = [
     "price_volume_sum", "price_squared_volume_sum", "total_volume", "trade_count", "size_squared_sum", "uptick_count",

@@ -15,6 +15,10 @@ class SchemaMismatch(ValueError):
     """A table's columns are not those of its layer."""
 
 
+class ReadBackError(ValueError):
+    """A table that was just written holds other rows."""
+
+
 def enforce(df: DataFrame, ddl: str) -> DataFrame:
     """The layer's columns in its order and types; missing or unexpected columns are an error."""
     wanted = T.StructType.fromDDL(ddl)
@@ -30,12 +34,15 @@ def same_types(df: DataFrame, ddl: str) -> bool:
 
 
 def write_layer(df: DataFrame, ddl: str, path: str, order: list[str]) -> DataFrame:
-    """Writes a layer partitioned by session, refuses a folder that is there, and returns it as read back and checked."""
+    """Writes a layer partitioned by session, refuses a folder that is there, and returns it as read back: of the layer's types,
+    and row for row what was to be written."""
     out = enforce(df, ddl).repartition("session_date").sortWithinPartitions("session_date", *order)
     out.write.mode("errorifexists").option("compression", "zstd").partitionBy("session_date").parquet(path)
     back = read_layer(df.sparkSession, ddl, path)
     if not same_types(back, ddl):
         raise SchemaMismatch(f"{path} reads back as {back.schema.simpleString()}")
+    if apart := differing_rows(back, out):
+        raise ReadBackError(f"{path}: {apart} rows differ from what was written")
     return back
 
 

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-CLASSIFIED = "tape STRING, ts_event TIMESTAMP, seq BIGINT, instrument_id BIGINT, price DOUBLE, size BIGINT, side STRING, change INT, direction INT, late BOOLEAN"
+from ..functions.clock import session_date
+
+CLASSIFIED = "tape STRING, ts_event TIMESTAMP, seq BIGINT, instrument_id BIGINT, price DOUBLE, size BIGINT, side STRING, change INT, direction INT, rolled BOOLEAN, late BOOLEAN"
 STATE = "price DOUBLE, direction INT, instrument_id BIGINT, ts_event TIMESTAMP, seq BIGINT"
 
 
@@ -30,9 +32,14 @@ def _classify(rows: pd.DataFrame, price, direction, instrument):
     return [int(s) if c else None for s, c in zip(sign, comparable, strict=True)], directions
 
 
-def classified_trades(trades: DataFrame) -> DataFrame:
-    """A stream of (tape, ts_event, seq, ...) with change, direction, and ``late`` for trades that come behind the newest
-    one of an earlier batch: those are passed on unclassified and change no state."""
+class BackwardTrade(ValueError):
+    """A trade came behind the newest one of an earlier batch."""
+
+
+def classified_trades(trades: DataFrame, strict: bool = False) -> DataFrame:
+    """A stream of (tape, ts_event, seq, ...) with change, direction, ``rolled`` (another instrument than the trade before, of
+    an earlier batch too), and ``late`` for trades that come behind the newest one of an earlier batch: those are passed on
+    unclassified and change no state, or, with ``strict``, end the stream with an error."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(["ts_event", "seq"], kind="stable").reset_index(drop=True)
@@ -41,15 +48,19 @@ def classified_trades(trades: DataFrame) -> DataFrame:
         if ts is not None:
             ts = pd.Timestamp(ts)
             late = ((rows["ts_event"] < ts) | ((rows["ts_event"] == ts) & (rows["seq"] <= seq))).to_numpy()
+        if strict and late.any():
+            raise BackwardTrade(f"tape {key[0]}: {int(late.sum())} trades are behind {ts}, {seq}")
         fresh = rows[~late].reset_index(drop=True)
-        out = rows.assign(change=pd.array([None] * len(rows), "Int32"), direction=0, late=late)
+        out = rows.assign(change=pd.array([None] * len(rows), "Int32"), direction=0, rolled=False, late=late)
         if len(fresh):
             change, directions = _classify(fresh, price, direction, instrument)
             out.loc[~late, "change"] = pd.array(change, "Int32")
             out.loc[~late, "direction"] = directions
+            before = np.concatenate(([fresh["instrument_id"].iloc[0] if instrument is None else instrument], fresh["instrument_id"].to_numpy()[:-1]))
+            out.loc[~late, "rolled"] = before != fresh["instrument_id"].to_numpy()
             end = fresh.iloc[-1]
             state.update((float(end.price), int(directions[-1]), int(end.instrument_id), end.ts_event.to_pydatetime(), int(end.seq)))
-        yield out[["tape", "ts_event", "seq", "instrument_id", "price", "size", "side", "change", "direction", "late"]]
+        yield out[["tape", "ts_event", "seq", "instrument_id", "price", "size", "side", "change", "direction", "rolled", "late"]]
 
     return trades.groupBy("tape").applyInPandasWithState(step, CLASSIFIED, STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -65,6 +76,17 @@ def streaming_bars(trades: DataFrame, width: str = "1 second", delay: str = "0 s
     ).select(F.col("window.start").alias("bar_start"), F.col("window.end").alias("bar_end"), "instrument_id", "open", "high", "low", "close", "total_volume", "trade_count")
 
 
+def session_writer(path: str):
+    """For ``foreachBatch``: appends a batch's bars to their sessions' folders, each batch in files of its own name, so that a
+    batch that runs again replaces what it has written before."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumns({"session_date": session_date(F.col("bar_start")), "batch": F.lit(number)})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_date", "batch").parquet(path)
+
+    return write
+
+
 def flush(trades: DataFrame, emitted: DataFrame, width: str = "1 second") -> DataFrame:
     """The bars of a finished tape that a stream has not emitted."""
     whole = streaming_bars(trades, width)
