@@ -361,20 +361,46 @@ def similar_forest(nodes: np.ndarray, sketches: np.ndarray, sets: list[np.ndarra
     return us, vs
 
 
+class Links:
+    """Links found in one task that tell something new: ends whose local components differ so far."""
+
+    def __init__(self):
+        self.parent, self.us, self.vs = {}, [], []
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = x = self.parent[up]
+        return x
+
+    def add(self, u: int, v: int, a: int, b: int) -> None:
+        """A link (u, v) of nodes in components a and b."""
+        if (a := self.root(a)) != (b := self.root(b)):
+            self.parent[a] = b
+            self.us.append(u)
+            self.vs.append(v)
+
+
 def keep_one_of_similar(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", cap: int = 16384, most: int = 1 << 21
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", cap: int = 16384, unit: int = 256
 ) -> DataFrame:
     """One row, with all its columns, of each component of texts linked by a Jaccard similarity of at least ``similarity`` of
     their sets of shingles: that of the smallest id (of equal or null ids, any one, always the same); of equal rows, one.
 
     Texts are candidates that share all BAND least hashes of one of BANDS bands: at a similarity of 0.8 all but 7 in 100,000
     pairs do, above it more. A sketch of SKETCH bytes drops candidates five standard errors below the similarity. Every
-    link that counts is an exact one: texts that candidates join are brought together and their sets compared. Where these
-    have over ``most`` shingles, they are cut into parts by hash and each pair of parts is compared on its own."""
+    link that counts is an exact one: texts that candidates join are a group, brought together and their sets compared.
+
+    A group of over ``unit`` texts is dealt into parts. Each part is compared in itself and with one text of the group that goes
+    to all parts, which joins most of a group of near copies; then the texts outside the group's largest component so
+    far are compared with every part, one after another, and only with texts of other components.
+
+    Null, empty and word-less texts have no shingle and are equal; very long texts are taken whole. Other columns pass
+    through, whatever their names. An empty table gives an empty result."""
     columns, none = docs.columns, F.lit(2**63 - 1)
     id_ = F.coalesce(F.col(id_col).cast("bigint"), none)
     mark = F.xxhash64(id_, F.col(text_col))
     fields = ["id", "mark", "node", "n", *MARKS, "bands"]
+    bands = Bands(similarity)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
@@ -385,6 +411,10 @@ def keep_one_of_similar(
             longs = [words[:, i].copy().view(np.int64) for i in range(len(MARKS))]
             yield pa.record_batch([batch.column(0), batch.column(1), *map(pa.array, (node_ids(words).view(np.int64), np.array([len(h) for h in sets], np.int64), *longs)), keys], fields)
 
+    def rows_of(batch: pa.RecordBatch, first: int):
+        words = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(first, batch.num_columns)])
+        return zip(*[batch.column(i).to_pylist() for i in range(first - 1)], binaries(batch.column(first - 1)), words, strict=True)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, held = None, {}
 
@@ -394,35 +424,69 @@ def keep_one_of_similar(
             return pa.record_batch([pa.array(np.concatenate(x) if x else nodes[:0], pa.int64()) for x in (us, vs)], ["u", "v"])
 
         for batch in row_slices(batches):
-            groups = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            words = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(4, batch.num_columns)])
-            for group, node, text, own in zip(groups, batch.column(2).to_pylist(), binaries(batch.column(3)), words, strict=True):
-                if group != head:
+            for root, part, node, text, own in rows_of(batch, 4):
+                if (root, part) != head:
                     if len(held) > 1:
                         yield close()
-                    head, held = group, {}
+                    head, held = (root, part), {}
                 if node not in held:  # equal rows give it again
                     held[node] = own.copy(), shingle_set(text, shingle)
         if len(held) > 1:
             yield close()
 
+    def bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (root, part, guest, comp, small, node, text, marks): a part's own texts come first and are held, then the texts of
+        small components come by, one at a time."""
+        head, held, seen = None, {}, set()
+        for batch in row_slices(batches):
+            links = Links()
+            for root, part, guest, comp, small, node, text, own in rows_of(batch, 7):
+                if (root, part) != head:
+                    head, held, seen = (root, part), {}, set()
+                if node in seen:
+                    continue
+                if not guest:
+                    seen.add(node)
+                mine = shingle_set(text, shingle)
+                if small or not guest:
+                    for other, (comp2, small2, own2, theirs) in held.items():
+                        if comp != comp2 and (small or small2) and bands.linked(own[None, :], own2[None, :], 0)[0]:
+                            both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                            if both >= similarity * (len(mine) + len(theirs) - both):
+                                links.add(node, other, comp, comp2)
+                if not guest:
+                    held[node] = comp, small, own.copy(), mine
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in (links.us, links.vs)], ["u", "v"])
+
     source = docs.select(id_.alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
     schema = "id bigint, mark bigint, node bigint, n bigint, " + ", ".join(f"{w} bigint" for w in MARKS) + ", bands array<bigint>"
     rows = source.mapInArrow(prints, schema)
     nodes = rows.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("lead"), F.first(F.struct("n", *MARKS, "bands")).alias("own"))
     nodes = materialize(nodes.select("node", "lead.*", "own.*"), "simhash-nodes")
     filed = nodes.select(*MARKS, F.posexplode("bands").alias("file", "key"))
-    near = connected_components(_filed_links(filed, F.col("key"), MARKS, Bands(similarity), cap))
-    near = materialize(nodes.drop("bands").join(near, "node"), "simhash-candidates")
-    large = near.groupBy("root").agg(F.sum("n").alias("total")).where(F.col("total") > most)
-    large = large.select("root", F.ceil(F.col("total") * 2 / most).cast("int").alias("parts"))
-    near = near.join(large, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    fetched = source.join(near.select("id", "mark", "root", "node", "parts", *MARKS), ["id", "mark"])
-    fetched = fetched.withColumn("own", F.pmod(F.xxhash64("node", F.lit("part")), "parts").cast("int"))
-    fetched = fetched.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    pair = F.least("own", "other") * F.col("parts") + F.greatest("own", "other")
-    fetched = fetched.select("root", pair.alias("part"), "node", "text", *MARKS).repartition("root", "part").sortWithinPartitions("root", "part")
+    near = connected_components(_filed_links(filed, F.col("key"), MARKS, bands, cap))
+    near = materialize(nodes.drop("bands", "n").join(near, "node"), "simhash-candidates")
+    large = near.groupBy("root").agg(F.ceil(F.count("*") / unit).cast("int").alias("parts"), F.min("node").alias("pivot"))
+    large = materialize(large.where("parts > 1"), "simhash-large")
+    near = near.join(large, "root", "left").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.coalesce("parts", F.lit(1))).cast("int"))
+    every = F.explode(F.expr("sequence(0, parts - 1)"))
+    pivots = near.where("node = pivot").withColumn("to", every).where("to <> part").drop("part").withColumnRenamed("to", "part")
+    place = ["root", "part"]
+    fetched = source.join(near.unionByName(pivots).select("id", "mark", *place, "node", *MARKS), ["id", "mark"])
+    fetched = fetched.select(*place, "node", "text", *MARKS).repartition(*place).sortWithinPartitions(*place)
     links = materialize(fetched.mapInArrow(compare, "u bigint, v bigint"), "simhash-similar")
+    if large.limit(1).count():
+        found = connected_components(links).withColumnRenamed("root", "comp")
+        members = near.where("parts > 1").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        members = materialize(members, "simhash-members")
+        main = members.groupBy("root", "comp").count().groupBy("root").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+        members = members.join(materialize(main, "simhash-main"), "root").withColumn("small", F.col("comp") != F.col("main"))
+        guests = members.where("small").withColumn("to", every).where("to <> part").drop("part").withColumnRenamed("to", "part")
+        both = members.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+        order = [*place, "guest"]
+        met = source.join(both.select("id", "mark", *order, "comp", "small", "node", *MARKS), ["id", "mark"])
+        met = met.select(*order, "comp", "small", "node", "text", *MARKS).repartition(*place).sortWithinPartitions(*order)
+        links = links.union(met.mapInArrow(bridge, "u bigint, v bigint"))
     roots = nodes.select("node", "id", "mark").join(connected_components(links), "node", "left")
     leads = roots.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "mark")).alias("lead")).select("lead.*")
     copies = materialize(source.groupBy("id", "mark").agg(F.count("*").alias("copies")).where("copies > 1"), "simhash-copies")

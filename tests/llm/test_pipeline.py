@@ -29,14 +29,6 @@ def test_quality_stage_keeps_rows_whole(spark):
     assert [tuple(r) for r in got.collect()] == [("a b c d e f g h i j", 1, 3, "r", 19, "k")]
 
 
-def wide_components(docs, distance=8, wide=40):
-    """Component of each id by brute force; docs have unique ids."""
-    prints = {i: simhash.wide_fingerprint((t or "").encode(), 5) for i, t in docs}
-    bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True))
-    linked = lambda a, b: (a[0] ^ b[0]).bit_count() <= distance and bits(a, b) <= wide
-    return union([(i, j) for i in prints for j in prints if i < j and linked(prints[i], prints[j])], list(prints))
-
-
 def near_copies():
     rng = random.Random(8)
     words = ["".join(rng.choices("abcdefg", k=rng.randrange(2, 7))) for _ in range(400)]
@@ -49,20 +41,6 @@ def near_copies():
     return docs
 
 
-def test_simhash_stage_keeps_one_row_of_each_component(spark):
-    docs = near_copies()
-    want = sorted({r for r in wide_components([*docs, (700, "")]).values()})
-    assert 40 < len(want) < 100
-    rows = frame(spark, [*docs, (0, docs[0][1]), (0, docs[0][1]), (None, None), (None, ""), (700, "\t")])
-    for cap in (16384, 3):
-        got = simhash.keep_one_of_each(rows, cap=cap)
-        assert got.columns == rows.columns
-        assert sorted(r.doc_id for r in got.collect()) == want
-    nulls = frame(spark, [(None, "one two"), (None, "one two"), (None, "three")])
-    assert sorted(r.text for r in simhash.keep_one_of_each(nulls).collect()) == ["one two", "three"]
-    assert simhash.keep_one_of_each(rows.limit(0)).count() == 0
-
-
 def similar_components(docs, least=0.8):
     """Component of each id by brute-force Jaccard similarity of the sets of five-word shingles."""
     words = {i: (t or "").lower().split() for i, t in docs}
@@ -92,7 +70,7 @@ def test_simhash_stage_finds_every_pair_of_the_similarity(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, rows, "")
     assert got.columns == rows.columns
     assert sorted(r.doc_id for r in got.collect()) == want
-    cut = simhash.keep_one_of_similar(rows, cap=3, most=200)  # every larger band and group goes through the parts
+    cut = simhash.keep_one_of_similar(rows, cap=3, unit=4)  # every larger band and group goes through the parts
     assert sorted(r.doc_id for r in cut.collect()) == want
     nulls = frame(spark, [(None, "one two"), (None, "one two"), (None, "three")])
     assert sorted(r.text for r in simhash.keep_one_of_similar(nulls).collect()) == ["one two", "three"]
@@ -133,3 +111,17 @@ def test_stages_in_order_over_planted_documents(spark, tmp_path):
         assert (t == docs[i][1]) if i < 60 else passage[20:-20] not in t and len(re.findall(r"\S+", t)) >= 95
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == set(range(70))
+
+
+def test_stages_on_empty_tables_long_texts_and_repeated_rows(spark):
+    long_ = " ".join(f"the{i % 9973}x{i % 7919}" for i in range(60_000))
+    docs = [(1, long_), (2, "of the thing and that is fine for all of us"), (2, "of the thing and that is fine for all of us"), (3, None), (4, "")]
+    model = language.Model(["en"], language.np.ones(language.BUCKETS), language.np.zeros((language.BUCKETS, 1)))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    rows, whole = frame(spark, docs), sorted((t, i) for i, t in docs[:3])
+    for stage in (lambda x: language.keep_identified(x, model), lambda x: quality.keep_good(x, none)):
+        assert sorted((r.text, r.doc_id) for r in stage(rows).collect()) == whole
+        assert stage(rows.limit(0)).count() == 0 and stage(rows).columns == rows.columns
+    got = suffix_dedup.strip_repeats(rows, 40).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, long_), (2, ""), (2, ""), (3, None), (4, "")], key=str)
+    assert suffix_dedup.strip_repeats(rows.limit(0), 40).count() == 0
