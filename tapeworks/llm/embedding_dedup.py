@@ -148,7 +148,7 @@ def _groups(batches: Iterator[pa.RecordBatch], tags: int, cap: int) -> Iterator[
 
 def link_vectors(
     vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding",
-    cap: int = 8192, seed: int = 11,
+    cap: int = 2048, seed: int = 11,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors``.
 
@@ -160,7 +160,10 @@ def link_vectors(
     x = F.col("vector")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf))) & F.exists(x, lambda v: v != 0)
     given = given.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    classes = given.where("fine").groupBy("vector").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
+    # equal vectors have equal components, so -0.0 is taken as 0.0; 128 bits stand for a vector from here on
+    same = F.transform(x, lambda v: v + F.lit(0.0))
+    given = given.withColumns({"h1": F.xxhash64(same), "h2": F.xxhash64(F.lit(seed), same)})
+    classes = given.where("fine").groupBy("h1", "h2").agg(F.first("vector").alias("vector"), F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "vector-classes")
     functions, tables = plan(classes.count(), threshold, recall)
 
@@ -186,45 +189,30 @@ def link_vectors(
     schema = "class bigint, weight bigint, d int, packed binary, s1 bigint, s2 bigint, keys binary, tables array<int>"
     files = materialize(classes.select("vector", "class", "weight").mapInArrow(keyed, schema), "vector-keys")
     filed = files.select("d", F.posexplode("tables").alias("table", "key"), "class", "s1", "s2")
-    found_schema = "d int, table int, key int, part bigint, across boolean, own int, class bigint, n bigint"
+    bucket, place, rest = ["d", "table", "key"], ["d", "table", "key", "part"], ["across", "own", "class"]
     near_bits = sketch_distance(threshold)
 
-    def compare(most: int, again: bool):
-        """Rows (d, table, key, part, across, own, class, s1, s2) sorted by the first four to those with a near one in their group,
-        or to the size of a group of over ``most``."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for tag, size, group in _groups(batches, 4, most):
-                if group is None:
-                    if not again:
-                        raise ValueError(f"a part of a bucket holds over {most} vectors: {tag}")
-                    values = [[x] for x in (*tag, None, None, None, size)]
-                else:
-                    words = np.column_stack([group.column(x).to_numpy() for x in ("s1", "s2")]).view(np.uint64)
-                    own = group.column("own").to_numpy()
-                    across = group.column("across")[0].as_py()
-                    near = group.filter(pa.array(_near(words, own == own[0] if across else None, near_bits)))
-                    values = [*[near.column(i).combine_chunks() for i in range(7)], pa.nulls(len(near), pa.int64())]
-                types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
-                arrays = [pa.array(v, t) if isinstance(v, list) else v for v, t in zip(values, types, strict=True)]
-                yield pa.record_batch(arrays, ["d", "table", "key", "part", "across", "own", "class", "n"])
-
-        return run
-
-    place, rest = ["d", "table", "key", "part"], ["across", "own", "class"]
-    whole = filed.select("d", "table", "key", F.lit(0).cast("bigint").alias("part"), F.lit(False).alias("across"), F.lit(0).alias("own"), "class", "s1", "s2")
-    dealt = whole.repartition("d", "table", "key").sortWithinPartitions("d", "table", "key")
-    found = materialize(dealt.mapInArrow(compare(cap, True), found_schema), "vector-near")
-    near = found.where("n IS NULL").select(*place, *rest)
-    large = found.where("n IS NOT NULL").select("d", "table", "key", F.ceil(F.col("n") * 2 / cap).cast("int").alias("parts"))
-    if large.limit(1).count():
-        rows = filed.join(large, ["d", "table", "key"])
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), "parts").cast("int"))
-        rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        rows = rows.withColumn("part", F.least("own", "other").cast("bigint") * F.col("parts") + F.greatest("own", "other"))
-        rows = rows.select(*place, (F.col("own") != F.col("other")).alias("across"), "own", "class", "s1", "s2")
-        dealt = rows.repartition(*place).sortWithinPartitions(*place)
-        near = near.union(dealt.mapInArrow(compare(16 * cap, False), found_schema).select(*place, *rest))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (d, table, key, part, across, own, class, s1, s2) sorted by the first four to those with a near one in their group."""
+        for tag, _, group in _groups(batches, 4, 16 * cap):
+            if group is None:
+                raise ValueError(f"a part of a bucket holds over {16 * cap} vectors: {tag}")
+            words = np.column_stack([group.column(x).to_numpy() for x in ("s1", "s2")]).view(np.uint64)
+            own = group.column("own").to_numpy()
+            near = group.filter(pa.array(_near(words, own == own[0] if group.column("across")[0].as_py() else None, near_bits)))
+            yield from near.select([*place, *rest]).combine_chunks().to_batches()
+
+    # counts are added up before the shuffle; few buckets are large
+    large = filed.groupBy(*bucket).count().where(F.col("count") > cap)
+    large = materialize(large.select(*bucket, F.ceil(F.col("count") * 2 / cap).cast("int").alias("parts")), "vector-large")
+    rows = filed.join(large, bucket, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    rows = rows.withColumn("part", F.least("own", "other").cast("bigint") * F.col("parts") + F.greatest("own", "other"))
+    rows = rows.select(*place, (F.col("own") != F.col("other")).alias("across"), "own", "class", "s1", "s2")
+    dealt = rows.repartition(*place).sortWithinPartitions(*place)
+    near = dealt.mapInArrow(compare, "d int, table int, key int, part bigint, across boolean, own int, class bigint")
+    near = materialize(near, "vector-near")
     # keys of earlier tables: four bytes each
     rows = near.join(files.select("class", "weight", "packed", "keys"), "class")
     rows = rows.select(*place, *rest, "weight", "packed", F.expr("substring(keys, 1, 4 * table)").alias("earlier"))
@@ -253,7 +241,7 @@ def link_vectors(
     least = materialize(joined.groupBy("root").agg(F.min("least").alias("component")), "vector-least")
     linked = joined.join(least, "root").select("class", "component")
     known = classes.join(counts, "class", "left").join(linked, "class", "left")
-    known = materialize(known.select("vector", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "least").alias("component")), "vector-known")
-    out = given.where("fine").select("vec_id", "vector").join(known, "vector").select("vec_id", "n", "component")
+    known = materialize(known.select("h1", "h2", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n"), F.coalesce("component", "least").alias("component")), "vector-known")
+    out = given.where("fine").select("vec_id", "h1", "h2").join(known, ["h1", "h2"]).select("vec_id", "n", "component")
     out = out.union(given.where("NOT fine").select("vec_id", F.lit(0).cast("bigint"), "vec_id"))
     return out.select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
