@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import bars, evaluation, features, targets, ticks
 from ..operators.features import Coverage, Settings
 from ..schemas import IDENTITY, PREDICTORS
-from ..sources import tape
+from ..sources import scratch, tape
 
 COVERAGE = Coverage(
     "2024-01-01 00:00:00", "2024-01-31 00:00:00",
@@ -47,11 +47,11 @@ def seconds(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A layer that several queries start from: kept for the application, in memory and on disk, and made again where an executor
-    with a part of it is lost."""
+    """A layer that several queries start from: written once an application into the shared folder, so that no query carries its
+    lineage along and a lost executor costs none of it."""
     key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _KEPT:
-        _KEPT[key] = make().persist()
+        _KEPT[key] = scratch.written(make(), name)
     return _KEPT[key]
 
 
