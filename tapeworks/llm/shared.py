@@ -84,7 +84,3 @@ def _text_starts(batch: pa.RecordBatch | pa.StructArray) -> list:
             offsets = pa.Array.from_buffers(width, len(column) + 1, [None, column.buffers()[1]], offset=column.offset)
             found.append(offsets.to_numpy(zero_copy_only=False))
     return found
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    return df
