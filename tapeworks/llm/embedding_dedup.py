@@ -148,7 +148,7 @@ def _groups(batches: Iterator[pa.RecordBatch], tags: int, cap: int) -> Iterator[
 
 def link_vectors(
     vectors: DataFrame, threshold: float = 0.9, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding",
-    cap: int = 2048, seed: int = 11,
+    cap: int = BLOCK, seed: int = 11,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors``.
 
