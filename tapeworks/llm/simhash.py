@@ -381,7 +381,7 @@ class Links:
 
 
 def keep_one_of_similar(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", cap: int = 16384, unit: int = 256
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", cap: int = 16384, unit: int = 128
 ) -> DataFrame:
     """One row, with all its columns, of each component of texts linked by a Jaccard similarity of at least ``similarity`` of
     their sets of shingles: that of the smallest id (of equal or null ids, any one, always the same); of equal rows, one.
@@ -491,9 +491,10 @@ def keep_one_of_similar(
     leads = roots.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "mark")).alias("lead")).select("lead.*")
     copies = materialize(source.groupBy("id", "mark").agg(F.count("*").alias("copies")).where("copies > 1"), "simhash-copies")
     leads = materialize(leads.join(copies, ["id", "mark"], "left"), "simhash-leads")
-    row = F.struct(*[F.col(c) for c in columns]).alias("row")
-    one = docs.select(id_.alias("id"), mark.alias("mark"), row).join(leads, ["id", "mark"])
-    # only rows of equal id and text are left to choose from; they are written first, then reduced in each task
-    equal = materialize(one.where("copies IS NOT NULL"), "simhash-equal").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
-    one = one.where("copies IS NULL").select("row").union(equal.select("row"))
+    rows = docs.select(id_.alias("id"), mark.alias("mark"), F.struct(*[F.col(c) for c in columns]).alias("row"))
+    one = rows.join(leads.where("copies IS NULL"), ["id", "mark"]).select("row")
+    if copies.limit(1).count():  # rows of equal id and text are left to choose from; they are written first, then reduced in each task
+        several = materialize(leads.where("copies IS NOT NULL").select("id", "mark"), "simhash-several")
+        equal = materialize(rows.join(several, ["id", "mark"]), "simhash-equal").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        one = one.union(equal.select("row"))
     return one.select(*[F.col("row").getField(c).alias(c) for c in columns])
