@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding_dedup, language, packing, piece_codec, quality, sharding, simhash, suffix_dedup, token_files, url_filter
+from . import (
+    embedding_dedup, language, merkle, packing, piece_codec, quality, sharding, simhash, suffix_dedup, token_files, toxicity, url_filter,
+)
 
 #: The fixed rules of op6.
 URL_RULES = [
@@ -108,12 +111,73 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = toxicity.judge_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").cast("bigint").alias("n_offending"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 0
+    return merkle.verified_documents(_table(spark, sf_dir, "documents"), tampered)
+
+
+#: crc32 is worked out bit by bit, trees and proofs level by level.
+OP13_SQL = """
+WITH RECURSIVE given AS (
+  SELECT doc_id, lang, n_chars,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail,
+         xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(CASE WHEN doc_id IS NULL THEN CAST([] AS VARCHAR[]) ELSE string_split(CAST(doc_id AS VARCHAR), '') END, lambda d: CAST(ascii(d) AS BIGINT))),
+           lambda c, d: list_reduce(list_concat([xor(c, d)], CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, b: xor(x >> 1, (x & 1) * 3988292384)))) % 7 = 0 AND doc_id IS NOT NULL AS bad
+  FROM documents
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(strlen(CAST(n_chars + CAST(bad AS BIGINT) AS VARCHAR)) || ':' || (n_chars + CAST(bad AS BIGINT)), '-') || tail) AS shown
+  FROM given
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nth, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), nodes(lang, level, nth, n, h) AS (
+  SELECT lang, 0, nth, n, leaf FROM ranked
+  UNION ALL
+  SELECT lang, level + 1, nth // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY nth)) FROM nodes WHERE n > 1 GROUP BY lang, level, nth // 2, n
+), subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS nth, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops(level, nth, n, h) AS (
+  SELECT 0, nth, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, nth // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY nth)) FROM tops WHERE n > 1 GROUP BY level, nth // 2, n
+), lower(lang, nth, place, level, proof, node) AS (
+  SELECT lang, nth, nth, 0, '', shown FROM ranked
+  UNION ALL
+  SELECT l.lang, l.nth, l.place // 2, l.level + 1, l.proof || coalesce(s.h, ''),
+         sha256(CASE WHEN l.place % 2 = 0 THEN l.node || coalesce(s.h, '') ELSE s.h || l.node END)
+  FROM lower l
+  JOIN nodes o ON o.lang IS NOT DISTINCT FROM l.lang AND o.level = l.level AND o.nth = l.place AND o.n > 1
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = l.level AND s.nth = xor(l.place, 1)
+), upper(lang, nth, place, level, proof, node) AS (
+  SELECT l.lang, l.nth, r.nth, 0, l.proof, l.node
+  FROM lower l JOIN nodes o ON o.lang IS NOT DISTINCT FROM l.lang AND o.level = l.level AND o.n = 1
+  JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang
+  UNION ALL
+  SELECT u.lang, u.nth, u.place // 2, u.level + 1, u.proof || coalesce(s.h, ''),
+         sha256(CASE WHEN u.place % 2 = 0 THEN u.node || coalesce(s.h, '') ELSE s.h || u.node END)
+  FROM upper u
+  JOIN tops o ON o.level = u.level AND o.nth = u.place AND o.n > 1
+  LEFT JOIN tops s ON s.level = u.level AND s.nth = xor(u.place, 1)
+), final AS (
+  SELECT u.lang, u.nth, u.proof, u.node, o.h AS root FROM upper u JOIN tops o ON o.level = u.level AND o.n = 1
+)
+SELECT r.doc_id, r.leaf, s.h AS subroot, f.root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = f.root AS verified
+FROM ranked r JOIN final f ON f.lang IS NOT DISTINCT FROM r.lang AND f.nth = r.nth JOIN subroots s ON s.lang IS NOT DISTINCT FROM r.lang
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_simhash, op2_sharding, op3_packing, op4_suffix_dedup, op5_quality_rules, op6_url_filter, op7_language_id, op8_token_files,
-        op9_embedding_dedup, op10_piece_codec,
+        op9_embedding_dedup, op10_piece_codec, op11_toxicity, op13_merkle,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op9_embedding_dedup": OP9_SQL}
+    return {"op6_url_filter": OP6_SQL, "op9_embedding_dedup": OP9_SQL, "op13_merkle": OP13_SQL}
