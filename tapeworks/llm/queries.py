@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    embedding_dedup, language, merkle, packing, piece_codec, quality, sharding, simhash, suffix_dedup, token_files, toxicity, url_filter,
+    collocations, embedding_dedup, language, merkle, packing, piece_codec, quality, sharding, simhash, suffix_dedup, token_files, toxicity, url_filter,
 )
 
 #: The fixed rules of op6.
@@ -116,6 +116,45 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").cast("bigint").alias("n_offending"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(_table(spark, sf_dir, "documents"), longest=5, least=100, cover=100, most=2000)
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), windows AS (
+  SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m
+), counts AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM windows GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE m = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1 AND f >= 100
+), cuts AS (
+  SELECT lang, phrase, a, w, m, unnest(range(1, m)) AS k FROM candidates
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+  JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), left_over AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM candidates c WHERE c.lang = b.lang AND c.phrase <> b.phrase AND 100 * c.a >= 100 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+WHERE rank <= 2000
+"""
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 0
     return merkle.verified_documents(_table(spark, sf_dir, "documents"), tampered)
@@ -175,9 +214,9 @@ FROM ranked r JOIN final f ON f.lang IS NOT DISTINCT FROM r.lang AND f.nth = r.n
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_simhash, op2_sharding, op3_packing, op4_suffix_dedup, op5_quality_rules, op6_url_filter, op7_language_id, op8_token_files,
-        op9_embedding_dedup, op10_piece_codec, op11_toxicity, op13_merkle,
+        op9_embedding_dedup, op10_piece_codec, op11_toxicity, op12_collocations, op13_merkle,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op9_embedding_dedup": OP9_SQL, "op13_merkle": OP13_SQL}
+    return {"op6_url_filter": OP6_SQL, "op9_embedding_dedup": OP9_SQL, "op12_collocations": OP12_SQL, "op13_merkle": OP13_SQL}

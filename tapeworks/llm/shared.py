@@ -26,11 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/tapeworks-{sc.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: later plans start from those files, not from
-    this lineage, so a lost executor costs no recomputation of earlier stages."""
+    this lineage, so a lost executor costs no recomputation of earlier stages. options: the writer's."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
