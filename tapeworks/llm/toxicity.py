@@ -68,8 +68,9 @@ class Model:
         return score
 
 
-def fit(bags: list[tuple[int, float, list[np.ndarray]]], most: int = 4096, steps: int = 300, rate: float = 0.5, l1: float = 1e-4, l2: float = 1e-3) -> Model:
-    """Noisy-or of logistic sentence scores by gradient steps with per-coordinate rates and an elastic net.
+def fit(bags: list[tuple[int, float, list[np.ndarray]]], most: int = 4096, steps: int = 300, rate: float = 0.5, l1: float = 0.2, l2: float = 0.001) -> Model:
+    """Noisy-or of logistic sentence scores by gradient steps with per-coordinate rates and an elastic net, whose penalties are
+    shared out over the documents: the more there are, the less it weighs.
 
     bags: (label, weight, buckets held by each sentence). The ``most`` features are taken whose presence in a document tells most
     of its label (of equal ones, the smaller bucket)."""
@@ -78,8 +79,8 @@ def fit(bags: list[tuple[int, float, list[np.ndarray]]], most: int = 4096, steps
     positive, total = (weight * label).sum(), weight.sum()
     if not 0 < positive < total:
         return Model(bias=20.0 if positive else -20.0)
-    weight, share = weight / total, positive / total
-    held = [np.unique(np.concatenate(s)) if s else np.zeros(0, np.int64) for _, _, s in bags]
+    weight, share, l1, l2 = weight / total, positive / total, l1 / len(bags), l2 / len(bags)
+    held = [np.unique(np.concatenate(s)) if s else np.zeros(0, np.int32) for _, _, s in bags]
     at, place = np.unique(np.concatenate(held), return_inverse=True)
     own = np.repeat(np.arange(len(bags)), [len(x) for x in held])
     seen, hit = np.bincount(place, weight[own], len(at)), np.bincount(place, (weight * label)[own], len(at))
@@ -108,11 +109,11 @@ def fit(bags: list[tuple[int, float, list[np.ndarray]]], most: int = 4096, steps
         s = np.bincount(bag, np.logaddexp(0, z), len(bags))
         odds = 1 / np.expm1(np.clip(s, 1e-12, 500))  # (1 - p) / p
         g = weight[bag] * np.where(label[bag] > 0, -odds[bag], 1.0) / (1 + np.exp(-np.clip(z, -500, 500)))
-        gw, gb = np.bincount(feature, g[sentence], len(at)) + l2 * w / len(at), g.sum()
+        gw, gb = np.bincount(feature, g[sentence], len(at)) + l2 * w, g.sum()
         seen_w, seen_b = seen_w + gw * gw, seen_b + gb * gb
         pace = rate / (np.sqrt(seen_w) + 1e-8)
         w = w - pace * gw
-        w = np.sign(w) * np.maximum(np.abs(w) - pace * l1 / len(at), 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - pace * l1, 0)
         b -= rate * gb / (np.sqrt(seen_b) + 1e-8)
     return Model(at[w != 0], w[w != 0], float(b))
 
@@ -123,7 +124,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, sample: int = 6000, longest: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, labels: DataFrame, sample: int = 6000, longest: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic", **options,
 ) -> Model:
     """Learns from labelled rows that are not held out; labels other than 0 and 1 and null ids are left out, and an id labelled
@@ -167,7 +168,7 @@ def train(
     bags = []
     for r in found.orderBy("turn", "label").limit(sample).toLocalIterator():
         ends = np.cumsum(np.frombuffer(r.sizes, "<i4"))
-        bags.append((r.label, r.weight, np.split(np.frombuffer(r.buckets, "<i4").astype(np.int64), ends[:-1]) if len(ends) else []))
+        bags.append((r.label, r.weight, np.split(np.frombuffer(r.buckets, "<i4"), ends[:-1]) if len(ends) else []))
     return fit(bags, **options) if bags else Model()
 
 

@@ -101,5 +101,5 @@ def test_scores_are_the_noisy_or_of_sentences():
     p, q = 1 / (1 + np.exp(2.0)), 1 / (1 + np.exp(-1.0))
     total, spots = score("Fine here. So BAD, bad! ... more")
     assert np.isclose(total, 1 - (1 - p) ** 2 * (1 - q))
-    assert [(a, n) for a, n, _ in spots] == [(0, 9), (10, 12), (26, 5)] and np.allclose([x for *_, x in spots], [p, q, p])
+    assert [(a, n) for a, n, _ in spots] == [(0, 9), (10, 12), (27, 5)] and np.allclose([x for *_, x in spots], [p, q, p])
     assert score(None) == score("") == score("12 .. 3") == (0.0, [])
