@@ -1,7 +1,8 @@
 """Phrase collocations, counted in counting quotient filters of packed word-id n-grams.
 
-Texts are tokenised once into shards of local word ids. Words frequent enough to stand in a phrase get global ids, and a shard's
-tokens are renumbered by the part of that dictionary that it uses; nothing is broadcast. Then n-grams of 2, 3, ... words are
+Texts are tokenised once into shards of local word ids. The shards' vocabularies, dealt out by ranges of a hash of the word, are
+merged into global ids of the words frequent enough to stand in a phrase; each shard gets back the ids of its own words and is
+renumbered, so nothing is broadcast. Then n-grams of 2, 3, ... words are
 counted a length at a time. Each shard sorts its own n-grams into a filter and deals it out by ranges of the quotient; a
 task merges the sorted slices of a range, keeps what is frequent, and answers each shard with a bit for each of its entries. From
 those bits the shard keeps only runs in which every n-gram is frequent, so the next length has only windows whose parts are
@@ -15,6 +16,8 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +36,21 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).replace(b".", b" . ").split()
 
 
+def _pressed(x: np.ndarray | bytes) -> bytes:
+    return zstandard.compress(x if isinstance(x, bytes) else x.tobytes(), 1)
+
+
+def _array(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
+
+
+def _places(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def token_shards(docs: DataFrame, shard_bytes: int, text_col: str, lang_col: str) -> DataFrame:
-    """(shard, ids, langs, words, counts): local ids from 1 in the texts' order, 0 between pieces; what they stand for."""
+    """(shard, size, ids, langs, words, local, counts): local word ids from 1 in the texts' order, 0 between pieces; for each
+    language its words in the order of their hashes, their ids and how often they occur; size: how many words those are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -42,17 +58,17 @@ def token_shards(docs: DataFrame, shard_bytes: int, text_col: str, lang_col: str
 
         def flush() -> pa.RecordBatch:
             ids = np.concatenate(held)
-            counts = np.bincount(ids)[1:]
-            langs, words = [None] * len(counts), [None] * len(counts)
-            for lang, own in vocabularies.items():
-                for w, i in own.items():
-                    if i:
-                        langs[i - 1], words[i - 1] = lang, w
-            columns = [
-                pa.array([number], pa.int64()), pa.array([ids.astype("<i4").tobytes()], pa.binary()), pa.array([langs], pa.list_(pa.string())),
-                pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64())),
-            ]
-            return pa.record_batch(columns, ["shard", "ids", "langs", "words", "counts"])
+            often, own = np.bincount(ids), []
+            for lang, table in vocabularies.items():
+                del table[b"."]
+                words, local = list(table), np.fromiter(table.values(), np.int64, len(table))
+                order = np.argsort(_places(words), kind="stable")
+                local = local[order]
+                own.append((lang, _pressed(b" ".join([words[i] for i in order])), _pressed(local.astype("<i4")), _pressed(often[local].astype("<i8"))))
+            langs, words, local, counts = zip(*own, strict=True)
+            columns = [pa.array([number], pa.int64()), pa.array([len(often) - 1], pa.int64()), pa.array([_pressed(ids.astype("<i4"))], pa.binary())]
+            columns += [pa.array([langs], pa.list_(pa.string())), *[pa.array([x], pa.list_(pa.binary())) for x in (words, local, counts)]]
+            return pa.record_batch(columns, ["shard", "size", "ids", "langs", "words", "local", "counts"])
 
         for batch in row_slices(batches):
             for text, lang in zip(binaries(batch.column(0)), batch.column(1).to_pylist(), strict=True):
@@ -74,7 +90,7 @@ def token_shards(docs: DataFrame, shard_bytes: int, text_col: str, lang_col: str
             yield flush()
 
     source = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UND)).alias("lang"))
-    schema = "shard bigint, ids binary, langs array<string>, words array<string>, counts array<bigint>"
+    schema = "shard bigint, size bigint, ids binary, langs array<string>, words array<binary>, local array<binary>, counts array<binary>"
     return materialize(source.mapInArrow(run, schema), "phrase-shards", **_BLOBS)
 
 
@@ -82,16 +98,61 @@ def token_shards(docs: DataFrame, shard_bytes: int, text_col: str, lang_col: str
 _BLOBS = {"parquet.block.size": str(32 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
-def _dictionary(words: DataFrame, least: int) -> DataFrame:
-    """(lang, word, total, id) of the words that occur ``least`` times in their language; ids from 1."""
-    frequent = words.groupBy("lang", "word").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
-    frequent = materialize(frequent.withColumn("part", F.spark_partition_id()), "phrase-words")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = frequent.groupBy("part").agg(F.count("*").alias("words"))
-    parts = parts.select("part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))  # one row a partition
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("lang", "word"))
-    numbered = frequent.withColumn("nth", nth).join(F.broadcast(parts), "part")
-    return materialize(numbered.select("lang", "word", "total", (F.col("before") + F.col("nth")).alias("id")), "phrase-dictionary")
+def _vocabulary(shards: DataFrame, least: int, ranges: int) -> DataFrame:
+    """Rows (lang, range, word, total, place) of the words that occur ``least`` times in their language, their places in a range
+    from 1; rows (lang, range, total) of all its words; and answers (shard, lang, range, answer): the places of a shard's words of
+    that range, in its order, 0 for the others. ranges: bits of a word's hash that tell its range."""
+    names = ["range", "lang", "shard", "words", "counts"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, langs, words, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for lang, blob, often in zip(langs, words, counts, strict=True):
+                    own, often = zstandard.decompress(blob).split(), _array(often, "<i8")
+                    place = (_places(own) >> np.uint64(64 - ranges) if ranges else np.zeros(len(own))).astype(np.int64)
+                    cuts = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(own)])).tolist() if own else [0]
+                    at = [int(place[a]) for a in cuts[:-1]]
+                    parts = [(_pressed(b" ".join(own[a:b])), _pressed(often[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+                    yield pa.record_batch([
+                        pa.array(at, pa.int64()), pa.array([lang] * len(at), pa.string()), pa.array([shard] * len(at), pa.int64()),
+                        pa.array([w for w, _ in parts], pa.binary()), pa.array([n for _, n in parts], pa.binary()),
+                    ], names)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, held, totals, used = None, [], defaultdict(int), 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal used
+            often = sorted(w for w, n in totals.items() if n >= least)
+            place = {w: used + i + 1 for i, w in enumerate(often)}
+            used += len(often)
+            answers = [(shard, _pressed(np.array([place.get(w, 0) for w in zstandard.decompress(blob).split()], "<i4"))) for shard, blob in held]
+            n, m = len(answers), len(often)
+            return pa.record_batch([
+                pa.array([s for s, _ in answers] + [None] * (m + 1), pa.int64()), pa.array([head[1]] * (n + m + 1), pa.string()),
+                pa.array([head[0]] * (n + m + 1), pa.int64()), pa.array([x for _, x in answers] + [None] * (m + 1), pa.binary()),
+                pa.array([None] * n + often + [None], pa.binary()).cast(pa.string()),
+                pa.array([None] * n + [totals[w] for w in often] + [sum(totals.values())], pa.int64()),
+                pa.array([None] * n + [place[w] for w in often] + [None], pa.int64()),
+            ], ["shard", "lang", "range", "answer", "word", "total", "place"])
+
+        for batch in batches:
+            for r, lang, shard, blob, often in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (r, lang) != head:
+                    if held:
+                        yield close()
+                    used = used if head and head[0] == r else 0
+                    head, held, totals = (r, lang), [], defaultdict(int)
+                held.append((shard, blob))
+                for w, n in zip(zstandard.decompress(blob).split(), _array(often, "<i8").tolist(), strict=True):
+                    totals[w] += n
+        if held:
+            yield close()
+
+    slices = shards.select("shard", "langs", "words", "counts").mapInArrow(deal, "range bigint, lang string, shard bigint, words binary, counts binary")
+    slices = slices.repartition("range").sortWithinPartitions("range", "lang", "shard")
+    schema = "shard bigint, lang string, range bigint, answer binary, word string, total bigint, place bigint"
+    return materialize(slices.mapInArrow(merge, schema), "phrase-words")
 
 
 def _runs(ids: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -107,26 +168,32 @@ def _runs(ids: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _renumbered(shards: DataFrame, words: DataFrame, dictionary: DataFrame, kind: str) -> DataFrame:
-    """(shard, ids): runs of global ids, 0 where another word or a piece's end lies between."""
-    used = words.join(dictionary.select("lang", "word", "id"), ["lang", "word"]).select("shard", "local", "id")
-    used = used.groupBy("shard").agg(F.collect_list(F.struct("local", "id")).alias("used"))  # at most a shard's words
-    rows = shards.select("shard", "ids").join(used, "shard").select("shard", "ids", F.col("used.local").alias("local"), F.col("used.id").alias("global"))
+def _renumbered(shards: DataFrame, vocabulary: DataFrame, shift: int, kind: str) -> DataFrame:
+    """(shard, ids): runs of global ids, 0 where another word or a piece's end lies between. shift: bits of a word's place."""
+    answers = vocabulary.where("shard IS NOT NULL").groupBy("shard").agg(F.collect_list(F.struct("lang", "range", "answer")).alias("answers"))  # a shard's ranges
+    rows = shards.select("shard", "ids", "langs", "local").join(answers, "shard")
+    rows = rows.select("shard", "ids", "langs", "local", *[F.col(f"answers.{c}").alias(f"a_{c}") for c in ("lang", "range", "answer")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(1)[i].as_py(), "<i4")
+                shard, ids, langs, local, a_lang, a_range, a_answer = (c[i].as_py() for c in batch.columns)
+                ids, got = _array(ids, "<i4"), defaultdict(list)
                 table = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
-                table[batch.column(2)[i].values.to_numpy()] = batch.column(3)[i].values.to_numpy()
+                for r, lang, answer in sorted(zip(a_range, a_lang, a_answer, strict=True)):
+                    place = _array(answer, "<i4").astype(np.int64)
+                    got[lang].append(np.where(place > 0, place | (r << shift), 0))
+                for lang, own in zip(langs, local, strict=True):
+                    if lang in got:
+                        table[_array(own, "<i4")] = np.concatenate(got[lang])
                 found = table[ids]
-                yield _blob(batch.column(0)[i].as_py(), _runs(found, np.flatnonzero(found), 1), kind)
+                yield _blob(shard, _runs(found, np.flatnonzero(found), 1), kind)
 
     return materialize(rows.mapInArrow(run, "shard bigint, ids binary"), "phrase-ids", **_BLOBS)
 
 
 def _blob(shard: int, ids: np.ndarray, kind: str) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([shard], pa.int64()), pa.array([ids.astype(kind).tobytes()], pa.binary())], ["shard", "ids"])
+    return pa.record_batch([pa.array([shard], pa.int64()), pa.array([_pressed(ids.astype(kind))], pa.binary())], ["shard", "ids"])
 
 
 def _windows(ids: np.ndarray, layout: Layout) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -147,7 +214,7 @@ def _count(ids: DataFrame, layout: Layout, kind: str, least: int, ranges: int) -
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                _, lanes = _windows(np.frombuffer(batch.column(1)[i].as_py(), kind), layout)
+                _, lanes = _windows(_array(batch.column(1)[i].as_py(), kind), layout)
                 if not len(lanes[0]):
                     continue
                 order, first = sort_unique(lanes)
@@ -210,7 +277,7 @@ def _kept(ids: DataFrame, counted: DataFrame, layout: Layout, kind: str, ranges:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own = np.frombuffer(batch.column(1)[i].as_py(), kind)
+                own = _array(batch.column(1)[i].as_py(), kind)
                 starts, lanes = _windows(own, layout)
                 order, first = sort_unique(lanes)
                 place = (lanes[0][order[first]] >> far).astype(np.int64)
@@ -225,18 +292,20 @@ def _kept(ids: DataFrame, counted: DataFrame, layout: Layout, kind: str, ranges:
     return materialize(rows.mapInArrow(run, "shard bigint, ids binary"), "phrase-ids", **_BLOBS)
 
 
-def count_phrases(docs: DataFrame, longest: int, least: int, text_col: str, lang_col: str, shard_bytes: int, range_entries: int) -> tuple[DataFrame, DataFrame]:
+def count_phrases(docs: DataFrame, longest: int, least: int, text_col: str, lang_col: str, shard_bytes: int, range_words: int, range_entries: int) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, n) of all phrases of 1 to ``longest`` words that occur ``least`` times in their language, overlaps
     included, and (lang, n) of all words."""
     shards = token_shards(docs, shard_bytes, text_col, lang_col)
-    words = shards.select("shard", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("local", "w"))
-    words = words.select("shard", (F.col("local") + 1).alias("local"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    dictionary = _dictionary(words, least)
-    last, left = dictionary.agg(F.max("id"), F.sum("total")).first()
-    bits = max(1, int(last or 0).bit_length())
+    ranges = int((shards.agg(F.sum("size")).first()[0] or 0) // range_words).bit_length()
+    vocabulary = _vocabulary(shards, least, ranges)
+    totals = vocabulary.where("shard IS NULL AND word IS NULL").groupBy("lang").agg(F.sum("total").alias("n"))
+    dictionary = vocabulary.where("word IS NOT NULL")
+    last, left = dictionary.agg(F.max("place"), F.sum("total")).first()
+    shift = int(last or 0).bit_length()
+    bits = max(1, ranges + shift)
+    dictionary = dictionary.select("lang", "word", "total", F.col("place").bitwiseOR(F.shiftleft("range", shift)).alias("id"))
     kind = "<i4" if bits < 32 else "<i8"
-    ids = _renumbered(shards, words, dictionary, kind)
+    ids = _renumbered(shards, vocabulary, shift, kind)
     discard(shards)
     grams = None
     for m in range(2, longest + 1):
@@ -261,7 +330,7 @@ def count_phrases(docs: DataFrame, longest: int, least: int, text_col: str, lang
 
 def mine_collocations(
     docs: DataFrame, longest: int = 5, least: int = 100, cover: int = 100, most: int = 2000, text_col: str = "text", lang_col: str = "lang",
-    shard_bytes: int = 8 << 20, range_entries: int = RANGE,
+    shard_bytes: int = 16 << 20, range_words: int = 1 << 18, range_entries: int = RANGE,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``most`` strongest phrases of 2 to ``longest`` words.
 
@@ -272,7 +341,7 @@ def mine_collocations(
 
     A null language is ``und``; null, empty and blank texts add nothing; very long texts are taken whole; every row counts,
     repeated ones too; other columns are ignored, whatever their names; an empty table gives an empty result."""
-    phrases, totals = count_phrases(docs, longest, least, text_col, lang_col, shard_bytes, range_entries)
+    phrases, totals = count_phrases(docs, longest, least, text_col, lang_col, shard_bytes, range_words, range_entries)
     candidates = phrases.where("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
     part = lambda a, n: F.array_join(F.slice("w", a, n), " ")

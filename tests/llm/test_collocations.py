@@ -53,7 +53,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(t, g, 1, "p", 2) for t, g in rows], "text string, lang string, n int, phrase string, shard int").repartition(4)
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_bytes": 500}, {"shard_bytes": 3000, "range_entries": 8}])
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 500}, {"shard_bytes": 3000, "range_words": 4, "range_entries": 8}])
 def test_phrases_match_brute_force(spark, options):
     rows = corpus()
     got = collocations.mine_collocations(frame(spark, rows), longest=5, least=9, most=40, **options).collect()
