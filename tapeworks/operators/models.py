@@ -1,9 +1,9 @@
-"""Probability models on a fold: imputation and scaling from training rows alone, logistic regression, boosted trees."""
+"""Probability models on a fold: imputation and scaling from training rows alone, logistic regression. Boosted trees: ``boosting``."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -36,15 +36,6 @@ def fit_logistic(train: DataFrame, columns: list[str], c: float = 1.0, most: int
     return model
 
 
-def fit_boosted(train: DataFrame, columns: list[str], rounds: int = 200, rate: float = 0.05, leaf: int = 500) -> PipelineModel:
-    """Gradient-boosted trees of depth 3. Spark grows trees level by level, with neither a leaf count limit nor an L2 penalty on
-    leaf values, so this stands near, not equal to, leaf-wise histogram boosting with seven leaves."""
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=[f"z_{x}" for x in columns], outputCol="x"),
-        GBTClassifier(featuresCol="x", labelCol="target_up_15m", stepSize=rate, maxIter=rounds, maxDepth=3, minInstancesPerNode=leaf, maxBins=255, seed=42),
-    ]).fit(train)
-
-
 def probabilities(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
     """``rows`` with the model's probability of up as ``name``."""
     out = model.transform(rows).withColumn(name, vector_to_array("probability")[1])

@@ -47,14 +47,20 @@ def seconds(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A layer that several queries start from: written once an application into the shared folder, so that no query carries its
-    lineage along and a lost executor costs none of it."""
-    key = spark.sparkContext.applicationId, sf_dir, name
+    """A layer that several queries start from: written once an application and state of the events table into the shared folder,
+    so that no query carries its lineage along and a lost executor costs none of it. A table whose files have changed since is
+    worked out anew; ``forget`` drops all."""
+    key = spark.sparkContext.applicationId, sf_dir, scratch.state_of(spark, f"{sf_dir}/events.parquet"), name
     if key not in _KEPT:
         _KEPT[key] = scratch.written(make(), name)
     return _KEPT[key]
 
 
+def forget() -> None:
+    """The next query that needs a layer makes it from the table again."""
+    _KEPT.clear()
+
+
 def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features and labels of the hour bars before the holdout."""
 

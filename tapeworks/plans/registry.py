@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audits, bars, evaluation, features, models, targets
+from ..operators import audits, bars, boosting, evaluation, features, model_audit, models, targets
 from ..schemas import BARS, PREDICTORS, SECOND_BARS, TARGETS
 from . import audit_oracle, oracle
 from . import audits as audit_plans
@@ -222,34 +223,60 @@ def first_second_coverage(spark, sf_dir):
     return audits.first_second_coverage(bars.roll_up(second, fx.HOUR.width), second, fx.HOUR.width, fx.HORIZON, fx.TOLERANCE)
 
 
-def _modelled(spark, sf_dir, fit, name) -> DataFrame:
-    rows = evaluation.folds(fx.minute_sample(spark, sf_dir), fx.MINUTE_FOLDS)
-    out = None
-    for fold in range(1, len(fx.MINUTE_FOLDS) + 1):
-        own = rows.where(F.col("fold") == fold)
-        train = own.where("part = 'train'")
-        z = models.standardized(own, train, PREDICTORS).persist()  # read by every iteration of the fit; lost blocks are made again
-        model = fit(z.where("part = 'train'"), PREDICTORS)
-        scored = models.probabilities(model, z.where("part = 'validation'"), name)
-        out = scored if out is None else out.unionByName(scored)
-    return fx.plain(out, "fold", "decision_timestamp", "target_up_15m", name)
+def _standardized(spark, sf_dir) -> DataFrame:
+    """Every fold's rows with predictors imputed and scaled by its own training rows."""
+
+    def make() -> DataFrame:
+        rows = evaluation.folds(fx.minute_sample(spark, sf_dir), fx.MINUTE_FOLDS)
+        folds = [rows.where(F.col("fold") == n) for n in range(1, len(fx.MINUTE_FOLDS) + 1)]
+        return reduce(DataFrame.unionByName, [models.standardized(own, own.where("part = 'train'"), PREDICTORS) for own in folds])
+
+    return fx.kept(spark, sf_dir, "standardized", make)
 
 
 @query
 def logistic_model(spark, sf_dir):
-    return _modelled(spark, sf_dir, models.fit_logistic, "p_logistic")
+    z, out = _standardized(spark, sf_dir), []
+    for fold in range(1, len(fx.MINUTE_FOLDS) + 1):
+        own = z.where(F.col("fold") == fold)
+        model = models.fit_logistic(own.where("part = 'train'"), PREDICTORS)
+        out.append(models.probabilities(model, own.where("part = 'validation'"), "p_logistic"))
+    return fx.plain(reduce(DataFrame.unionByName, out), "fold", "decision_timestamp", "target_up_15m", "p_logistic")
+
+
+Z = [f"z_{c}" for c in PREDICTORS]
+
+
+def _boosted(spark, sf_dir) -> dict:
+    """The folds' ensembles, grown side by side; leaves of 10 rows suit the fixture's few thousand rows."""
+    key = spark.sparkContext.applicationId, sf_dir, fx.scratch.state_of(spark, f"{sf_dir}/events.parquet")
+    if key not in _ENSEMBLES:
+        _ENSEMBLES[key] = boosting.fit(_standardized(spark, sf_dir).where("part = 'train'"), Z, "fold", leaf=10)
+    return _ENSEMBLES[key]
+
+
+_ENSEMBLES: dict[tuple, dict] = {}
 
 
 @query
 def boosted_model(spark, sf_dir):
-    return _modelled(spark, sf_dir, lambda t, c: models.fit_boosted(t, c, leaf=10), "p_boosted")
+    rows = _standardized(spark, sf_dir).where("part = 'validation'")
+    return fx.plain(boosting.probabilities(_boosted(spark, sf_dir), rows, "fold", "p_boosted"), "fold", "decision_timestamp", "target_up_15m", "p_boosted")
+
+
+@query
+def boosted_audit(spark, sf_dir):
+    """The fitted ensembles against their specification, their saved form and their own predictions."""
+    ensembles = _boosted(spark, sf_dir)
+    z = _standardized(spark, sf_dir)
+    return model_audit.boosted_checks(ensembles, z.where("part = 'train'"), z.where("part = 'validation'"), "fold", Z, rounds=200, leaves=7, leaf=10, rate=0.05, l2=1.0)
 
 
 @query
 def logistic_coefficients(spark, sf_dir):
     rows = evaluation.folds(fx.minute_sample(spark, sf_dir), fx.MINUTE_FOLDS).where("fold = 1 AND part = 'train'")
     z = models.standardized(rows, rows, PREDICTORS)
-    found = models.coefficients(models.fit_logistic(z.persist(), PREDICTORS), PREDICTORS)
+    found = models.coefficients(models.fit_logistic(fx.scratch.written(z, "standardized"), PREDICTORS), PREDICTORS)
     return fx.plain(spark.createDataFrame(found, "feature string, coefficient double"), "feature", "coefficient")
 
 

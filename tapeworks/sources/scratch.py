@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, a temporary folder on a local master, and an error on a cluster."""
+    """This application's folder in spark.checkpoint.dir; where that is unset, a temporary folder on a local master, and an error on
+    a cluster."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
@@ -17,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tapeworks-"))
         named = sc.getCheckpointDir()
-    return named.rstrip("/")
+    return f"{named.rstrip('/')}/tapeworks-{sc.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -25,3 +26,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def state_of(spark: SparkSession, path: str) -> int:
+    """A number that changes with a table's files: their names, sizes and times."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(found)))

@@ -152,16 +152,17 @@ def test_logistic_regression_matches_newton(spark, tmp_path):
     first, again = models.probabilities(fitted, z, "p"), models.replay(str(tmp_path / "m"), z, "p")
     assert [r.p for r in first.collect()] == pytest.approx([r.p for r in again.collect()], abs=1e-14)
     assert sum(r.violations for r in audits.disagreements(first.select("a", "b", "p"), again.select("a", "b", "p"), ["a", "b"], ["p"]).collect()) == 0
-    boosted = models.probabilities(models.fit_boosted(z, ["a", "b"], rounds=5, leaf=20), z, "p")
-    assert all(0 < r.p < 1 for r in boosted.collect())
 
 
 def test_registered_boosted_model_takes_all_rounds(monkeypatch):
-    from tapeworks.plans import registry
-
-    fits, boosted = [], []
-    monkeypatch.setattr(registry, "_modelled", lambda spark, sf_dir, fit, name: fits.append(fit))
-    monkeypatch.setattr(models, "fit_boosted", lambda t, c, rounds=200, rate=0.05, leaf=500: boosted.append((rounds, rate)))
-    registry.queries()["boosted_model"](None, "")
-    fits[0](None, [])
-    assert boosted == [(200, 0.05)]
+    from tapeworks.operators import boosting
+    from tapeworks.plans import fixture, registry
+
+    seen = []
+    monkeypatch.setattr(registry, "_standardized", lambda spark, sf_dir: fixture.F.lit(1))
+    monkeypatch.setattr(boosting, "_sums", None)
+    monkeypatch.setattr(boosting, "fit", lambda t, c, by, **options: seen.append((len(c), by, options)))
+    monkeypatch.setattr(registry, "_standardized", lambda spark, sf_dir: type("Rows", (), {"where": lambda self, x: self})())
+    monkeypatch.setattr(fixture.scratch, "state_of", lambda spark, path: 0)
+    registry._boosted(type("S", (), {"sparkContext": type("C", (), {"applicationId": "none"})()})(), "")
+    assert seen == [(36, "fold", {"leaf": 10})]  # all else, 200 rounds too, is the operator's default
