@@ -112,8 +112,9 @@ def recounted_targets(bars: DataFrame, seconds: DataFrame, width: int, horizon:
     boundaries = own.select("session_date", F.col("t").alias("boundary")).union(own.select("session_date", (F.col("t") + horizon * width).alias("boundary"))).distinct()
     merged = boundaries.select("session_date", (F.col("boundary") * 1_000_000).alias("at"), F.lit(0).cast("bigint").alias("kind"), "boundary", F.lit(None).cast("struct<ts:bigint,price:double,id:bigint>").alias("trade"))
     merged = merged.union(seconds.select("session_date", micros("first_trade_timestamp"), F.col("instrument_id"), F.lit(None).cast("bigint"), trade))
-    following = Window.partitionBy("session_date").orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
-    found = merged.withColumn("next", F.first("trade", ignorenulls=True).over(following)).where("boundary IS NOT NULL")
+    # from the end backwards, the latest trade seen is the next one; a frame that only grows is worked out once
+    backwards = Window.partitionBy("session_date").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    found = merged.withColumn("next", F.last("trade", ignorenulls=True).over(backwards)).where("boundary IS NOT NULL")
     found = found.select("session_date", "boundary", F.when(F.col("next.ts") < (F.col("boundary") + tolerance) * 1_000_000, F.col("next")).alias("next"))
     out = path.join(found.select("session_date", F.col("boundary").alias("t"), F.col("next").alias("a")), ["session_date", "t"])
     out = out.join(found.select("session_date", (F.col("boundary") - horizon * width).alias("t"), F.col("next").alias("b")), ["session_date", "t"])

@@ -76,12 +76,12 @@ def streaming_bars(trades: DataFrame, width: str = "1 second", delay: str = "0 s
     ).select(F.col("window.start").alias("bar_start"), F.col("window.end").alias("bar_end"), "instrument_id", "open", "high", "low", "close", "total_volume", "trade_count")
 
 
-def session_writer(path: str):
+def session_writer(path: str, time: str = "bar_start"):
     """For ``foreachBatch``: appends a batch's bars to their sessions' folders, each batch in files of its own name, so that a
     batch that runs again replaces what it has written before."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumns({"session_date": session_date(F.col("bar_start")), "batch": F.lit(number)})
+        rows = batch.withColumns({"session_date": session_date(F.col(time)), "batch": F.lit(number)})
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_date", "batch").parquet(path)
 
     return write
