@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.carry import lag_across
 from ..schemas import BARS, SECOND_BARS, SUMS
 from ..sources.layers import enforce
+from ..sources.tape import order_of
 
 #: Column of a second bar: column of a trade that it sums up.
 _TRADE_SUMS = {
@@ -27,7 +28,7 @@ def second_bars(rows: DataFrame) -> DataFrame:
     Trades are summed by price level first: levels give the number of prices and the largest volume at one, and everything
     else adds up from them. Both steps group inside the tick rule's chunks, so no further shuffle is needed. The change
     flag compares with the bar before in (second, instrument) order, over chunk borders too."""
-    keys, order = ["chunk", "timestamp_second", "session_date", "instrument_id", "contract"], F.struct("ts_event", "seq")
+    keys, order = ["chunk", "timestamp_second", "session_date", "instrument_id", "contract"], F.struct(*order_of(rows))
     levels = rows.groupBy(*keys, "price").agg(
         F.count("*").alias("trade_count"), F.max("size").alias("max_trade_size"), F.min(order).alias("head"), F.max(order).alias("tail"),
         *[F.sum(c).alias(name) for name, c in _TRADE_SUMS.items()],

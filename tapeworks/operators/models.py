@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.layers import DigestError, folder_digest
 from .evaluation import preprocessing
 
 
@@ -47,6 +48,9 @@ def coefficients(model: PipelineModel, columns: list[str]) -> list[tuple[str, fl
     return [("intercept", float(fitted.intercept)), *zip(columns, map(float, fitted.coefficients), strict=True)]
 
 
-def replay(path: str, rows: DataFrame, name: str) -> DataFrame:
-    """A saved model's probabilities."""
+def replay(path: str, rows: DataFrame, name: str, digest: str | None = None) -> DataFrame:
+    """A saved model's probabilities. With ``digest``, that of the folder when it was saved (``layers.folder_digest``), a folder
+    that has changed since is refused before anything of it is loaded."""
+    if digest is not None and (found := folder_digest(rows.sparkSession, path)) != digest:
+        raise DigestError(f"{path} has digest {found}, not {digest}")
     return probabilities(PipelineModel.load(path), rows, name)

@@ -45,14 +45,28 @@ def dense_trades_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def read_trades(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
-    """Raw trades in Parquet, ORC, CSV (with header) or JSON lines. Unsigned and nanosecond columns are widened or cut to
-    the tape's types; ``ts_recv`` and other columns are never used for order."""
+def read_trades(spark: SparkSession, path: str, form: str = "parquet", nanoseconds: bool = False) -> DataFrame:
+    """Raw trades in Parquet, ORC, CSV (with header) or JSON lines. Unsigned columns are widened to the tape's types; ``ts_recv``
+    and other columns are never used for order.
+
+    Instants are cut to microseconds. With ``nanoseconds``, ``ts_event`` is taken as nanoseconds since 1970 (a Parquet timestamp of
+    that unit, or a whole number) and kept beside it as ``ts_ns``, by which the tape is then ordered."""
+    kind = RAW_SCHEMA.replace("ts_event TIMESTAMP", "ts_event BIGINT") if nanoseconds else RAW_SCHEMA
     if form == "parquet":
-        raw = spark.read.parquet(path)
-        return raw.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in RAW_SCHEMA.split(", ")])
-    reader = spark.read.schema(RAW_SCHEMA)
-    return reader.option("header", True).format(form).load(path) if form == "csv" else reader.format(form).load(path)
+        if nanoseconds:  # for as long as the table is read; without it Spark refuses such columns anyway
+            spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+        raw = spark.read.parquet(path).select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in kind.split(", ")])
+    else:
+        reader = spark.read.schema(kind)
+        raw = reader.option("header", True).format(form).load(path) if form == "csv" else reader.format(form).load(path)
+    if not nanoseconds:
+        return raw
+    return raw.withColumn("ts_ns", F.col("ts_event")).withColumn("ts_event", F.timestamp_micros(F.expr("(ts_ns - pmod(ts_ns, 1000)) div 1000")))
+
+
+def order_of(trades: DataFrame) -> list[str]:
+    """The columns that put a tape in order: nanoseconds where it has them, the event time, the sequence number."""
+    return [*(["ts_ns"] if "ts_ns" in trades.columns else []), "ts_event", "seq"]
 
 
 def with_context(trades: DataFrame, contracts: dict[int, str] = CONTRACTS) -> DataFrame:
