@@ -4,6 +4,7 @@ have a value and how many differ."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -215,6 +216,86 @@ def features_recount(features: DataFrame, bars: DataFrame, s: Settings) -> DataF
     return disagreements(features, again, ["decision_timestamp", "session_date"], [c for c in again.columns if c not in ("decision_timestamp", "session_date")], 1e-9)
 
 
+def _gaps(bars: DataFrame, s: Settings) -> DataFrame:
+    """The coverage's unavailable intervals as rows (session_date, gap_from, gap_to)."""
+    rows = bars.sparkSession.createDataFrame([tuple(g) for g in s.coverage.gaps], "day string, a string, b string")
+    return rows.select(F.col("day").cast("date").alias("session_date"), F.col("a").cast("timestamp").alias("gap_from"), F.col("b").cast("timestamp").alias("gap_to"))
+
+
+def recounted_context(bars: DataFrame, s: Settings) -> DataFrame:
+    """What the other recount leaves out: values of a bar alone, its place on the clock, the baseline, the session before and the
+    opening range. Validity comes from joins with the coverage's intervals, the baseline's last values from a join with all earlier
+    admitted bars of the slot, ranked by recency; the clock from the wall clock instead of elapsed time."""
+    now, day, key = F.col("decision_timestamp"), F.col("session_date"), ["decision_timestamp", "session_date"]
+    local = F.from_utc_timestamp(now, clock.ZONE)
+    slot = F.pmod(F.hour(local) * 60 + F.minute(local) - 17 * 60, F.lit(1440))
+    df = bars.withColumns({"slot": slot, "lv": F.ln(1.0 + F.col("total_volume")), "ln": F.ln(1.0 + F.col("trade_count"))})
+    angle = 2 * math.pi * F.col("slot") / clock.SESSION_MINUTES
+    flags = {"asia_flag": (0, 540), "europe_flag": (540, 930), "us_flag": (930, 1380), "us_rth_flag": (930, 1320)}
+    mean = F.col("total_volume") / F.col("trade_count")
+    own = {
+        "minutes_since_cme_open": F.col("slot"), "time_of_day_sin": F.sin(angle), "time_of_day_cos": F.cos(angle),
+        **{name: ((F.col("slot") >= a) & (F.col("slot") < b)).cast("smallint") for name, (a, b) in flags.items()},
+        "log_volume_1m": F.col("lv"), "log_trade_count_1m": F.col("ln"), "log_average_trade_size_1m": F.ln("total_volume") - F.ln("trade_count"),
+        "trade_size_dispersion_1m": F.sqrt(F.greatest(F.lit(0.0), F.col("size_squared_sum") / F.col("trade_count") / (mean * mean) - 1)),
+        "log_max_trade_size_1m": F.ln(1.0 + F.col("max_trade_size")), "active_second_fraction_1m": F.col("active_second_count") / F.lit(float(s.width)),
+    }
+    df = df.withColumns(own)
+
+    gaps = _gaps(bars, s)
+    first, last = (F.lit(x).cast("timestamp") for x in (s.coverage.start, s.coverage.end))
+    hit = df.join(gaps, "session_date").where((F.col("minute_start") < F.col("gap_to")) & (F.col("gap_from") < now)).select(*key).distinct()
+    admitted = df.where((F.col("minute_start") >= first) & (now <= last)).join(hit, key, "left_anti")
+    earlier = admitted.select("slot", F.col("session_date").alias("then"), F.col("lv").alias("then_v"), F.col("ln").alias("then_n"))
+    met = df.select(*key, "slot").join(earlier, "slot").where("then < session_date")
+    recent = met.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("then")))).where(F.col("nth") <= s.baseline_depth)
+    usual = recent.groupBy(*key).agg(F.count("*").alias("n"), F.percentile("then_v", 0.5).alias("mv"), F.percentile("then_n", 0.5).alias("mn")).where(F.col("n") == s.baseline_depth)
+    df = df.join(usual.select(*key, "mv", "mn"), key, "left")
+    df = df.withColumns({"relative_volume_q": F.col("lv") - F.col("mv"), "relative_trade_count_q": F.col("ln") - F.col("mn")})
+
+    sessions = df.groupBy("session_date").agg(
+        F.max("high").alias("high"), F.min("low").alias("low"), F.max(F.struct("decision_timestamp", "close")).alias("end"), F.collect_set("instrument_id").alias("ids")
+    )
+    holed = gaps.select("session_date").distinct().withColumn("holed", F.lit(True))
+    sessions = sessions.join(holed, "session_date", "left").withColumn(
+        "whole", F.col("holed").isNull() & (F.size("ids") == 1) & (clock.session_open(day) >= first) & (clock.session_close(day) <= last)
+    )
+    days = sessions.select("session_date")
+    before = days.join(days.select(F.col("session_date").alias("then")), F.col("then") < day).groupBy("session_date").agg(F.max("then").alias("then"))
+    levels = sessions.select(F.col("session_date").alias("then"), F.col("high").alias("p_high"), F.col("low").alias("p_low"), F.col("end.close").alias("p_close"), F.col("end.decision_timestamp").alias("p_end"), F.get("ids", F.lit(0)).alias("p_id"), "whole")
+    df = df.join(before.join(levels, "then").drop("then"), "session_date", "left")
+
+    # the scale, from the bars that a path needs: each bar is dealt to the decisions that look back on it
+    t = F.unix_seconds(now)
+    step = df.select("session_date", t.alias("t"), F.col("instrument_id").alias("i"), F.ln("close").alias("c"))
+    ahead = step.select("session_date", (F.col("t") + s.width).alias("t"), F.col("i").alias("i0"), F.col("c").alias("c0"))
+    moves = step.join(ahead, ["session_date", "t"]).where("i = i0").select("session_date", "t", ((F.col("c") - F.col("c0")) ** 2).alias("square"))
+    dealt = moves.withColumn("t", F.explode(F.sequence(F.col("t"), F.col("t") + (s.scale - 1) * s.width, F.lit(s.width).cast("bigint"))))
+    scale = dealt.groupBy("session_date", "t").agg(F.count("*").alias("moves"), F.sqrt(F.sum("square")).alias("scale")).where(F.col("moves") == s.scale)
+    df = df.withColumn("t", t).join(scale.select("session_date", "t", "scale"), ["session_date", "t"], "left")
+    usable = F.col("whole") & (F.col("p_end") < now) & (F.col("p_id") == F.col("instrument_id")) & (F.col("scale") > TINY)
+    df = df.withColumns({f"prior_session_{x}_distance": F.when(usable, (F.ln("close") - F.ln(f"p_{x}")) / F.col("scale")) for x in ("high", "low", "close")})
+
+    a, b = s.opening
+    morning = F.hour(F.from_utc_timestamp(F.col("minute_start"), clock.ZONE)) * 60 + F.minute(F.from_utc_timestamp(F.col("minute_start"), clock.ZONE))
+    opening = df.where((morning >= a) & (morning < b)).groupBy("session_date").agg(F.max("high").alias("o_high"), F.min("low").alias("o_low"), F.collect_set("instrument_id").alias("o_ids"), F.count("*").alias("o_bars"))
+    start, end = clock.session_time(day, a), clock.session_time(day, b)
+    covered = opening.where((F.col("o_bars") == (b - a) * 60 // s.width) & (F.size("o_ids") == 1) & (start >= first) & (end <= last))
+    holes = gaps.where((start < F.col("gap_to")) & (F.col("gap_from") < end)).select("session_date").distinct()
+    covered = covered.join(holes, "session_date", "left_anti").select("session_date", "o_high", "o_low", F.get("o_ids", F.lit(0)).alias("o_id"), end.alias("o_end"))
+    df = df.join(covered, "session_date", "left")
+    place = F.when(F.col("o_high") == F.col("o_low"), 0.5).otherwise((F.col("close") - F.col("o_low")) / (F.col("o_high") - F.col("o_low")))
+    df = df.withColumn("us_opening_range_position", F.when((now >= F.col("o_end")) & (F.col("o_id") == F.col("instrument_id")), place))
+    more = ["relative_volume_q", "relative_trade_count_q", *[f"prior_session_{x}_distance" for x in ("high", "low", "close")], "us_opening_range_position"]
+    return df.select(*key, *own, *more)
+
+
+def context_recount(features: DataFrame, bars: DataFrame, s: Settings) -> DataFrame:
+    """Values and validity of the features that ``features_recount`` leaves out, on every row."""
+    again = recounted_context(bars, s)
+    return disagreements(features, again, ["decision_timestamp", "session_date"], [c for c in again.columns if c not in ("decision_timestamp", "session_date")], 1e-9)
+
+
 # --- folds, baselines, medians and metrics
 
 

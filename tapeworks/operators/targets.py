@@ -111,3 +111,27 @@ def version_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     both = pick(old, "old").join(pick(new, "new"), key, "full")
     same = F.col("old_reason").eqNullSafe(F.col("new_reason")) & F.col("old_label").eqNullSafe(F.col("new_label"))
     return both.where(~same)
+
+
+#: What a second version of the labels may change, and only where it gives a reason that the first did not know.
+ALLOWED = (
+    "future_reference_timestamp", "future_reference_delay_seconds", "future_reference_price", "start_reference_timestamp", "start_reference_delay_seconds",
+    "start_reference_price", "forward_price_change", "forward_log_return", "target_up_15m", "target_eligible", "eligibility_reason",
+)
+NEW_REASONS = (REASONS[5], REASONS[7])
+
+
+def version_report(old: DataFrame, new: DataFrame, allowed: tuple[str, ...] = ALLOWED, reasons: tuple[str, ...] = NEW_REASONS) -> DataFrame:
+    """(field, changed, unexpected) for each column that both versions have, and ``row``: rows that only one version has.
+    A change is unexpected in a field that is not ``allowed``, and in a row whose new reason is not one of ``reasons``."""
+    key = ["decision_timestamp", "session_date"]
+    fields = [c for c in old.columns if c in new.columns and c not in key and not c.endswith("reference_instrument_id")]
+    both = old.select(*key, F.lit(1).alias("_o"), *[F.col(c).alias(f"o_{c}") for c in fields]).join(new.select(*key, F.lit(1).alias("_n"), *fields), key, "full")
+    one = F.col("_o").isNull() | F.col("_n").isNull()
+    known = F.coalesce(F.col("eligibility_reason").isin(*reasons), F.lit(False))
+    parts = [F.struct(F.lit("row").alias("field"), one.alias("changed"), one.alias("unexpected"))]
+    for c in fields:
+        differs = ~one & ~F.col(c).eqNullSafe(F.col(f"o_{c}"))
+        parts.append(F.struct(F.lit(c).alias("field"), differs.alias("changed"), (differs & (~known if c in allowed else F.lit(True))).alias("unexpected")))
+    flat = both.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+    return flat.groupBy("field").agg(F.count_if("changed").alias("changed"), F.count_if("unexpected").alias("unexpected"))

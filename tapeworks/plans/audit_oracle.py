@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators.targets import REASONS
+from ..operators.targets import ALLOWED, NEW_REASONS, REASONS
+from ..schemas import TARGETS
 from . import fixture as fx
 from . import oracle as o
 
@@ -305,9 +306,43 @@ def _order() -> str:
     return f"WITH {o.TRADES}\n" + _all(parts)
 
 
+def _midday() -> str:
+    """The report of folds with the decision's day, changing at noon, for the session."""
+    day = "CAST(make_timestamp(decision_us + 43200000000) AS DATE)"
+    own = o.SQL["dev_folds"].replace("session_date >= a AS v", f"{day} >= a AS v").replace("ON session_date <= b", f"ON {day} <= b")
+    return own.replace("THEN session_date END", f"THEN {day} END")
+
+
+def _context() -> str:
+    """How many values each feature has; none differs."""
+    of = {
+        "minute_activity": ["minutes_since_cme_open", "time_of_day_sin", "time_of_day_cos", "asia_flag", "europe_flag", "us_flag", "us_rth_flag", "log_volume_1m", "log_trade_count_1m",
+                            "log_average_trade_size_1m", "trade_size_dispersion_1m", "log_max_trade_size_1m", "active_second_fraction_1m"],
+        "minute_baseline": ["relative_volume_q", "relative_trade_count_q"], "minute_opening": ["us_opening_range_position"],
+        "minute_prior": [f"prior_session_{x}_distance" for x in ("high", "low", "close")],
+    }
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"check\", count({c}) AS rows, 0::BIGINT AS violations FROM ({o.SQL[q]})" for q, columns in of.items() for c in columns)
+
+
+def _version_report() -> str:
+    names = [c.split()[0] + ("_us" if "TIMESTAMP" in c else "") for c in TARGETS.split(", ")]
+    fields = [c for c in names if c not in ("decision_timestamp_us", "session_date") and not c.endswith("reference_instrument_id")]
+    known = f"coalesce(n.eligibility_reason IN ({', '.join(repr(x) for x in NEW_REASONS)}), FALSE)"
+    parts = ["SELECT 'row' AS field, count(*) FILTER (WHERE one) AS changed, count(*) FILTER (WHERE one) AS unexpected FROM j"]
+    for c in fields:
+        name = c.removesuffix("_us")
+        fine = "known" if name in ALLOWED else "FALSE"
+        parts.append(f"SELECT '{name}', count(*) FILTER (WHERE NOT one AND d_{c}), count(*) FILTER (WHERE NOT one AND d_{c} AND NOT {fine}) FROM j")
+    differs = ", ".join(f"o.{c} IS DISTINCT FROM n.{c} AS d_{c}" for c in fields)
+    return f"""WITH o AS ({o.SQL["forward_targets_v1"]}), n AS ({o.SQL["forward_targets_v2"]}), j AS (
+  SELECT o.decision_timestamp_us IS NULL OR n.decision_timestamp_us IS NULL AS one, {known} AS known, {differs}
+  FROM o FULL JOIN n ON o.decision_timestamp_us = n.decision_timestamp_us AND o.session_date = n.session_date
+) """ + " UNION ALL ".join(parts)
+
+
 SQL = {
     "tape_order": _order(), "sample_reconciliation": _reconciliation(),
     "layer_checks": _layer_checks(), "dataset_audit": _dataset_audit(), "session_breakdown": _breakdown(), "run_totals": _totals(), "layer_sessions": _sessions(), "bars_recount": _bars(),
-    "targets_recount": _targets(fx.HOUR, fx.HORIZON, fx.TOLERANCE), "minute_targets_recount": _targets(fx.MINUTE, 15, 10).replace(o.TRADES, o.DENSE), "minute_features_recount": _features(),
+    "targets_recount": _targets(fx.HOUR, fx.HORIZON, fx.TOLERANCE), "minute_targets_recount": _targets(fx.MINUTE, 15, 10).replace(o.TRADES, o.DENSE), "minute_features_recount": _features(), "minute_context_recount": _context(), "target_version_report": _version_report(), "midday_folds": _midday(),
     "dev_firewall": _firewall(), "dev_recount": _development(), "metric_deltas": _deltas(), "flow_correlation": _correlation(), "first_second_by_regime": _by_regime(),
 }

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audits, bars, evaluation, features, recount
+from ..operators import audits, bars, evaluation, features, recount, targets
 from . import fixture as fx
 
 
@@ -78,6 +78,16 @@ def minute_features_recount(spark, sf_dir) -> DataFrame:
     return recount.features_recount(features.all_features(minute, s), minute, s)
 
 
+def minute_context_recount(spark, sf_dir) -> DataFrame:
+    s = fx.MINUTE
+    minute = fx.rolled(spark, sf_dir, s)
+    return recount.context_recount(features.all_features(minute, s), minute, s)
+
+
+def target_version_report(spark, sf_dir) -> DataFrame:
+    return targets.version_report(fx.labels(spark, sf_dir, False), fx.labels(spark, sf_dir))
+
+
 def dev_firewall(spark, sf_dir) -> DataFrame:
     return recount.firewall(fx.sample(spark, sf_dir), fx.HOLDOUT)
 
@@ -108,5 +118,5 @@ def first_second_by_regime(spark, sf_dir) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     layer_checks, tape_order, sample_reconciliation, dataset_audit, session_breakdown, run_totals, layer_sessions, bars_recount, targets_recount, minute_targets_recount,
-    minute_features_recount, dev_firewall, dev_recount, metric_deltas, flow_correlation, first_second_by_regime,
+    minute_features_recount, minute_context_recount, target_version_report, dev_firewall, dev_recount, metric_deltas, flow_correlation, first_second_by_regime,
 )}

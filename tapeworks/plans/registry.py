@@ -162,6 +162,15 @@ def dev_folds(spark, sf_dir):
     return fx.plain(df, *df.columns)
 
 
+@query
+def midday_folds(spark, sf_dir):
+    """Folds of days that change at noon (UTC), in mid-session: labels look across that edge, so the last ones before a fold are
+    purged."""
+    by_day = fx.sample(spark, sf_dir).withColumn("session_date", F.to_date(F.col("decision_timestamp") + F.expr("INTERVAL 12 HOURS")))
+    df = evaluation.fold_report(evaluation.folds(by_day, fx.FOLDS))
+    return fx.plain(df, *df.columns)
+
+
 @query
 def baseline_probabilities(spark, sf_dir):
     return fx.plain(_baselines(spark, sf_dir), "fold", "decision_timestamp", "target_up_15m", "p_base", "p_momentum")

@@ -8,7 +8,7 @@ from tapeworks.operators import audits, bars, evaluation, recount, targets
 from tapeworks.operators.features import Settings, all_features
 from tapeworks.plans import fixture as fx
 from tapeworks.schemas import SECOND_BARS
-from tapeworks.sources import layers
+from tapeworks.sources import layers, scratch
 from tapeworks.streaming import live
 
 from .test_streaming import drain, stored
@@ -202,3 +202,26 @@ def test_stream_writes_sessions(spark, tmp_path):
     one = spark.createDataFrame(written.where("batch = 1").select(*whole.columns).collect(), whole.schema)
     live.session_writer(out)(one, 1)  # a batch that runs again
     assert spark.read.parquet(out).count() == n
+
+
+def test_context_recount_finds_a_changed_value(spark):
+    s, sf = fx.MINUTE, "/root/testdata/sf0.01"
+    minute = fx.rolled(spark, sf, s)
+    full = scratch.written(all_features(minute, s), "all-features")
+    found = {r.check: r for r in recount.context_recount(full, minute, s).collect()}
+    assert len(found) == 19 and {r.violations for r in found.values()} == {0} and all(r.rows > 0 for r in found.values())
+    other = {c: F.when(F.col(c).isNull(), 0).otherwise(F.col(c) + 1).cast(dict(full.dtypes)[c]) for c in found}
+    planted = first_rows(full, ["decision_timestamp"])
+    planted = planted.withColumns({c: F.when(F.col("hit"), x).otherwise(F.col(c)) for c, x in other.items()}).drop("hit")
+    assert {r.check: r.violations for r in recount.context_recount(planted, minute, s).collect()} == dict.fromkeys(found, 1)
+
+
+def test_version_report_tells_expected_changes_from_others(spark, small):
+    seconds, minute, labels = small
+    wrong = lambda df: {r.field for r in targets.version_report(labels, df).collect() if r.unexpected}
+    assert wrong(labels) == set()
+    rolled = changed(labels, ["decision_timestamp"], "eligibility_reason", F.lit(targets.NEW_REASONS[0]))
+    assert wrong(rolled) == set() and {r.field for r in targets.version_report(labels, rolled).collect() if r.changed} == {"eligibility_reason"}
+    assert wrong(changed(rolled, ["decision_timestamp"], "contract", F.lit("other"))) == {"contract"}
+    assert wrong(changed(labels, ["decision_timestamp"], "target_up_15m", F.lit(5).cast("tinyint"))) == {"target_up_15m"}
+    assert wrong(labels.limit(3)) == {"row"}
