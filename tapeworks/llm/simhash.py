@@ -27,6 +27,8 @@ BYTE_ONES = np.uint64(0x0101010101010101)
 SMALL = 64
 #: Least hashes: so many bands of so many each, and of the first SKETCH a low byte.
 BANDS, BAND, SKETCH = 24, 5, 64
+PREFIX = ["root", "part", "node", "comp", "small", "shingle", "n", "filed"]
+_PREFIX_SCHEMA = "root bigint, part int, node bigint, comp bigint, small boolean, shingle bigint, n int, filed boolean"
 MARKS = ["k", *[f"s{i}" for i in range(SKETCH // 8)]]
 
 
@@ -73,14 +75,6 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     return source.mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def node_ids(words: np.ndarray) -> np.ndarray:
-    """A node's number: the fingerprint itself, or a mix of all words."""
-    out = words[:, 0].copy()
-    for i in range(1, words.shape[1]):
-        out = (out ^ (out >> np.uint64(31)) ^ words[:, i]) * np.uint64(0x9E3779B97F4A7C15)
-    return out
-
-
 class Ring:
     """The segments for one distance: masks of the chains by start and length, and the files' masks."""
 
@@ -156,8 +150,8 @@ class Ring:
 
 def _scan(ring: Ring, cap: int, again: bool = True):
     """Walks rows (file, part, key, fp[, other words]) sorted by the first three; gives links (u, v), or (file, key, n) of a group
-    of n > ``cap`` fingerprints, of which no more than that are held; without ``again`` such a group is an error. Without other
-    words, the fingerprint is the node."""
+    of n > ``cap`` fingerprints, of which no more than that are held; without ``again`` such a group is an error. With other
+    words the first one is the node and only the others are compared; a fingerprint alone is its own node."""
     names = ["u", "v", "file", "key", "n"]
 
     def links(us, vs):
@@ -182,7 +176,8 @@ def _scan(ring: Ring, cap: int, again: bool = True):
                 continue
             words = [batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3, batch.num_columns)]
             fp = np.column_stack(words)
-            fp = np.column_stack([node_ids(fp), fp])
+            if fp.shape[1] == 1:
+                fp = np.column_stack([fp, fp])
             new = np.flatnonzero((file[1:] != file[:-1]) | (part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1
             cuts = np.concatenate(([0], new, [len(fp)]))
             us, vs = [], []
@@ -334,6 +329,14 @@ class Bands(Ring):
         return same.sum(axis=1) >= self.least
 
 
+def similarities(mine: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarities of a set with others (sorted, none empty)."""
+    other, whole = np.array([len(x) for x in sets]), np.concatenate(sets)
+    found = mine[np.minimum(np.searchsorted(mine, whole), len(mine) - 1)] == whole
+    both = np.add.reduceat(found, np.cumsum(other) - other, dtype=np.int64)
+    return both / (len(mine) + other - both)
+
+
 def similar_forest(nodes: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links that join sets (sorted, none empty) as all pairs do whose Jaccard similarity is at least ``similarity``."""
     bands, sizes = Bands(similarity), np.array([len(x) for x in sets])
@@ -348,11 +351,7 @@ def similar_forest(nodes: np.ndarray, sketches: np.ndarray, sets: list[np.ndarra
             at = np.flatnonzero(may)
             if not at.size:
                 continue
-            other = sizes[rest[at]]
-            all_ = np.concatenate([sets[i] for i in rest[at]])
-            found = mine[np.minimum(np.searchsorted(mine, all_), len(mine) - 1)] == all_
-            both = np.add.reduceat(found, np.cumsum(other) - other, dtype=np.int64)
-            at = at[both / (len(mine) + other - both) >= similarity]
+            at = at[similarities(mine, [sets[i] for i in rest[at]]) >= similarity]
             if at.size:
                 hit, rest = rest[at], np.delete(rest, at)
                 us.append(np.full(len(hit), nodes[p]))
@@ -361,23 +360,18 @@ def similar_forest(nodes: np.ndarray, sketches: np.ndarray, sets: list[np.ndarra
     return us, vs
 
 
-class Links:
-    """Links found in one task that tell something new: ends whose local components differ so far."""
-
-    def __init__(self):
-        self.parent, self.us, self.vs = {}, [], []
+def prefix_sizes(n: int, similarity: float) -> tuple[int, int]:
+    """How many of a set's n shingles, in an order common to all sets, must be looked up and how many filed, so that of two sets
+    of the similarity the larger one looks a shingle up under which the smaller one is filed."""
+    least = lambda share: int(np.ceil(share * n - 1e-9))
+    return n - least(similarity) + 1, n - least(2 * similarity / (1 + similarity)) + 1
 
-    def root(self, x: int) -> int:
-        while (up := self.parent.setdefault(x, x)) != x:
-            self.parent[x] = x = self.parent[up]
-        return x
 
-    def add(self, u: int, v: int, a: int, b: int) -> None:
-        """A link (u, v) of nodes in components a and b."""
-        if (a := self.root(a)) != (b := self.root(b)):
-            self.parent[a] = b
-            self.us.append(u)
-            self.vs.append(v)
+def common_shingles(sets: list[np.ndarray], most: int = 4096) -> np.ndarray:
+    """Shingles that a tenth of the sets have, the most frequent last (of equal ones, the larger); ``most`` bounds the list."""
+    found, n = np.unique(np.concatenate(sets), return_counts=True)
+    often = np.flatnonzero(n >= max(2, len(sets) / 10))
+    return found[often[np.argsort(n[often], kind="stable")][-most:]]
 
 
 def keep_one_of_similar(
@@ -391,15 +385,16 @@ def keep_one_of_similar(
     link that counts is an exact one: texts that candidates join are a group, brought together and their sets compared.
 
     A group of over ``unit`` texts is dealt into parts. Each part is compared in itself and with one text of the group that goes
-    to all parts, which joins most of a group of near copies; then the texts outside the group's largest component so
-    far are compared with every part, one after another, and only with texts of other components.
+    to all parts, which joins most of a group of near copies. Texts outside the group's largest component so far then visit
+    other parts, but only those where prefix filtering finds a partner: shingles are ordered by how common they are in the
+    group, the rarest first, and two similar sets of other components must share one of their first few. Templated pages, alike
+    in what all of them have, share none of those and visit nothing.
 
     Null, empty and word-less texts have no shingle and are equal; very long texts are taken whole. Other columns pass
     through, whatever their names. An empty table gives an empty result."""
     columns, none = docs.columns, F.lit(2**63 - 1)
     id_ = F.coalesce(F.col(id_col).cast("bigint"), none)
     mark = F.xxhash64(id_, F.col(text_col))
-    fields = ["id", "mark", "node", "n", *MARKS, "bands"]
     bands = Bands(similarity)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,20 +403,28 @@ def keep_one_of_similar(
             found = [marks(h) for h in sets]
             words = np.array([x for x, _ in found], np.uint64).reshape(-1, len(MARKS))
             keys = pa.array([x.view(np.int64) for _, x in found], pa.list_(pa.int64()))
-            longs = [words[:, i].copy().view(np.int64) for i in range(len(MARKS))]
-            yield pa.record_batch([batch.column(0), batch.column(1), *map(pa.array, (node_ids(words).view(np.int64), np.array([len(h) for h in sets], np.int64), *longs)), keys], fields)
+            longs = [pa.array(words[:, i].copy().view(np.int64)) for i in range(len(MARKS))]
+            yield pa.record_batch([batch.column(0), batch.column(1), *longs, keys], ["id", "mark", *MARKS, "bands"])
 
     def rows_of(batch: pa.RecordBatch, first: int):
-        words = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(first, batch.num_columns)])
+        """Rows (..., text, words of the marks); first: the place of the first of those words."""
+        words = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(first, first + len(MARKS))])
         return zip(*[batch.column(i).to_pylist() for i in range(first - 1)], binaries(batch.column(first - 1)), words, strict=True)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links within each part, and of each group's first part the common shingles."""
         head, held = None, {}
 
         def close():
             nodes, got = np.array(list(held), np.int64), list(held.values())
-            us, vs = similar_forest(nodes, np.array([x for x, _ in got], np.uint64).reshape(-1, len(MARKS)), [h for _, h in got], similarity)
-            return pa.record_batch([pa.array(np.concatenate(x) if x else nodes[:0], pa.int64()) for x in (us, vs)], ["u", "v"])
+            sets = [h for _, h in got]
+            us, vs = similar_forest(nodes, np.array([x for x, _ in got], np.uint64).reshape(-1, len(MARKS)), sets, similarity)
+            u, v = (np.concatenate(x) if x else nodes[:0] for x in (us, vs))
+            spare = 0 if head[1] else 1
+            common = [common_shingles(sets).view(np.int64)] * spare
+            columns = [pa.array([*x, *[None] * spare], pa.int64()) for x in (u.tolist(), v.tolist())]
+            columns += [pa.array([None] * len(u) + [head[0]] * spare, pa.int64()), pa.array([None] * len(u) + common, pa.list_(pa.int64()))]
+            return pa.record_batch(columns, ["u", "v", "root", "common"])
 
         for batch in row_slices(batches):
             for root, part, node, text, own in rows_of(batch, 4):
@@ -434,58 +437,97 @@ def keep_one_of_similar(
         if len(held) > 1:
             yield close()
 
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (root, part, node, comp, small, common, text) -> a row for each shingle looked up, and whether it is filed."""
+        for batch in row_slices(batches):
+            for i, text in enumerate(binaries(batch.column(6))):
+                h, common = shingle_set(text, shingle), batch.column(5)[i].values
+                rank = np.zeros(len(h), np.int64)
+                if common is not None and len(common):
+                    known = common.to_numpy(zero_copy_only=False).view(np.uint64)
+                    order = np.argsort(known)
+                    at = np.minimum(np.searchsorted(known[order], h), len(known) - 1)
+                    rank = np.where(known[order][at] == h, order[at] + 1, 0)
+                looked, filed = prefix_sizes(len(h), similarity)
+                first = h[np.lexsort((h, rank))[:looked]]
+                n = len(first)
+                same = [pa.array([batch.column(k)[i].as_py()] * n, batch.column(k).type) for k in range(5)]
+                yield pa.record_batch([*same, pa.array(first.view(np.int64)), pa.array([len(h)] * n, pa.int32()), pa.array(np.arange(n) < filed)], PREFIX)
+
     def bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (root, part, guest, comp, small, node, text, marks): a part's own texts come first and are held, then the texts of
-        small components come by, one at a time."""
-        head, held, seen = None, {}, set()
+        """Rows (root, part, guest, comp, node, text, marks): a part's own texts come first and are held, then its visitors come by,
+        one at a time."""
+        head, nodes, comps, sketches, sets, seen = None, [], [], [], [], set()
         for batch in row_slices(batches):
-            links = Links()
-            for root, part, guest, comp, small, node, text, own in rows_of(batch, 7):
+            us, vs = [], []
+            for root, part, guest, comp, node, text, own in rows_of(batch, 6):
                 if (root, part) != head:
-                    head, held, seen = (root, part), {}, set()
+                    head, nodes, comps, sketches, sets, seen = (root, part), [], [], [], [], set()
                 if node in seen:
                     continue
-                if not guest:
-                    seen.add(node)
+                seen.add(node)
                 mine = shingle_set(text, shingle)
-                if small or not guest:
-                    for other, (comp2, small2, own2, theirs) in held.items():
-                        if comp != comp2 and (small or small2) and bands.linked(own[None, :], own2[None, :], 0)[0]:
-                            both = len(np.intersect1d(mine, theirs, assume_unique=True))
-                            if both >= similarity * (len(mine) + len(theirs) - both):
-                                links.add(node, other, comp, comp2)
                 if not guest:
-                    held[node] = comp, small, own.copy(), mine
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in (links.us, links.vs)], ["u", "v"])
+                    nodes.append(node), comps.append(comp), sketches.append(own.copy()), sets.append(mine)
+                    continue
+                at = np.flatnonzero(np.array(comps) != comp)
+                if len(at):
+                    at = at[bands.linked(own[None, :], np.array(sketches)[at], 0)]
+                if len(at):
+                    hit = at[similarities(mine, [sets[i] for i in at]) >= similarity]
+                    us += [node] * len(hit)
+                    vs += [nodes[i] for i in hit]
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in (us, vs)], ["u", "v"])
 
     source = docs.select(id_.alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
-    schema = "id bigint, mark bigint, node bigint, n bigint, " + ", ".join(f"{w} bigint" for w in MARKS) + ", bands array<bigint>"
-    rows = source.mapInArrow(prints, schema)
-    nodes = rows.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("lead"), F.first(F.struct("n", *MARKS, "bands")).alias("own"))
-    nodes = materialize(nodes.select("node", "lead.*", "own.*"), "simhash-nodes")
-    filed = nodes.select(*MARKS, F.posexplode("bands").alias("file", "key"))
-    near = connected_components(_filed_links(filed, F.col("key"), MARKS, bands, cap))
-    near = materialize(nodes.drop("bands", "n").join(near, "node"), "simhash-candidates")
+    schema = "id bigint, mark bigint, " + ", ".join(f"{w} bigint" for w in MARKS) + ", bands array<bigint>"
+    nodes = source.mapInArrow(prints, schema).groupBy(*MARKS).agg(F.min(F.struct("id", "mark")).alias("lead"), F.first("bands").alias("bands"))
+    # a node is numbered as it is written: all its marks tell it from others, not one hash
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "lead.*", *MARKS, "bands"), "simhash-nodes")
+    filed = nodes.select("node", *MARKS, F.posexplode("bands").alias("file", "key"))
+    near = connected_components(_filed_links(filed, F.col("key"), ["node", *MARKS], bands, cap))
+    near = materialize(nodes.drop("bands").join(near, "node"), "simhash-candidates")
     large = near.groupBy("root").agg(F.ceil(F.count("*") / unit).cast("int").alias("parts"), F.min("node").alias("pivot"))
     large = materialize(large.where("parts > 1"), "simhash-large")
     near = near.join(large, "root", "left").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.coalesce("parts", F.lit(1))).cast("int"))
-    every = F.explode(F.expr("sequence(0, parts - 1)"))
-    pivots = near.where("node = pivot").withColumn("to", every).where("to <> part").drop("part").withColumnRenamed("to", "part")
     place = ["root", "part"]
-    fetched = source.join(near.unionByName(pivots).select("id", "mark", *place, "node", *MARKS), ["id", "mark"])
-    fetched = fetched.select(*place, "node", "text", *MARKS).repartition(*place).sortWithinPartitions(*place)
-    links = materialize(fetched.mapInArrow(compare, "u bigint, v bigint"), "simhash-similar")
+    texts = source.join(near, ["id", "mark"]).select(*place, "node", "text", *MARKS, "parts", "pivot")
+    texts = materialize(texts, "simhash-texts")  # of equal rows, one text would do; the readers skip the others
+    every = F.explode(F.expr("sequence(0, parts - 1)"))
+    pivots = texts.where("node = pivot").withColumn("to", every).where("to <> part").drop("part").withColumnRenamed("to", "part")
+    dealt = texts.unionByName(pivots).select(*place, "node", "text", *MARKS).repartition(*place).sortWithinPartitions(*place)
+    compared = materialize(dealt.mapInArrow(compare, "u bigint, v bigint, root bigint, common array<bigint>"), "simhash-similar")
+    links = compared.where("u IS NOT NULL").select("u", "v")
     if large.limit(1).count():
         found = connected_components(links).withColumnRenamed("root", "comp")
-        members = near.where("parts > 1").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        members = texts.where("parts > 1").select(*place, "node").distinct().join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         members = materialize(members, "simhash-members")
         main = members.groupBy("root", "comp").count().groupBy("root").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-        members = members.join(materialize(main, "simhash-main"), "root").withColumn("small", F.col("comp") != F.col("main"))
-        guests = members.where("small").withColumn("to", every).where("to <> part").drop("part").withColumnRenamed("to", "part")
-        both = members.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
-        order = [*place, "guest"]
-        met = source.join(both.select("id", "mark", *order, "comp", "small", "node", *MARKS), ["id", "mark"])
-        met = met.select(*order, "comp", "small", "node", "text", *MARKS).repartition(*place).sortWithinPartitions(*order)
+        members = members.join(materialize(main, "simhash-main"), "root").withColumn("small", F.col("comp") != F.col("main")).drop("main")
+        members = materialize(members, "simhash-members")
+        open_ = materialize(members.where("small").select("root").distinct(), "simhash-open")
+        known = compared.where("root IS NOT NULL").select("root", "common")
+        wanted = members.join(open_, "root").join(known, "root", "left").join(texts.where("parts > 1").select("node", "text"), "node")
+        rows = wanted.select(*place, "node", "comp", "small", "common", "text").mapInArrow(prefixes, _PREFIX_SCHEMA)
+        rows = materialize(rows, "simhash-prefixes")
+        guests = rows.where("small").select("root", "shingle", *[F.col(c).alias(f"g_{c}") for c in ("part", "node", "comp", "n", "filed")])
+        # a part is one row for each of its shingles, however many of its texts have it: a visitor goes to parts, not to texts
+        filed = F.when(F.col("filed"), F.col("n"))
+        hosts = rows.groupBy("root", "shingle", "part").agg(
+            F.min("comp").alias("first"), F.max("comp").alias("last"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(filed).alias("f_low"), F.max(filed).alias("f_high")
+        )
+        mine = F.col("g_n")
+        below = F.coalesce((F.col("f_low") <= mine) & (F.col("f_high") + 1e-6 >= similarity * mine), F.lit(False))
+        above = F.col("g_filed") & (F.col("high") >= mine) & (mine + 1e-6 >= similarity * F.col("low"))
+        others = (F.col("first") != F.col("g_comp")) | (F.col("last") != F.col("g_comp"))
+        visits = guests.join(hosts, ["root", "shingle"]).where((F.col("g_part") != F.col("part")) & others & (below | above))
+        visits = visits.select("root", "part", F.col("g_node").alias("node"))
+        visits = materialize(visits.distinct(), "simhash-visits")
+        whole = texts.select("root", F.col("part").alias("home"), "node", "text", *MARKS).join(members.select("node", "comp"), "node")
+        hosts = whole.withColumnRenamed("home", "part").join(visits.select(*place).distinct(), place).withColumn("guest", F.lit(False))
+        come = whole.drop("root", "home").join(visits, "node").withColumn("guest", F.lit(True))
+        met = hosts.unionByName(come).select(*place, "guest", "comp", "node", "text", *MARKS)
+        met = met.repartition(*place).sortWithinPartitions(*place, "guest")
         links = links.union(met.mapInArrow(bridge, "u bigint, v bigint"))
     roots = nodes.select("node", "id", "mark").join(connected_components(links), "node", "left")
     leads = roots.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("id", "mark")).alias("lead")).select("lead.*")

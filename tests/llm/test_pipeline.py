@@ -77,6 +77,37 @@ def test_simhash_stage_finds_every_pair_of_the_similarity(spark):
     assert simhash.keep_one_of_similar(rows.limit(0)).count() == 0
 
 
+def templated(n, shared=82, own=22, seed=12):
+    """Pages alike in what all of them have: each two at a Jaccard similarity near 0.7; every 50th is a near copy of the one before."""
+    rng = random.Random(seed)
+    head = [f"b{k}" for k in range(shared)]
+    docs = []
+    for i in range(n):
+        tail = docs[-1][1].split()[shared:-1] + ["end"] if i % 50 == 49 else [f"u{rng.randrange(10**9)}" for _ in range(own)]
+        docs.append((i, " ".join(head + tail)))
+    return docs
+
+
+def test_templated_pages_stay_apart_and_their_copies_go(spark):
+    docs = templated(300) + [(1000 + i, t) for i, t in near_copies()]
+    want = sorted(set(similar_components(docs).values()))
+    assert len([i for i in want if i < 1000]) == 294
+    for unit in (128, 16):
+        got = simhash.keep_one_of_similar(frame(spark, docs), unit=unit)
+        assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def test_prefixes_meet_for_every_pair_of_the_similarity():
+    rng = random.Random(5)
+    for _ in range(3000):
+        n, t = rng.randrange(1, 60), rng.choice([0.5, 0.8, 0.9])
+        a = set(rng.sample(range(200), n))
+        b = set(rng.sample(sorted(a), max(1, n - rng.randrange(0, 1 + n // 5)))) | {rng.randrange(200) for _ in range(rng.randrange(0, 1 + n // 8))}
+        if len(a & b) / len(a | b) >= t:
+            small, large = sorted((sorted(a), sorted(b)), key=len)
+            assert set(small[: simhash.prefix_sizes(len(small), t)[1]]) & set(large[: simhash.prefix_sizes(len(large), t)[0]])
+
+
 def test_suffix_stage_removes_what_the_operator_removes(spark):
     docs = repeats(4) + [(900, None)]
     got = suffix_dedup.strip_repeats(frame(spark, docs), 40)

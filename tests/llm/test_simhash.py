@@ -88,14 +88,19 @@ def test_connected_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(300)] + [(5000, 5000), (7000, 7001), (7001, 7000)]
     edges += [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(180)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
+    table = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    for local in (0, 150, 1 << 16):  # by contraction alone, the last edges in one task, all of them
+        check_components(edges, {r.node: r.root for r in connected_components(table, local).collect()})
+    assert connected_components(table.limit(0)).count() == connected_components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
+
+
+def check_components(edges, got):
     want = union([e for e in edges if e[0] != e[1]], {x for e in edges for x in e if e[0] != e[1]})
     assert set(got) == set(want)
     classes = {}
     for n, r in got.items():
         classes.setdefault(r, set()).add(want[n])
     assert all(len(c) == 1 for c in classes.values()) and len(classes) == len(set(want.values()))
-    assert connected_components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
 
 
 def test_small_and_large_groups_give_the_same_components():
