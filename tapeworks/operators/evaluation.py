@@ -21,12 +21,13 @@ def development_sample(features: DataFrame, targets: DataFrame, before: str | No
 def folds(sample: DataFrame, plan: list[tuple[str, str]]) -> DataFrame:
     """The sample once for each fold it belongs to, with fold and part: ``train`` before the first validation session,
     ``purged`` where a training label's actual future trade comes at or after the first validation decision,
-    ``validation`` from the first to the last session of the fold. Folds are numbered from 1."""
+    ``validation`` from the first to the last session of the fold. Folds are numbered from 1; one without validation rows purges
+    nothing."""
     spans = F.array(*[F.struct(F.lit(n).alias("fold"), F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b")) for n, (a, b) in enumerate(plan, 1)])
     rows = sample.withColumn("_f", F.explode(spans)).where(F.col("session_date") <= F.col("_f.b"))
     rows = rows.withColumn("fold", F.col("_f.fold")).withColumn("_v", F.col("session_date") >= F.col("_f.a"))
     edges = rows.where("_v").groupBy("fold").agg(F.min("decision_timestamp").alias("_edge"))  # a row a fold
-    rows = rows.join(F.broadcast(edges), "fold")
+    rows = rows.join(F.broadcast(edges), "fold", "left")
     part = F.when(F.col("_v"), "validation").when(F.col("future_reference_timestamp") >= F.col("_edge"), "purged").otherwise("train")
     return rows.withColumn("part", part).drop("_f", "_v", "_edge")
 
