@@ -23,6 +23,8 @@ from .evaluation import _before
 
 MISSING = 255
 BLOCK = 4096
+#: Rows for which another task is worth its start.
+TASK = 1 << 16
 
 
 @dataclass
@@ -134,7 +136,7 @@ def bin_thresholds(rows: DataFrame, columns: list[str], by: str, most: int = 255
     return {g: [sorted(set(x)) for x in found] for g, found in out.items()}
 
 
-def _blocks(rows: DataFrame, models: dict, columns: list[str], by: str, label: str) -> DataFrame:
+def _blocks(rows: DataFrame, models: dict, columns: list[str], by: str, label: str, tasks: int) -> DataFrame:
     """(model, y, bins, score): up to BLOCK rows of a model in one, score being where boosting starts."""
     keys = {g: i for i, g in enumerate(models)}
     number = F.create_map(*[F.lit(x) for g, i in keys.items() for x in (g, i)])[F.col(by)]
@@ -152,7 +154,7 @@ def _blocks(rows: DataFrame, models: dict, columns: list[str], by: str, label: s
                     bins, score = ensembles[m].bins(values[:, at]), np.full(len(at), ensembles[m].start)
                     yield pa.record_batch([pa.array([m], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (y[at], bins, score)]], ["model", "y", "bins", "score"])
 
-    return written(source.mapInArrow(run, "model int, y binary, bins binary, score binary"), "boosting-blocks")
+    return written(source.coalesce(tasks).mapInArrow(run, "model int, y binary, bins binary, score binary"), "boosting-blocks")
 
 
 def _opened(batches: Iterator[pa.RecordBatch], width: int, trees: list[list[Tree]]):
@@ -166,8 +168,9 @@ def _opened(batches: Iterator[pa.RecordBatch], width: int, trees: list[list[Tree
             yield m, y, bins, score
 
 
-def _sums(blocks: DataFrame, width: int, trees: list[list[Tree]], growing: dict[int, Tree], wanted: dict[int, list[int]]) -> dict:
-    """{(model, node): sums (feature, bin, [gradient, Hessian, rows])} over the rows of each wanted node."""
+def _sums(blocks: DataFrame, width: int, trees: list[list[Tree]], growing: dict[int, Tree], wanted: dict[int, list[int]], alone: bool) -> dict:
+    """{(model, node): sums (feature, bin, [gradient, Hessian, rows])} over the rows of each wanted node; alone: the blocks are one
+    task's, whose sums need not be added up over tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {}
@@ -192,12 +195,14 @@ def _sums(blocks: DataFrame, width: int, trees: list[list[Tree]], growing: dict[
             yield pa.record_batch([pa.array(c) for c in columns], ["model", "node", "feature", "bin", "g", "h", "n"])
 
     found = blocks.mapInArrow(run, "model int, node int, feature int, bin int, g double, h double, n double")
-    found = found.groupBy("model", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]).toArrow()
+    if not alone:
+        found = found.groupBy("model", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
+    found = found.toArrow()
     model, node, feature, bin_, *sums = (found.column(i).to_numpy() for i in range(7))
     out = {(m, k): np.zeros((width, 256, 3)) for m, nodes in wanted.items() for k in nodes}
     for key in out:
         own = np.flatnonzero((model == key[0]) & (node == key[1]))
-        out[key][feature[own], bin_[own]] = np.column_stack([s[own] for s in sums])
+        np.add.at(out[key], (feature[own], bin_[own]), np.column_stack([s[own] for s in sums]))
     return out
 
 
@@ -308,12 +313,13 @@ def fit(
         models[g] = Ensemble(list(columns), cuts.get(g, [[] for _ in columns]), float(np.log(p / (1 - p))))
     if not models:
         return {}
-    blocks = _blocks(train, models, columns, by, label)
+    tasks = -(-sum(n for _, n in rates.values()) // TASK)
+    blocks = _blocks(train, models, columns, by, label, tasks)
     recent: list[list[Tree]] = [[] for _ in models]
     for turn in range(rounds):
         growing = [_Growth(leaves, leaf, rate, l2) for _ in models]
         while wanted := {m: w for m, x in enumerate(growing) if (w := x.wanted())}:
-            sums = _sums(blocks, len(columns), recent, {m: growing[m].tree for m in wanted}, wanted)
+            sums = _sums(blocks, len(columns), recent, {m: growing[m].tree for m in wanted}, wanted, tasks == 1)
             for (m, node), own in sums.items():
                 growing[m].learn(node, own)
         for own, x, model in zip(recent, growing, models.values(), strict=True):

@@ -79,8 +79,9 @@ def row_loop(rows, rounds, leaves, leaf, l2, rate, most):
     return [1 / (1 + np.exp(-s)) for s in score]
 
 
-@pytest.mark.parametrize("most", [255, 20])
-def test_boosting_equals_a_row_loop(spark, most):
+@pytest.mark.parametrize(("most", "task"), [(255, 1 << 16), (20, 50)])
+def test_boosting_equals_a_row_loop(spark, monkeypatch, most, task):
+    monkeypatch.setattr(boosting, "TASK", task)  # one task, or several whose sums are added up
     rows = table()
     df = frame(spark, rows).withColumn("id", F.xxhash64("a", "b", "c"))
     models = boosting.fit(df, COLUMNS, "fold", rounds=5, leaves=5, leaf=12, l2=1.0, rate=0.3, bins=most, keep=2)
