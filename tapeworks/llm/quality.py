@@ -130,7 +130,19 @@ def cover(cells: np.ndarray, counts: np.ndarray, cuts: list[list[float]], precis
     shortest). It enters the list if at least ``precision`` of the rows that it holds are low, both on the rows to prune on and
     on all, and at least ``support`` rows are; else its first literal begins no more conjunctions until a rule is taken."""
     literals = [(f, above, k) for f in range(cells.shape[1]) for k in range(len(cuts[f])) for above in (True, False)]
-    masks = np.array([(cells[:, f] > k) if above else (cells[:, f] <= k) for f, above, k in literals]).reshape(len(literals), len(cells))
+
+    def mask(i: int) -> np.ndarray:
+        f, above, k = literals[i]
+        return (cells[:, f] > k) if above else (cells[:, f] <= k)
+
+    def inside_of_each(inside: np.ndarray, column: int) -> np.ndarray:
+        """Rows of a column of counts that each literal leaves of ``inside``: prefix sums over the bins of its feature."""
+        out = []
+        for f, cut in enumerate(cuts):
+            below = np.cumsum(np.bincount(cells[inside, f], counts[inside, column], len(cut) + 1))
+            out.append(np.column_stack([below[-1] - below[: len(cut)], below[: len(cut)]]).ravel())
+        return np.concatenate(out)
+
     left, rules, closed = np.ones(len(cells), bool), [], np.zeros(len(literals), bool)
     while len(rules) < most and len(literals):
         rule, inside = [], left
@@ -138,19 +150,18 @@ def cover(cells: np.ndarray, counts: np.ndarray, cuts: list[list[float]], precis
             p0, n0 = counts[inside, 0].sum(), counts[inside, 1].sum()
             if not p0 or not n0:
                 break
-            both = masks & inside
-            gains = _gain(p0, n0, both @ counts[:, 0], both @ counts[:, 1])
+            gains = _gain(p0, n0, inside_of_each(inside, 0), inside_of_each(inside, 1))
             if not rule:
                 gains[closed] = -1.0
             best = int(np.argmax(gains))
             if gains[best] <= 1e-9:
                 break
-            rule, inside = [*rule, best], inside & masks[best]
+            rule, inside = [*rule, best], inside & mask(best)
         if not rule:
             break
 
         def held(n: int) -> np.ndarray:
-            return left & masks[rule[:n]].all(axis=0)
+            return left & np.logical_and.reduce([mask(i) for i in rule[:n]])
 
         def worth(n: int) -> float:
             p, q = counts[held(n), 2].sum(), counts[held(n), 3].sum()
@@ -185,11 +196,11 @@ def learn(
     bins = [sum(((F.col(f) > x).cast("int") for x in c), F.lit(0)).alias(f"bin_{f}") for f, c in zip(FEATURES, cuts, strict=True)]
     grow = F.col("fold") != 0
     tally = [F.count_if(part & (F.col("good") == g)).alias(f"{name}{g}") for name, part in (("grow", grow), ("prune", ~grow)) for g in (0, 1)]
-    # at most 13 bins a feature: the cells are bounded whatever the number of rows
-    cells = rows.select(*bins, "good", "fold").groupBy(*[f"bin_{f}" for f in FEATURES]).agg(*tally).collect()
-    if not cells:
+    # at most 13 bins a feature: the cells are bounded whatever the number of rows; each is nine numbers in one array here
+    cells = rows.select(*bins, "good", "fold").groupBy(*[f"bin_{f}" for f in FEATURES]).agg(*tally)
+    table = np.fromiter((tuple(x) for x in cells.toLocalIterator()), np.dtype((np.int64, len(FEATURES) + len(tally))))
+    if not len(table):
         return DecisionList()
-    table = np.array([tuple(x) for x in cells], np.int64)
     table = table[np.lexsort(table.T[::-1])]
     return cover(table[:, : len(FEATURES)], table[:, len(FEATURES) :].astype(float), cuts, precision, support, most)
 

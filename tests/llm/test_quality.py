@@ -115,3 +115,75 @@ def test_few_labels_are_enough(spark):
     assert np.mean([got[i].kept for i, good in labels if good]) > 0.97
     assert np.mean([not got[i].kept for i, good in labels if not good]) > 0.8
     assert {r.rule_number for r in got.values()} - {None}
+
+
+def plain_cover(rows, n_cuts, precision, support, most):
+    """Sequential covering, a row at a time. rows: (bins, low, to prune on)."""
+    literals = [(f, above, k) for f, n in enumerate(n_cuts) for k in range(n) for above in (True, False)]
+    fits = lambda rule, r: all((r[0][f] > k) == above for f, above, k in rule)
+    left, rules, closed = list(rows), [], set()
+    while len(rules) < most:
+        rule = []
+        while len(rule) < 4:
+            grow = [r for r in left if not r[2] and fits(rule, r)]
+            p0, n0 = sum(r[1] for r in grow), sum(not r[1] for r in grow)
+            if not p0 or not n0:
+                break
+            best = None
+            for x in literals:
+                p = sum(r[1] for r in grow if fits([x], r))
+                n = sum(not r[1] for r in grow if fits([x], r))
+                gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))) if p else -1.0
+                if not (not rule and x in closed) and (best is None or gain > best[0]):
+                    best = gain, x
+            if best is None or best[0] <= 1e-9:
+                break
+            rule.append(best[1])
+        if not rule:
+            break
+
+        def counted(n, prune):
+            held = [r[1] for r in left if fits(rule[:n], r) and r[2] == prune]
+            return sum(held), len(held)
+
+        def worth(n):
+            p, of = counted(n, True)
+            return (p + 1) / (of + 2)
+
+        n = max(range(1, len(rule) + 1), key=lambda k: (worth(k), -k))
+        (low, of), (grown_low, grown_of) = counted(n, True), counted(n, False)
+        if low < precision * of or grown_low + low < max(support, precision * (grown_of + of)):
+            closed.add(rule[0])
+            continue
+        rules.append(rule[:n])
+        left, closed = [r for r in left if not fits(rule[:n], r)], set()
+    return rules
+
+
+def test_cover_equals_a_row_by_row_version():
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        bins = rng.integers(0, 4, (300, 5))
+        odds = 0.05 + 0.9 * ((bins[:, seed % 5] > 1) & (bins[:, (seed + 2) % 5] <= 2)) + 0.4 * (bins[:, 4] == 3)
+        rows = [(tuple(b), bool(rng.random() < o), bool(rng.random() < 1 / 3)) for b, o in zip(bins.tolist(), odds)]
+        cells = sorted({r[0] for r in rows})
+        counts = np.array([[sum(r[0] == c and r[1] == low and r[2] == prune for r in rows) for prune in (False, True) for low in (True, False)] for c in cells])
+        got = covered(np.array(cells), counts, 0.8, 5)
+        want = plain_cover(rows, [max(c[f] for c in cells) for f in range(5)], 0.8, 5, 8)
+        assert got == [[(quality.FEATURES[f], above, float(k)) for f, above, k in rule] for rule in want]
+    assert got  # rules are found
+
+
+def test_memory_of_the_covering_is_linear_in_cells():
+    """A full table of cells of 12 bins a feature."""
+    import tracemalloc
+
+    cells = np.indices((12,) * 5).reshape(5, -1).T
+    rng = np.random.default_rng(0)
+    counts = rng.integers(0, 3, (len(cells), 4)).astype(float)
+    counts[:, (0, 2)] *= cells[:, :1] > 8
+    tracemalloc.start()
+    rules = covered(cells, counts, most=2)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert isinstance(rules, list) and peak < 64 << 20
