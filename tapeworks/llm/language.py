@@ -40,6 +40,10 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), total[at]
 
 
+class TooManyLanguages(ValueError):
+    """The table has more languages than the model may hold."""
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -116,15 +120,19 @@ def held_out(id_col: str = "doc_id"):
 
 def train(
     docs: DataFrame, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    alpha: float = 1.0, beta: float = 1.0, l1: float = 0.05, l2: float = 0.01, epochs: int = 3, most: int = 256,
+    alpha: float = 1.0, beta: float = 1.0, l1: float = 0.05, l2: float = 0.01, epochs: int = 3, model_bytes: int = 128 << 20, row_bytes: int = 256 << 20,
 ) -> Model:
     """Learns from rows with a language and a letter that are not held out. At most about ``sample`` rows are fitted on,
     chosen by a hash of the id, the same share of the bound for each language (and 50 rows of each at least). They are fitted,
-    and cut at the bound, in the order of another hash, which mixes the languages whatever their shares. Of the values of
-    ``lang_col`` the ``most`` frequent are learned (of equally frequent ones, the first by name), so the model is bounded too."""
+    and cut at the bound or at ``row_bytes`` of packed counts, in the order of another hash, which mixes the languages whatever
+    their shares. Every value of ``lang_col`` is learned; where the weights would exceed ``model_bytes`` (more than 512 languages
+    with the default), ``TooManyLanguages`` is raised instead of leaving any out."""
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(most)
-    counts = {r.lang: r.rows for r in counts.collect()}  # at most ``most`` rows
+    most = model_bytes // (BUCKETS * 8)
+    counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("rows")).limit(most + 1)
+    counts = {r.lang: r.rows for r in counts.collect()}  # at most ``most`` rows and one
+    if len(counts) > most:
+        raise TooManyLanguages(f"{lang_col} has over {most} values, whose weights exceed model_bytes={model_bytes}")
     languages = sorted(counts)
     if not languages:
         return Model([], np.ones(BUCKETS), np.zeros((BUCKETS, 0)))
@@ -172,8 +180,13 @@ def train(
         tallies = tallies.repartition(parts).mapInArrow(add, "counts binary")
     seen = np.frombuffer(tallies.first().counts, "<i8").astype(np.float64)
     model = Model(languages, np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1, np.zeros((BUCKETS, len(languages))))
-    chosen = found.where("lang IS NOT NULL").orderBy("turn", "lang").limit(sample + 50 * len(languages)).collect()
-    rows = [(languages.index(r.lang), np.frombuffer(r.at, "<i2").astype(np.int64), np.frombuffer(r.counts, "<i4")) for r in chosen]
+    chosen = found.where("lang IS NOT NULL").orderBy("turn", "lang").limit(sample + 50 * len(languages))
+    number, rows, size = {x: i for i, x in enumerate(languages)}, [], 0
+    for r in chosen.select("lang", "at", "counts").toLocalIterator():
+        size += len(r.at) + len(r.counts)
+        if rows and size > row_bytes:
+            break
+        rows.append((number[r.lang], np.frombuffer(r.at, "<i2"), np.frombuffer(r.counts, "<i4")))
     fit_leader(model, [x for i, x in enumerate(rows) if i % 5], alpha, beta, l1, l2, epochs)
     model.temperature = calibrate(model, rows[::5])
     return model

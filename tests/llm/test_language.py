@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from tapeworks.llm import language
 
@@ -135,7 +136,25 @@ def test_temperature_is_the_best_and_inside_the_range():
         assert all(loss(best) <= loss(best * k) + 1e-9 for k in (0.9, 0.99, 1.01, 1.1))
 
 
-def test_only_the_most_frequent_values_are_learned(spark):
-    rows = [(i, f"the thing {i}", "en" if i % 2 else f"junk{i}") for i in range(400)]
-    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=2)
-    assert len(model.languages) == 2 and "en" in model.languages
+def test_every_language_is_learned_or_none(spark):
+    rows = [(i, "the thing of a tale", f"l{i % 3}") for i in range(60)] + [(99, "one text only", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    enough = len(languages) * language.BUCKETS * 8
+    assert language.train(docs, model_bytes=enough).languages == sorted(languages)
+    with pytest.raises(language.TooManyLanguages):
+        language.train(docs, model_bytes=enough - 1)
+
+
+def test_training_rows_are_bounded_in_bytes(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(language, "fit_leader", lambda model, rows, *_: taken.append(rows))
+    docs = spark.createDataFrame(corpus(300), SCHEMA)
+    language.train(docs)
+    size = lambda rows: sum(at.nbytes + n.nbytes for _, at, n in rows)
+    bound = size(taken[0]) // 3
+    language.train(docs, row_bytes=bound)
+    assert 0 < size(taken[1]) <= bound and len({label for label, *_ in taken[1]}) == 3
+    assert all(a[0] == b[0] and (a[1] == b[1]).all() for a, b in zip(*taken))  # the first rows of the same order
+    language.train(docs, row_bytes=1)  # the row that every fit needs is kept back for the temperature
+    assert taken[2] == []
