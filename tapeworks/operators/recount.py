@@ -367,23 +367,32 @@ def development_recount(sample: DataFrame, folded: DataFrame, baselines: DataFra
     again = again.select("fold", "decision_timestamp", "p_base", F.when(F.col("state") == 0, F.col("p_base")).otherwise(F.coalesce("own", F.lit(0.5))).alias("p_momentum"))
     parts.append(disagreements(baselines, again, ["fold", "decision_timestamp"], ["p_base", "p_momentum"], 1e-14))
 
+    # nothing is sorted: a median is held to its property, half of the values on either side, from counts on both sides of it
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])
     long = train.select("fold", F.explode(pairs).alias("p")).select("fold", "p.*").where("x IS NOT NULL")
-    ordered, group = Window.partitionBy("fold", "feature").orderBy("x"), Window.partitionBy("fold", "feature")
-    middle = long.withColumns({"i": F.row_number().over(ordered), "n": F.count("*").over(group)}).where("i IN ((n + 1) div 2, (n + 2) div 2)")
-    parts.append(disagreements(medians, middle.groupBy("fold", "feature").agg(F.avg("x").alias("median")), ["fold", "feature"], ["median"], 1e-12))
+    long = long.join(F.broadcast(medians.select("fold", "feature", F.col("median").alias("m"))), ["fold", "feature"], "left")  # a row a fold and feature
+    x, m = F.col("x"), F.col("m")
+    side = lambda inside: 2 * F.count_if(inside)
+    between = lambda low, high: (F.max(F.when(low, x)) + F.min(F.when(high, x))) / 2
+    middle = (
+        F.when((side(x < m) < F.count("*")) & (side(x > m) < F.count("*")), F.max(m)).when(side(x <= m) == F.count("*"), between(x <= m, x > m))
+        .when(side(x >= m) == F.count("*"), between(x < m, x >= m))
+    )
+    parts.append(disagreements(medians, long.groupBy("fold", "feature").agg(middle.alias("median")), ["fold", "feature"], ["median"], 1e-12))
 
     models = F.array(F.struct(F.lit("baseline_0").alias("model"), F.col("p_base").alias("p")), F.struct(F.lit("baseline_1").alias("model"), F.col("p_momentum").alias("p")))
     scored = again.join(validation.select("fold", "decision_timestamp", F.col("target_up_15m").cast("int").alias("y")), ["fold", "decision_timestamp"])
     scored = scored.select("fold", "y", F.explode(models).alias("m")).select("fold", "y", "m.*")
-    ties = F.count("*").over(Window.partitionBy("fold", "model", "p"))
-    ranked = scored.withColumn("rank", F.rank().over(Window.partitionBy("fold", "model").orderBy("p")) + (ties - 1) / 2)
-    n, ups = F.count("*"), F.sum("y")
-    pairs_ = ups * (n - ups)
-    direct = ranked.groupBy("fold", "model").agg(
-        F.avg(F.when(F.col("y") == 1, -F.ln("p")).otherwise(-F.ln(1 - F.col("p")))).alias("log_loss"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier_score"),
-        F.when(pairs_ > 0, (F.sum(F.when(F.col("y") == 1, F.col("rank"))) - ups * (ups + 1) / 2) / pairs_).alias("roc_auc"),
-        F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("int")).alias("accuracy"),
-    )
+    # a baseline says at most three different things a fold, so its values meet each other, with their counts
+    valued = scored.groupBy("fold", "model", "p").agg(F.count("*").alias("n"), F.sum("y").alias("up")).withColumn("down", F.col("n") - F.col("up"))
+    other = valued.select("fold", "model", F.col("p").alias("p_down"), F.col("down").alias("downs"))
+    won = F.col("up") * F.col("downs") * F.when(F.col("p") > F.col("p_down"), 1.0).when(F.col("p") == F.col("p_down"), 0.5).otherwise(0.0)
+    area = valued.join(other, ["fold", "model"]).groupBy("fold", "model").agg(F.sum(won).alias("won"))
+    n, of_pairs, p = F.sum("n"), F.sum("up") * F.sum("down"), F.col("p")
+    loss = lambda count, chance: F.when(F.col(count) > 0, -F.col(count) * F.ln(chance)).otherwise(0.0)
+    direct = valued.groupBy("fold", "model").agg(
+        (F.sum(loss("up", p) + loss("down", 1 - p)) / n).alias("log_loss"), (F.sum(F.col("up") * F.pow(1 - p, 2) + F.col("down") * F.pow(p, 2)) / n).alias("brier_score"),
+        of_pairs.alias("pairs"), (F.sum(F.when(p >= 0.5, F.col("up")).otherwise(F.col("down"))) / n).alias("accuracy"),
+    ).join(area, ["fold", "model"]).withColumn("roc_auc", F.when(F.col("pairs") > 0, F.col("won") / F.col("pairs")))
     parts.append(disagreements(metrics, direct, ["fold", "model"], ["log_loss", "brier_score", "roc_auc", "accuracy"], 1e-12))
     return _union(parts)
