@@ -225,3 +225,20 @@ def test_version_report_tells_expected_changes_from_others(spark, small):
     assert wrong(changed(rolled, ["decision_timestamp"], "contract", F.lit("other"))) == {"contract"}
     assert wrong(changed(labels, ["decision_timestamp"], "target_up_15m", F.lit(5).cast("tinyint"))) == {"target_up_15m"}
     assert wrong(labels.limit(3)) == {"row"}
+
+
+def test_development_recount_finds_medians_and_areas(spark):
+    rows = [(i, i // 12, (i * 7 % 5) - 2.0, None if i % 11 == 0 else float(i * i % 13), i * 5 % 3 % 2) for i in range(48)]
+    sample = spark.createDataFrame(rows, "i int, day int, momentum double, x double, target_up_15m int").select(
+        F.expr("timestamp'2024-01-01 10:00:00' + make_interval(0, 0, 0, day, 0, i)").alias("decision_timestamp"), F.expr("date_add(date'2024-01-01', day)").alias("session_date"),
+        F.expr("timestamp'2024-01-01 10:05:00' + make_interval(0, 0, 0, day, 0, i)").alias("future_reference_timestamp"), "target_up_15m", "momentum", "x",
+    )
+    plan = [("2024-01-03", "2024-01-03"), ("2024-01-04", "2024-01-04")]
+    folded = evaluation.folds(sample, plan)
+    base = evaluation.baseline_probabilities(folded, "momentum")
+    found = evaluation.metrics(evaluation.long_probabilities(base, {"baseline_0": "p_base", "baseline_1": "p_momentum"}), ["fold", "model"])
+    medians = evaluation.preprocessing(folded.where("part = 'train'"), ["momentum", "x"], ["fold"])
+    wrong = lambda m, f: {r.check: r.violations for r in recount.development_recount(sample, folded, base, m, f, plan, "momentum", ["momentum", "x"]).collect() if r.violations}
+    assert wrong(medians, found) == {}
+    off = lambda df, c, key: df.withColumn(c, F.col(c) + F.when(key, 1e-6).otherwise(0.0))
+    assert wrong(off(medians, "median", F.col("feature") == "x"), off(found, "roc_auc", F.col("model") == "baseline_1")) == {"median": 2, "roc_auc": 2}
