@@ -375,14 +375,17 @@ def common_shingles(sets: list[np.ndarray], most: int = 4096) -> np.ndarray:
 
 
 def keep_one_of_similar(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", cap: int = 16384, unit: int = 128
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", cap: int = 16384, unit: int = 128,
+    distance: int = 4,
 ) -> DataFrame:
     """One row, with all its columns, of each component of texts linked by a Jaccard similarity of at least ``similarity`` of
     their sets of shingles: that of the smallest id (of equal or null ids, any one, always the same); of equal rows, one.
 
-    Texts are candidates that share all BAND least hashes of one of BANDS bands: at a similarity of 0.8 all but 7 in 100,000
-    pairs do, above it more. A sketch of SKETCH bytes drops candidates five standard errors below the similarity. Every
-    link that counts is an exact one: texts that candidates join are a group, brought together and their sets compared.
+    Texts are candidates whose fingerprints are joined by links of at most ``distance`` bits (``print_components``, as in
+    ``simhash_components``). Fingerprints of similar texts may lie further apart, so texts are candidates, too, that share all
+    BAND least hashes of one of BANDS bands: at a similarity of 0.8 all but 7 in 100,000 pairs do, above it more, and a sketch
+    of SKETCH bytes drops those five standard errors below the similarity. Every link that counts is an exact one: texts that
+    candidates join are a group, brought together and their sets compared.
 
     A group of over ``unit`` texts is dealt into parts. Each part is compared in itself and with one text of the group that goes
     to all parts, which joins most of a group of near copies. Texts outside the group's largest component so far then visit
@@ -399,12 +402,13 @@ def keep_one_of_similar(
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
-            sets = [shingle_set(x, shingle) for x in binaries(batch.column(2))]
-            found = [marks(h) for h in sets]
+            hashes = [shingle_hashes(x, shingle) for x in binaries(batch.column(2))]
+            found = [marks(np.unique(h)) for h in hashes]
+            fps = pa.array(np.array([_simhash(h) for h in hashes], np.uint64).view(np.int64))
             words = np.array([x for x, _ in found], np.uint64).reshape(-1, len(MARKS))
             keys = pa.array([x.view(np.int64) for _, x in found], pa.list_(pa.int64()))
             longs = [pa.array(words[:, i].copy().view(np.int64)) for i in range(len(MARKS))]
-            yield pa.record_batch([batch.column(0), batch.column(1), *longs, keys], ["id", "mark", *MARKS, "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(1), fps, *longs, keys], ["id", "mark", "fp", *MARKS, "bands"])
 
     def rows_of(batch: pa.RecordBatch, first: int):
         """Rows (..., text, words of the marks); first: the place of the first of those words."""
@@ -480,13 +484,15 @@ def keep_one_of_similar(
             yield pa.record_batch([pa.array(x, pa.int64()) for x in (us, vs)], ["u", "v"])
 
     source = docs.select(id_.alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
-    schema = "id bigint, mark bigint, " + ", ".join(f"{w} bigint" for w in MARKS) + ", bands array<bigint>"
-    nodes = source.mapInArrow(prints, schema).groupBy(*MARKS).agg(F.min(F.struct("id", "mark")).alias("lead"), F.first("bands").alias("bands"))
+    schema = "id bigint, mark bigint, fp bigint, " + ", ".join(f"{w} bigint" for w in MARKS) + ", bands array<bigint>"
+    nodes = source.mapInArrow(prints, schema).groupBy(*MARKS).agg(F.min(F.struct("id", "mark", "fp")).alias("lead"), F.first("bands").alias("bands"))
     # a node is numbered as it is written: all its marks tell it from others, not one hash
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "lead.*", *MARKS, "bands"), "simhash-nodes")
     filed = nodes.select("node", *MARKS, F.posexplode("bands").alias("file", "key"))
-    near = connected_components(_filed_links(filed, F.col("key"), ["node", *MARKS], bands, cap))
-    near = materialize(nodes.drop("bands").join(near, "node"), "simhash-candidates")
+    known = print_components(nodes.select(F.col("node").alias("doc_id"), "fp"), distance, cap).withColumnRenamed("component_id", "v")
+    known = nodes.select(F.col("node").alias("u"), "fp").join(known, "fp").where("u <> v").select("u", "v")
+    near = connected_components(known.union(_filed_links(filed, F.col("key"), ["node", *MARKS], bands, cap)))
+    near = materialize(nodes.drop("bands", "fp").join(near, "node"), "simhash-candidates")
     large = near.groupBy("root").agg(F.ceil(F.count("*") / unit).cast("int").alias("parts"), F.min("node").alias("pivot"))
     large = materialize(large.where("parts > 1"), "simhash-large")
     near = near.join(large, "root", "left").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.coalesce("parts", F.lit(1))).cast("int"))

@@ -77,6 +77,22 @@ def test_simhash_stage_finds_every_pair_of_the_similarity(spark):
     assert simhash.keep_one_of_similar(rows.limit(0)).count() == 0
 
 
+def test_near_fingerprints_are_candidates(spark):
+    """Pairs of a similarity of 0.8 that share no band, but whose fingerprints lie within 4 bits."""
+    docs = []
+    for seed in (10038907, 20088965, 30045842):
+        head = " ".join(f"w{seed}x{i}" for i in range(12))
+        docs += [(len(docs), f"{head} one"), (len(docs) + 1, f"{head} two")]
+    for (_, a), (_, b) in zip(docs[::2], docs[1::2], strict=True):
+        keys = [simhash.marks(simhash.shingle_set(t.encode(), 5))[1] for t in (a, b)]
+        assert not (keys[0] == keys[1]).any()
+        assert (simhash.fingerprint(a.encode(), 5) ^ simhash.fingerprint(b.encode(), 5)).bit_count() <= 4
+    want = sorted(set(similar_components(docs).values()))
+    assert want == [0, 2, 4]
+    got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, docs), "")
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 def templated(n, shared=82, own=22, seed=12):
     """Pages alike in what all of them have: each two at a Jaccard similarity near 0.7; every 50th is a near copy of the one before."""
     rng = random.Random(seed)
