@@ -26,6 +26,8 @@ FOLDS = [("2024-01-13", "2024-01-17"), ("2024-01-18", "2024-01-22"), ("2024-01-2
 HOLDOUT, MINUTE_HOLDOUT = "2024-01-29", "2024-01-26"
 MINUTE_FOLDS = [("2024-01-14", "2024-01-17"), ("2024-01-18", "2024-01-21"), ("2024-01-22", "2024-01-25")]
 MOMENTUM = "return_1m"
+#: Trades in a task of the tick rule, about.
+TASK = 1 << 16
 MODEL_FEATURES = ["return_1m", "return_3m", "log_volume_1m", "log_trade_count_1m", "trade_size_dispersion_1m", "delta_1m", "activity_acceleration_3m"]
 
 
@@ -36,7 +38,8 @@ def trades(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
 
 def classified(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     """The sparse tape's trades come in order, and it fails where they do not; the dense one deals them out anew."""
-    return ticks.with_flow(ticks.tick_rule(trades(spark, sf_dir, dense), strict=not dense))
+    tasks = -(-spark.read.parquet(f"{sf_dir}/events.parquet").count() // TASK)
+    return ticks.with_flow(ticks.tick_rule(trades(spark, sf_dir, dense), strict=not dense, tasks=tasks))
 
 
 _KEPT: dict[tuple, DataFrame] = {}

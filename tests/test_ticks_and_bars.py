@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions import clock
 from tapeworks.operators import audits, bars, ticks
+from tapeworks.plans import fixture
 from tapeworks.schemas import BARS, SECOND_BARS
 from tapeworks.sources import layers, tape
 
@@ -138,3 +139,23 @@ def test_plans_have_no_global_window_over_trades(spark):
     singles = [line for line in plan.splitlines() if "SinglePartition" in line]
     assert len(singles) <= 2  # over one row a chunk
     assert all("seq" not in line for line in singles)
+
+
+def largest_task(df):
+    return df.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).head()[0]
+
+
+def events_of(spark, folder, n):
+    rows = spark.range(n).selectExpr(
+        "id AS event_id", "timestamp_micros(1704067200000000 + id * 2592000000000 DIV %d) AS ts" % n, "id % 7 AS user_id",
+        "'view' AS event_type", "double(id % 50) AS value", "'{\"k\": 3}' AS props",
+    )
+    rows.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_tick_rule_is_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """Adaptive execution would make 8 tasks of 12,500 of these narrow trades."""
+    monkeypatch.setattr(fixture, "TASK", 4096, raising=False)
+    folder = events_of(spark, tmp_path, 100_000)
+    assert largest_task(fixture.classified(spark, folder)) < 2 * 4096
