@@ -37,9 +37,10 @@ def trades(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    """The sparse tape's trades come in order, and it fails where they do not; the dense one deals them out anew."""
+    """The sparse tape's trades come in order, and it fails where they do not; the dense one deals them out anew, over 50 hours
+    however many there are, so its chunks are minutes."""
     tasks = -(-spark.read.parquet(f"{sf_dir}/events.parquet").count() // TASK)
-    return ticks.with_flow(ticks.tick_rule(trades(spark, sf_dir, dense), strict=not dense, tasks=tasks))
+    return ticks.with_flow(ticks.tick_rule(trades(spark, sf_dir, dense), "minute" if dense else "hour", strict=not dense, tasks=tasks))
 
 
 _KEPT: dict[tuple, DataFrame] = {}

@@ -159,3 +159,10 @@ def test_tick_rule_is_dealt_by_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(fixture, "TASK", 4096, raising=False)
     folder = events_of(spark, tmp_path, 100_000)
     assert largest_task(fixture.classified(spark, folder)) < 2 * 4096
+
+
+def test_dense_tape_is_dealt_by_minutes(spark, tmp_path, monkeypatch):
+    """Its 50 hours hold all trades: a task of one of them would grow with the table."""
+    monkeypatch.setattr(fixture, "TASK", 1024, raising=False)
+    folder = events_of(spark, tmp_path, 200_000)
+    assert largest_task(fixture.classified(spark, folder, True)) < 2 * 1024
