@@ -168,26 +168,30 @@ def _opened(batches: Iterator[pa.RecordBatch], width: int, trees: list[list[Tree
             yield m, y, bins, score
 
 
-def _sums(blocks: DataFrame, width: int, trees: list[list[Tree]], growing: dict[int, Tree], wanted: dict[int, list[int]], alone: bool) -> dict:
-    """{(model, node): sums (feature, bin, [gradient, Hessian, rows])} over the rows of each wanted node; alone: the blocks are one
-    task's, whose sums need not be added up over tasks."""
+def _histograms(y: np.ndarray, bins: np.ndarray, score: np.ndarray, tree: Tree, wanted: list[int]) -> np.ndarray:
+    """Sums ([gradient, Hessian, rows], feature, 256 bins of each wanted node) over the rows of a block."""
+    p = 1 / (1 + np.exp(-score))
+    weights = (p - y, p * (1 - p), None)
+    slots = np.full(len(tree.feature), -1)
+    slots[wanted] = np.arange(len(wanted))
+    slot = slots[tree.leaves(bins)]
+    at = np.flatnonzero(slot >= 0)
+    sums = np.zeros((3, len(bins), len(wanted) * 256))
+    for f in range(len(bins)):
+        cell = slot[at] * 256 + bins[f, at]
+        for k, w in enumerate(weights):
+            sums[k, f] = np.bincount(cell, None if w is None else w[at], sums.shape[2])
+    return sums
+
+
+def _sums(blocks: DataFrame, width: int, trees: list[list[Tree]], growing: dict[int, Tree], wanted: dict[int, list[int]]) -> dict:
+    """{(model, node): sums (feature, bin, [gradient, Hessian, rows])} over the rows of each wanted node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {}
         for m, y, bins, score in _opened(batches, width, trees):
-            if m not in wanted:
-                continue
-            p = 1 / (1 + np.exp(-score))
-            weights = (p - y, p * (1 - p), None)
-            slots = np.full(len(growing[m].feature), -1)
-            slots[wanted[m]] = np.arange(len(wanted[m]))
-            slot = slots[growing[m].leaves(bins)]
-            at = np.flatnonzero(slot >= 0)
-            sums = total.setdefault(m, np.zeros((3, width, len(wanted[m]) * 256)))
-            for f in range(width):
-                cell = slot[at] * 256 + bins[f, at]
-                for k, w in enumerate(weights):
-                    sums[k, f] += np.bincount(cell, None if w is None else w[at], sums.shape[2])
+            if m in wanted:
+                total[m] = total.get(m, 0) + _histograms(y, bins, score, growing[m], wanted[m])
         for m, sums in total.items():
             f, cell = np.nonzero(sums[2])
             node = np.array(wanted[m])[cell // 256]
@@ -195,9 +199,7 @@ def _sums(blocks: DataFrame, width: int, trees: list[list[Tree]], growing: dict[
             yield pa.record_batch([pa.array(c) for c in columns], ["model", "node", "feature", "bin", "g", "h", "n"])
 
     found = blocks.mapInArrow(run, "model int, node int, feature int, bin int, g double, h double, n double")
-    if not alone:
-        found = found.groupBy("model", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
-    found = found.toArrow()
+    found = found.groupBy("model", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]).toArrow()
     model, node, feature, bin_, *sums = (found.column(i).to_numpy() for i in range(7))
     out = {(m, k): np.zeros((width, 256, 3)) for m, nodes in wanted.items() for k in nodes}
     for key in out:
@@ -315,11 +317,16 @@ def fit(
         return {}
     tasks = -(-sum(n for _, n in rates.values()) // TASK)
     blocks = _blocks(train, models, columns, by, label, tasks)
+    if tasks == 1:
+        grown = _grown_alone(blocks, len(columns), rounds, (leaves, leaf, rate, l2))
+        for i, model in enumerate(models.values()):
+            model.trees = grown[i]
+        return models
     recent: list[list[Tree]] = [[] for _ in models]
     for turn in range(rounds):
         growing = [_Growth(leaves, leaf, rate, l2) for _ in models]
         while wanted := {m: w for m, x in enumerate(growing) if (w := x.wanted())}:
-            sums = _sums(blocks, len(columns), recent, {m: growing[m].tree for m in wanted}, wanted, tasks == 1)
+            sums = _sums(blocks, len(columns), recent, {m: growing[m].tree for m in wanted}, wanted)
             for (m, node), own in sums.items():
                 growing[m].learn(node, own)
         for own, x, model in zip(recent, growing, models.values(), strict=True):
@@ -331,6 +338,29 @@ def fit(
     return models
 
 
+def _grown_alone(blocks: DataFrame, width: int, rounds: int, settings: tuple) -> dict[int, list[Tree]]:
+    """{model: its trees} where all rows are at most TASK: each model is grown in a task of its own, in one job instead of several
+    for each tree, by the same sums and splits."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = list(_opened(group.to_batches(), width, [[]] * (group.column("model")[0].as_py() + 1)))
+        rows.sort(key=lambda r: (r[1].tobytes(), r[2].tobytes()))  # blocks come in no order of their own
+        y, bins, score = (np.concatenate([r[i] for r in rows], axis=-1) for i in (1, 2, 3))
+        trees = []
+        for _ in range(rounds):
+            growth = _Growth(*settings)
+            while wanted := growth.wanted():
+                sums = _histograms(y, bins, score, growth.tree, wanted).reshape(3, width, len(wanted), 256)
+                for i, node in enumerate(wanted):
+                    growth.learn(node, np.moveaxis(sums[:, :, i], 0, -1))
+            trees.append(growth.grown())
+            score = score + np.array(trees[-1].value)[trees[-1].leaves(bins)]
+        return pa.table({"model": pa.array([rows[0][0]], pa.int32()), "trees": [json.dumps([asdict(t) for t in trees])]})
+
+    found = blocks.groupBy("model").applyInArrow(run, "model int, trees string").collect()  # a row a model
+    return {r.model: [Tree(**t) for t in json.loads(r.trees)] for r in found}
+
+
 def _kept(blocks: DataFrame, width: int, trees: list[list[Tree]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m, y, bins, score in _opened(batches, width, trees):

@@ -136,3 +136,16 @@ def test_audit_finds_planted_faults(spark):
     m = fitted()
     m[0].thresholds[1] = m[0].thresholds[1][::-1]
     assert "bins" in wrong(m)
+
+
+def test_a_small_table_takes_few_jobs(spark):
+    """However many the rounds: its models are grown in a task each."""
+    df = spark.range(300).selectExpr("double(id % 17) AS a", "double(id % 5) AS b", "int(id % 2) AS fold", "int(id % 3 = 0) AS target_up_15m")
+    spark.sparkContext.setJobGroup("few jobs", "")
+    try:
+        models = boosting.fit(df, ["a", "b"], "fold", rounds=30, leaves=4, leaf=10)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few jobs"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [len(m.trees) for m in models.values()] == [30, 30]
+    assert 0 < jobs < 30
